@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, packing, urlfilter
+from . import bpe, exactdedup, packing, quality, urlfilter
 
 
 def _tokenizer(name: str) -> str:
@@ -25,6 +25,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.drop("rule_rejected")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -37,7 +42,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op6_packing, op7_bpe, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_quality_rules, op6_packing, op7_bpe, op8_exact_dedup)}
 
 SQL = {
     "op3_url_filter": r"""

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import hashlib
 import os
 import shutil
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +58,7 @@ class DigestIndex:
             "flags": np.array([v == "block" for _, _, v in made], "u1"),
             "text": np.frombuffer(b"".join(r for _, r, _ in made), "u1"),
         }
-        mark = hashlib.sha256(b"".join(a.tobytes() for a in arrays.values())).hexdigest()[:16]
+        mark = uuid.uuid4().hex  # files sent to executors need names of their own
         paths = {k: os.path.join(folder, f"urls-{mark}-{k}.bin") for k in DigestIndex.PARTS}
         for k, a in arrays.items():
             a.tofile(paths[k])
