@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, packing, quality, urlfilter
+from . import bpe, chat, exactdedup, packing, quality, urlfilter
 
 
 def _tokenizer(name: str) -> str:
@@ -21,6 +21,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema)
+    return chat.chat_digests(chat.format_chats(turns.unionByName(more)))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -42,9 +49,25 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_quality_rules, op6_packing, op7_bpe, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat, op3_url_filter, op4_quality_rules, op6_packing, op7_bpe, op8_exact_dedup)}
 
+#: The strings of the chat template in the oracle: each row adds the marks around it, and breaks add one mark each.
 SQL = {
+    "op1_chat": r"""
+        WITH c AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (
+          SELECT *, length(text) + length(regexp_replace(text, '[^␛]', '', 'g'))
+                    + 2 * len(regexp_extract_all(text, '<\|(?:turn|text|more|end|endoftext|startoftext|im_start|im_end)\|>|</?s>|\[/?INST\]')) AS chars,
+                 row_number() OVER o AS k, lag(role) OVER o IS DISTINCT FROM role AS opens
+          FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(chars + CASE WHEN opens THEN length(role) + length('<|turn|><|text|><|end|>') ELSE length('<|more|>') END)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op3_url_filter": r"""
         WITH p AS (
           SELECT page_id,
