@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exactdedup, packing, quality, urlfilter
+from . import bpe, chat, exactdedup, packing, quality, toxicity, urlfilter
 
 
 def _tokenizer(name: str) -> str:
@@ -28,6 +28,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns.unionByName(more)))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -49,7 +53,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op3_url_filter, op4_quality_rules, op6_packing, op7_bpe, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_url_filter, op4_quality_rules, op6_packing, op7_bpe, op8_exact_dedup)}
 
 #: The strings of the chat template in the oracle: each row adds the marks around it, and breaks add one mark each.
 SQL = {
