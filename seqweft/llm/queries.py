@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exactdedup, neardup, packing, quality, substring, toxicity, urlfilter
+from . import bpe, chat, exactdedup, neardup, packing, pii, quality, substring, toxicity, urlfilter
 
 
 def _tokenizer(name: str) -> str:
@@ -41,6 +41,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("rule_rejected")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -61,7 +65,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_url_filter, op4_quality_rules, op6_packing, op7_bpe, op8_exact_dedup, op9_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_url_filter, op4_quality_rules, op5_pii, op6_packing, op7_bpe, op8_exact_dedup, op9_near_dedup, op10_substring_dedup)}
 
 #: The strings of the chat template in the oracle: each row adds the marks around it, and breaks add one mark each.
 SQL = {
