@@ -23,7 +23,7 @@ from .common import string_array
 #: The pre-tokenizer's pattern of byte-level BPE files of this kind (a fixed value of the public tokenizers).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Memory bounds of a worker: entries of the caches, which are emptied when full; results do not depend on them.
-MOST_WORDS, MOST_PAIRS, MOST_STATES = 600_000, 500_000, 500_000
+MOST_WORDS, MOST_PAIRS, MOST_STATES = 400_000, 500_000, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -34,9 +34,9 @@ def byte_letters() -> dict[str, int]:
 
 
 class TrieEncoder:
-    """Encodes sets of words (bytes) to tuples of token ids; one per worker."""
+    """Encodes sets of words to lists of token ids; one per worker. Words and tokens are strings of symbols below 512."""
 
-    def __init__(self, vocab: dict[bytes, int], merges: list[tuple[int, int]]):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[int, int]]):
         self.ids = vocab
         token = {i: t for t, i in vocab.items()}
         self.rank: dict[int, int] = {}
@@ -56,16 +56,16 @@ class TrieEncoder:
     def _forget(self) -> None:
         """States: of a prefix, its longest suffix that begins some token, and the last tokens of the prefixes that end in that suffix.
 
-        That is all that later tokens depend on, so a step is worked out once for each state and byte.
+        That is all that later tokens depend on, so a step is worked out once for each state and symbol.
         """
-        self.states: dict[tuple, int] = {(b"", (-1,)): 0}
-        self.names: list[tuple[bytes, tuple[int, ...]]] = [(b"", (-1,))]
+        self.states: dict[tuple, int] = {("", (-1,)): 0}
+        self.names: list[tuple[str, tuple[int, ...]]] = [("", (-1,))]
         self.moves: dict[int, tuple[int, int, int]] = {}
 
-    def _move(self, state: int, byte: int) -> tuple[int, int, int]:
+    def _move(self, state: int, symbol: str) -> tuple[int, int, int]:
         """The next state, the last token there, and its length."""
         suffix, lasts = self.names[state]
-        s = suffix + bytes((byte,))
+        s = suffix + symbol
         for k in range(len(s)):
             token = self.usable.get(s[k:])
             if token is None:
@@ -81,7 +81,7 @@ class TrieEncoder:
                     continue
             break
         else:
-            raise ValueError(f"the vocabulary has no token for byte {byte}")
+            raise ValueError(f"the vocabulary has no token for symbol {symbol!r}")
         size, cut = len(s) - k, 0
         while s[cut:] not in self.heads:
             cut += 1
@@ -90,7 +90,7 @@ class TrieEncoder:
         if to is None:
             to = self.states[name] = len(self.names)
             self.names.append(name)
-        made = self.moves[state << 8 | byte] = (to, token, size)
+        made = self.moves[state << 9 | ord(symbol)] = (to, token, size)
         return made
 
     def _agree(self, x: int, y: int) -> bool:
@@ -111,12 +111,12 @@ class TrieEncoder:
             else:
                 limit, y = ry + 1, self.parts[y][0]
 
-    def encode(self, words) -> dict[bytes, list[int]]:
-        out: dict[bytes, list[int]] = {}
+    def encode(self, words) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
         if len(self.names) > MOST_STATES:
             self._forget()
         moves = self.moves
-        before = b""
+        before = ""
         states, last, size = [0], [-1], [0]  # the stack: of each prefix its state, its last token and that token's length
         for word in sorted(words):
             n = 0
@@ -126,8 +126,8 @@ class TrieEncoder:
                 n += 1
             del states[n + 1 :], last[n + 1 :], size[n + 1 :]
             state = states[n]
-            for byte in word[n:]:
-                step = moves.get(state << 8 | byte) or self._move(state, byte)
+            for symbol in word[n:]:
+                step = moves.get(state << 9 | ord(symbol)) or self._move(state, symbol)
                 state = step[0]
                 states.append(state)
                 last.append(step[1])
@@ -151,7 +151,7 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, model = byte_letters(), spec["model"]
-        to_bytes = lambda t: bytes(letters[c] for c in t)
+        to_bytes = lambda t: "".join(chr(letters[c]) for c in t)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = {to_bytes(t): i for t, i in model["vocab"].items() if t not in special}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -162,10 +162,11 @@ class ByteBpe:
         self.special = special
         self.at_special = regex.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.tokens = [b""] * (max([*vocab.values(), *special.values()]) + 1)
-        for t, i in [*vocab.items(), *((s.encode(), i) for s, i in special.items())]:
+        for t, i in [*((t.encode("latin-1"), i) for t, i in vocab.items()), *((s.encode(), i) for s, i in special.items())]:
             self.tokens[i] = t
         self.split = regex.compile(PATTERN).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before the last time that the cache was full
         self.odd = re.compile(r"\s\s").search
         self.unlike = re.compile("[\x1c-\x1f᠎]").search  # white space to some libraries only
         self.far = re.compile("[^\x00-ɏ]").search
@@ -187,9 +188,10 @@ class ByteBpe:
         """Encodes those chunks that are not known yet, by one walk over the trie of their pre-tokens."""
         new = [c for c in set(chunks) if c not in self.known]
         if len(self.known) + len(new) > MOST_WORDS:
-            self.known.clear()
-            new = list(set(chunks))
-        pieces = [[p.encode() for p in self._pieces(c)] for c in new]
+            self.older, self.known, new = self.known, {}, list(set(chunks))
+        self.known.update((c, self.older[c]) for c in new if c in self.older)
+        new = [c for c in new if c not in self.known]
+        pieces = [[p.encode().decode("latin-1") for p in self._pieces(c)] for c in new]
         codes = self.trie.encode({p for x in pieces for p in x})
         packed = {p: array("I", ids).tobytes() for p, ids in codes.items()}
         self.known.update(zip(new, (b"".join([packed[p] for p in x]) for x in pieces), strict=True))

@@ -11,40 +11,99 @@ A document finds its place by its rank among those of its length, so nothing but
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import TrieEncoder, byte_letters
 from .common import stash, string_array
 
 #: Lengths above this share of the capacity are large.
 LARGE = 1 / 4
 #: Groups of large lengths, and columns that the linear programme adds at most.
 GROUPS, COLUMNS = 32, 300
-#: Words that a worker keeps with their ids; the cache is emptied when full.
+#: Words that a worker keeps with their ids, and as many older ones; results do not depend on it.
 MOST_WORDS = 500_000
 
 
 class WordBpe:
-    """A tokenizer file whose splitting never crosses white space: words are encoded by the library once each."""
+    """A tokenizer file whose splitting never crosses white space and marks the ends of words: each word is encoded once.
+
+    Words of Latin letters are split by the file's pattern and encoded by the prefix trie; others by the library.
+    """
+
+    #: The file's pattern (a fixed value of the public tokenizer).
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    END = "</w>"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters, special = byte_letters(), {t["content"] for t in spec["added_tokens"]}
+
+        def symbols(token: str) -> str:
+            body = token.removesuffix(self.END)
+            s = [letters[c] for c in body]
+            if body != token:
+                s[-1] += 256
+            return "".join(map(chr, s))
+
+        vocab = {symbols(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.trie = TrieEncoder(vocab, [(vocab[symbols(a)], vocab[symbols(b)]) for a, b in pairs])
+        self.split = regex.compile(self.PATTERN).findall
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
-        self.unlike = re.compile("[\x1c-\x1f\x85᠎]").search  # white space to some libraries only
-
-    def _codes(self, words: list[str]) -> list[bytes]:
-        run = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        return [array("I", e.ids).tobytes() for e in run(words, add_special_tokens=False)]
+        self.older: dict[str, bytes] = {}  # what was known before the last time that the cache was full
+        self.unlike = re.compile("[\x1c-\x1f\x85\u180e]").search  # white space to some libraries only
+        self.far = re.compile("[^\x00-\u024f]|<\\|").search
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _symbols(self, piece: str) -> str:
+        s = piece if piece.isascii() else piece.encode().decode("latin-1")
+        return s[:-1] + chr(ord(s[-1]) + 256)
+
+    def _learn(self, words: list[str]) -> None:
+        """Codes of new words. A word of letters is one piece; with a mark behind it, its code follows that of the letters."""
+        known = self.known
+        plain: dict[str, str] = {}  # letters -> symbols
+        marked, parts = [], []
+        for w in words:
+            ascii_ = w.isascii()
+            if self.far(w) if not ascii_ else "<|" in w:
+                known[w] = self._whole(w)
+                continue
+            low = w if ascii_ and w.islower() else unicodedata.normalize("NFC", w).lower()
+            stem = low if low.isalpha() else low[:-1]
+            if stem.isalpha():
+                if stem not in known and stem not in plain:
+                    plain[stem] = self._symbols(stem)
+                if w != stem:
+                    marked.append((w, stem, low[-1] if stem != low else ""))
+            else:
+                parts.append((w, [self._symbols(p) for p in self.split(low)]))
+        pieces = set(plain.values()).union(*(x for _, x in parts), (self._symbols(m) for _, _, m in marked if m))
+        codes = {p: array("I", ids).tobytes() for p, ids in self.trie.encode(pieces).items()}
+        known.update(zip(plain, map(codes.__getitem__, plain.values()), strict=True))
+        ends = {m: codes[self._symbols(m)] if m else b"" for m in {m for _, _, m in marked}}
+        for w, stem, m in marked:
+            known[w] = known[stem] + ends[m]
+        for w, own in parts:
+            known[w] = b"".join([codes[p] for p in own])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
@@ -58,14 +117,13 @@ class WordBpe:
                 t = t.lower()  # as the tokenizer does; fewer words to keep
             words.append(t.split())
             new.update(words[-1])
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known.clear()
         fresh = [w for w in new if w not in self.known]
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
-            self.known.update(zip(part, self._codes(part), strict=True))
+        if len(self.known) + len(fresh) > MOST_WORDS:
+            self.older, self.known, fresh = self.known, {}, list(new)
+        self.known.update((w, self.older[w]) for w in fresh if w in self.older)
+        self._learn([w for w in fresh if w not in self.known])
         known = self.known.__getitem__
-        return [self._codes([t])[0] if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
+        return [self._whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
