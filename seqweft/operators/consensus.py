@@ -1,0 +1,109 @@
+"""Consensus of the reads of a window by partial-order alignment, as a grouped Arrow operator."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def poa_consensus(reads: list[str], match: int = 2, mismatch: int = -4, gap: int = -4) -> str:
+    """The heaviest path of the graph to which reads are aligned one after the other, each against all before; '' without reads."""
+    reads = [r for r in reads if r]
+    if not reads:
+        return ""
+    base: list[str] = []
+    before: list[dict[int, int]] = []  # of each node the weights of edges into it
+    aligned: list[set[int]] = []
+
+    def node(b: str) -> int:
+        base.append(b)
+        before.append({})
+        aligned.append(set())
+        return len(base) - 1
+
+    def order() -> list[int]:
+        seen: set[int] = set()
+        out: list[int] = []
+        for root in range(len(base)):
+            stack = [(root, iter(sorted(before[root])))]
+            if root in seen:
+                continue
+            seen.add(root)
+            while stack:
+                n, it = stack[-1]
+                for p in it:
+                    if p not in seen:
+                        seen.add(p)
+                        stack.append((p, iter(sorted(before[p]))))
+                        break
+                else:
+                    out.append(n)
+                    stack.pop()
+        return out
+
+    def thread(path: list[int]) -> None:
+        for a, b in zip(path, path[1:], strict=False):
+            before[b][a] = before[b].get(a, 0) + 1
+
+    thread([node(c) for c in reads[0]])
+    for read in reads[1:]:
+        topo = order()
+        m = len(read)
+        score = {-1: [j * gap for j in range(m + 1)]}
+        move: dict[int, list[tuple[int, int]]] = {}
+        for n in topo:
+            row, how = [0] * (m + 1), [(0, 0)] * (m + 1)
+            parents = sorted(before[n]) or [-1]
+            for j in range(m + 1):
+                options = []
+                for p in parents:
+                    if j:
+                        options.append((score[p][j - 1] + (match if base[n] == read[j - 1] else mismatch), 2, p))
+                    options.append((score[p][j] + gap, 1, p))
+                if j:
+                    options.append((row[j - 1] + gap, 0, n))
+                best = max(options, key=lambda o: (o[0], o[1], -o[2]))
+                row[j], how[j] = best[0], (best[1], best[2])
+            score[n], move[n] = row, how
+        ends = [n for n in topo if not any(n in b for b in before)]
+        at, j, path = max(ends, key=lambda n: (score[n][m], -n)), m, []
+        while at != -1 or j:
+            kind, p = move[at][j] if at != -1 else (0, -1)
+            if kind == 2:
+                c = read[j - 1]
+                same = at if base[at] == c else next((x for x in sorted(aligned[at]) if base[x] == c), None)
+                if same is None:
+                    same = node(c)
+                    group = aligned[at] | {at}
+                    for x in group:
+                        aligned[x].add(same)
+                    aligned[same] = set(group)
+                path.append(same)
+                at, j = p, j - 1
+            elif kind == 1:
+                at = p
+            else:
+                path.append(node(read[j - 1]))
+                j -= 1
+        thread(path[::-1])
+    best: dict[int, tuple[int, int]] = {}
+    for n in order():
+        best[n] = max(((best[p][0] + w, p) for p, w in before[n].items()), key=lambda t: (t[0], before[n].get(t[1], 0), -t[1]), default=(0, -1))
+    at = max(best, key=lambda n: (best[n][0], -n))
+    out = []
+    while at != -1:
+        out.append(base[at])
+        at = best[at][1]
+    return "".join(reversed(out))
+
+
+def window_consensus(reads: DataFrame, keys: list[str], order: str, seq: str, least: int = 1) -> DataFrame:
+    """(keys, n_reads, consensus): reads in their order; fewer than `least` give ''."""
+    kinds = ", ".join(f"{k} {dict(reads.dtypes)[k]}" for k in keys)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values([order, seq])[seq].tolist()
+        out = pdf[keys].head(1).reset_index(drop=True)
+        return out.assign(n_reads=len(rows), consensus=poa_consensus(rows) if len(rows) >= least else "")
+
+    return reads.select(*keys, order, seq).groupBy(*keys).applyInPandas(one, f"{kinds}, n_reads long, consensus string")

@@ -1 +1 @@
-
+"""Readers and writers of sequence file formats."""

@@ -1 +1 @@
-
+"""Streaming forms of window sealing and ordered emission."""
