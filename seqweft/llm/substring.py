@@ -4,7 +4,8 @@ A window is K consecutive words. Its minimiser is the M-word run with the smalle
 equal windows have equal minimisers. Consecutive windows that share a minimiser travel to the minimiser's bucket as one
 string, where their windows are sorted and equal ones found by their bytes.
 
-A minimiser that occurs once in all texts has no repeated windows, so occurrences are counted first, on hashes alone,
+Texts of the same words (by sha256) lose all of them if they have K, so one of them travels for all. A minimiser that
+occurs once in all these texts has no repeated windows, so occurrences are counted first, on hashes alone,
 and only texts and super-k-mers with repeated minimisers travel. A bucket has at most MOST places; minimisers with more
 (common lines, large groups of copies) go another exact way: their super-k-mers are put together by bytes before the
 shuffle, and the windows of the different ones are counted by key, over as many tasks as there are.
@@ -199,7 +200,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     src, plain = keyed(docs, id_col, text_col)
     profile = stash(src.select("key", "text").mapInArrow(_profile, "key long, n_words long, sha string, marks array<long>"), "profile")
-    places = profile.select("key", F.explode("marks").alias("mark"))
+    classes = stash(profile.groupBy("sha").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    places = profile.join(classes.select(F.col("rep").alias("key")), "key").select("key", F.explode("marks").alias("mark"))
     often = stash(places.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", (F.col("n") > MOST).alias("hot")), "often")
     wanted = places.distinct().join(often, "mark").groupBy("key").agg(F.collect_list(F.when(~F.col("hot"), F.col("mark"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("mark"))).alias("hot"))
     texts = stash(src.select("key", "text").join(wanted, "key"), "marked")
@@ -219,6 +221,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     cut = texts.select("key", "text").join(gathered, "key").mapInArrow(_cut, "key long, n_removed long, kept_sha256 string, kept_text string")
     if not with_text:
         cut = cut.drop("kept_text")
-    rows = profile.select("key", "n_words", "sha").join(cut, "key", "left")
+    rows = profile.select("key", "n_words", "sha").join(cut, "key", "left").join(classes.select("sha", "copies"), "sha")
+    whole = (F.col("copies") > 1) & (F.col("n_words") >= K)  # each window starts in a copy too
+    rows = rows.withColumn("n_removed", F.when(whole, F.col("n_words")).otherwise(F.col("n_removed")))
+    rows = rows.withColumn("kept_sha256", F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")))
+    if with_text:
+        rows = rows.withColumn("kept_text", F.when(whole, F.lit("")).otherwise(F.col("kept_text")))
     rows = rows.withColumn("doc_id", F.col("key")) if plain else rows.join(src.select("key", "doc_id"), "key")
     return rows.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *(["kept_text"] if with_text else []))
