@@ -26,8 +26,8 @@ from .textscan import Words, pieces, runs
 
 #: Words of a window (a fixed value of the query's contract) and of a minimiser.
 K, M = 35, 8
-#: Places of a minimiser that one bucket takes at most.
-MOST = 2_000
+#: Places of a minimiser that one bucket takes at most: some 50 MB of arrays in its task.
+MOST = 8_000
 
 
 def minimisers(w: Words) -> tuple[np.ndarray, np.ndarray]:
