@@ -74,7 +74,7 @@ class Words:
         before[1:n] = apart[:-1] if n else False
         after[: n - 1 if n else 0] = apart[1:]
         before[offs[:-1]] = True
-        after[np.maximum(offs[1:] - 1, 0)] = True
+        after[offs[1:][offs[1:] > offs[:-1]] - 1] = True
         inside = ~apart
         self.data = data
         self.start = np.flatnonzero(inside & before[:n])
