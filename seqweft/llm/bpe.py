@@ -8,6 +8,8 @@ before is the part of the stack that stays.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import hashlib
 import json
 import re
@@ -117,25 +119,23 @@ class TrieEncoder:
             self._forget()
         moves = self.moves
         before = ""
-        states, last, size = [0], [-1], [0]  # the stack: of each prefix its state, its last token and that token's length
+        stack = [(0, -1, 0)]  # of each prefix its state, its last token and that token's length
         for word in sorted(words):
             n = 0
             for a, b in zip(word, before, strict=False):
                 if a != b:
                     break
                 n += 1
-            del states[n + 1 :], last[n + 1 :], size[n + 1 :]
-            state = states[n]
+            del stack[n + 1 :]
+            step = stack[n]
             for symbol in word[n:]:
-                step = moves.get(state << 9 | ord(symbol)) or self._move(state, symbol)
-                state = step[0]
-                states.append(state)
-                last.append(step[1])
-                size.append(step[2])
+                step = moves.get(step[0] << 9 | ord(symbol)) or self._move(step[0], symbol)
+                stack.append(step)
             ids, at = [], len(word)
             while at:
-                ids.append(last[at])
-                at -= size[at]
+                _, token, size = stack[at]
+                ids.append(token)
+                at -= size
             ids.reverse()
             out[word] = ids
             before = word
@@ -233,6 +233,26 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
+_coders: dict[str, ByteBpe] = {}
+
+
+def byte_coder(path: str) -> ByteBpe:
+    """The process's own coder: what it has learnt serves all tasks of a worker."""
+    if path not in _coders:
+        _coders[path] = ByteBpe(path)
+    return _coders[path]
+
+
+@contextlib.contextmanager
+def no_collection():
+    """Without cycle collection, which would walk the large caches again and again and finds nothing in them."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids (array<long>) and decoded, of every whole text.
 
@@ -242,13 +262,14 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
 
     def work(batches):
-        coder = ByteBpe(path)
+        coder = byte_coder(path)
         for b in batches:
             texts = string_array(b.column("text")).to_pylist()
             for at in range(0, len(texts), 2000):
                 part = texts[at : at + 2000]
-                ids = coder.encode_batch(part)
-                back = [coder.decode(x) for x in ids]
+                with no_collection():
+                    ids = coder.encode_batch(part)
+                    back = [coder.decode(x) for x in ids]
                 cols = [
                     b.column("doc_id").slice(at, len(part)),
                     pa.array([len(x) // 4 for x in ids], pa.int64()),

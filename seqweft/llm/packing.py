@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import TrieEncoder, byte_letters
+from .bpe import TrieEncoder, byte_letters, no_collection
 from .common import stash, string_array
 
 #: Lengths above this share of the capacity are large.
@@ -126,6 +126,16 @@ class WordBpe:
         return [self._whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
 
 
+_coders: dict[str, WordBpe] = {}
+
+
+def word_coder(path: str) -> WordBpe:
+    """The process's own coder: what it has learnt serves all tasks of a worker."""
+    if path not in _coders:
+        _coders[path] = WordBpe(path)
+    return _coders[path]
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, with_ids, ids: of each document its ids and end_id, cut at capacity."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -136,12 +146,14 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
-        coder, end, step = WordBpe(path), array("I", [end_id]).tobytes(), 4 * capacity
+        coder, end, step = word_coder(path), array("I", [end_id]).tobytes(), 4 * capacity
         for b in batches:
             texts = string_array(b.column("text")).to_pylist()
             for at in range(0, len(texts), 1000):
                 who, piece, start, crc, size, ids = [], [], [], [], [], []
-                for i, code in enumerate(coder.encode_batch(texts[at : at + 1000])):
+                with no_collection():
+                    codes = coder.encode_batch(texts[at : at + 1000])
+                for i, code in enumerate(codes):
                     code += end
                     for k, s in enumerate(range(0, len(code), step)):
                         x = code[s : s + step]
