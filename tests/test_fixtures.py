@@ -191,3 +191,60 @@ def test_ordered_emission(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.i, r.v) for r in spark.table("ordered").orderBy("i").collect()] == [(0, "x"), (1, "y"), (2, "z")]
+
+
+def test_signals(spark):
+    from seqweft.functions import signal as sg
+
+    arr = lambda *v: F.array(*map(F.lit, v))
+    assert one(spark, sg.robust_normalised(arr(1.0, 2.0, 4.0, 8.0))) == [-1, 0, 2, 6]
+    assert one(spark, sg.weighted_mean(arr(1.0, 3.0), arr(1.0, 3.0))) == 2.5
+    assert one(spark, sg.padding_mask(F.lit(1), F.lit(3))) == [False, True, True]
+    assert one(spark, sg.common_padding(F.array(arr(False, True), arr(True, True)))) == [False, True]
+    assert abs(one(spark, sg.duration_loss(arr(0.0), arr(1.0))) - np.log(2)) < 1e-12
+    r = one(spark, sg.enter_rates(arr(0, 4, 0, 1)))
+    assert (r.enter, r.extend, r.enter_rate, r.reentered) == (3, 1, 0.75, 1)
+    x = arr(*(float(i) for i in range(30)))
+    masked = one(spark, sg.time_masked(x, F.lit(3)))
+    assert masked == one(spark, sg.time_masked(x, F.lit(3))) and all(v in (0, i) for i, v in enumerate(masked))
+    assert np.allclose(one(spark, sg.time_stretched(x, F.lit(2.0))), range(30), atol=1.0)
+    assert np.allclose(one(spark, sg.resampled(x, F.lit(59))), np.arange(59) / 2)
+    assert one(spark, sg.noisy(x, F.lit(1), 0.5)) == one(spark, sg.noisy(x, F.lit(1), 0.5))
+    assert len(one(spark, sg.fourier_features(F.lit(0.5), [1.0, 2.0]))) == 6
+
+
+def test_assembly(spark):
+    from seqweft.operators import assembly
+
+    rows = [("c", 0, "AAACCC"), ("c", 1, "CCCGGG"), ("c", 2, "TTTAAA"), ("c", 3, ""), ("c", 4, "GG")]
+    df = spark.createDataFrame(rows, "c string, i int, s string")
+    got = sorted((r.first_idx, r.last_idx, r.sequence, r.bad_breaks) for r in assembly.stitch_checked(df, "c", "i", "s", 3).collect())
+    assert got == [(0, 1, "AAACCCGGG", 1), (2, 2, "TTTAAA", 1), (4, 4, "GG", 1)]
+    g = spark.createDataFrame([("H\tx",), ("S\t1\tACG",), ("S\t2\tTTT",), ("L\t1\t+\t2\t-\t0M",)], "value string")
+    assert assembly.reference_coverage(assembly.gfa_nodes(g), "GACGA").first() == (2, 1, 0.6)
+    assert assembly.gfa_edges(g).first() == ("1", "+", "2", "-")
+
+
+def test_registry():
+    from seqweft.registry import Registry
+
+    r = Registry("thing")
+    r.register("a")(dict)
+    with pytest.raises(KeyError):
+        r.register("a")
+    with pytest.raises(KeyError, match="there are a"):
+        r.create("b")
+    assert r.create("a", x=1) == {"x": 1}
+
+
+def test_sealed_windows(spark, tmp_path):
+    from seqweft.streaming import windows
+
+    src = tmp_path / "in"
+    spark.sql("select timestamp_seconds(id * 100) as ts, 'c' as k from range(60)").coalesce(1).write.parquet(str(src))
+    stream = spark.readStream.schema("ts timestamp, k string").parquet(str(src))
+    q = windows.sealed_counts(stream, "ts", "k").writeStream.format("memory").queryName("sealed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("sealed").orderBy("start").collect()
+    assert got and all(9 <= r.n <= 10 for r in got[1:])
