@@ -31,7 +31,7 @@ LARGE = 1 / 4
 #: Groups of large lengths, and columns that the linear programme adds at most.
 GROUPS, COLUMNS = 32, 300
 #: Words that a worker keeps with their ids, and as many older ones; results do not depend on it.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 
 
 class WordBpe:
