@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,34 +14,42 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - top - np.log(np.exp(x - top).sum(-1, keepdims=True))
 
 
+def log_add(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 def prefix_beam(log_probs: np.ndarray, beam: int = 100, blank: int = 0, prune: float | None = None) -> tuple[tuple[int, ...], float]:
     """The labelling of most probability by prefix beam search; ties go to the smaller label tuple."""
-    beams = {(): (0.0, -np.inf)}
+    never = -math.inf
+    beams: dict[tuple, tuple[float, float]] = {(): (0.0, never)}
     for frame in log_probs:
         if prune is None:
             used = np.argsort(-frame, kind="stable")[: 2 * beam]
         else:
             used = np.flatnonzero(frame.max() - frame <= prune)
+        picked = [(c, float(frame[c])) for c in sorted(used.tolist())]
         new: dict[tuple, list[float]] = {}
         for prefix, (pb, pn) in beams.items():
-            both = np.logaddexp(pb, pn)
-            for c in sorted(used.tolist()):
-                p = frame[c]
+            both = log_add(pb, pn)
+            for c, p in picked:
                 if c == blank:
-                    e = new.setdefault(prefix, [-np.inf, -np.inf])
-                    e[0] = np.logaddexp(e[0], both + p)
+                    e = new.setdefault(prefix, [never, never])
+                    e[0] = log_add(e[0], both + p)
                     continue
-                e = new.setdefault((*prefix, c), [-np.inf, -np.inf])
+                e = new.setdefault((*prefix, c), [never, never])
                 if prefix and prefix[-1] == c:
-                    e[1] = np.logaddexp(e[1], pb + p)
-                    s = new.setdefault(prefix, [-np.inf, -np.inf])
-                    s[1] = np.logaddexp(s[1], pn + p)
+                    e[1] = log_add(e[1], pb + p)
+                    s = new.setdefault(prefix, [never, never])
+                    s[1] = log_add(s[1], pn + p)
                 else:
-                    e[1] = np.logaddexp(e[1], both + p)
-        order = sorted(new.items(), key=lambda kv: (-np.logaddexp(*kv[1]), kv[0]))[:beam]
-        beams = {k: (v[0], v[1]) for k, v in order}
+                    e[1] = log_add(e[1], both + p)
+        order = sorted(((-log_add(*v), k) for k, v in new.items()))[:beam]
+        beams = {k: tuple(new[k]) for _, k in order}
     best, v = next(iter(beams.items()))
-    return best, float(np.logaddexp(*v))
+    return best, log_add(*v)
 
 
 def ctc_nll(log_probs: np.ndarray, labels: list[int], blank: int = 0) -> float:
