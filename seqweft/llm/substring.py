@@ -109,6 +109,24 @@ def _travelling(batches, wanted: str):
             )
 
 
+def _named(batches, top: dict[bytes, int]):
+    """key, hits (first, mask) of super-k-mers in `top`, and others (first, name): one row for each row."""
+    for b in batches:
+        for part in _travelling([b], "hot"):
+            keys = np.asarray(part.column("key"))
+            first = part.column("first").to_pylist()
+            names = [hashlib.md5(p.encode()).digest() for p in part.column("packed").to_pylist()]
+            cut = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+            hits, others = [], []
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                hits.append([{"first": first[i], "mask": top[names[i]]} for i in range(s, e) if top.get(names[i])])
+                others.append([{"first": first[i], "name": names[i]} for i in range(s, e) if names[i] not in top])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[cut[:-1]]), pa.array(hits, pa.list_(pa.struct([("first", pa.int64()), ("mask", pa.int64())]))), pa.array(others, pa.list_(pa.struct([("first", pa.int64()), ("name", pa.binary())])))],
+                ["key", "hits", "others"],
+            )
+
+
 def _windows(packed: list[bytes]):
     """(string's place, window's place in it, start, end) over the strings joined, and the joined bytes."""
     data = np.frombuffer(b"".join(packed), np.uint8)
@@ -208,16 +226,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     travelling = "mark long, key long, first long, packed string"
     cold = texts.where(F.size("cold") > 0).select("key", "text", "cold").mapInArrow(lambda it: _travelling(it, "cold"), travelling)
     hits = cold.repartition("mark").sortWithinPartitions("mark").mapInArrow(_buckets, "key long, first long, mask long")
+    part = F.array(F.struct("first", "mask"))
+    parts = hits.select("key", part.alias("part"))
     if not often.where("hot").isEmpty():
-        hot = texts.where(F.size("hot") > 0).select("key", "text", "hot").mapInArrow(lambda it: _travelling(it, "hot"), travelling)
-        different = hot.groupBy("packed").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.unhex(F.md5("packed")))
+        hot_texts = texts.where(F.size("hot") > 0).select("key", "text", "hot")
+        hot = hot_texts.mapInArrow(lambda it: _travelling(it, "hot"), travelling)
+        different = stash(hot.groupBy("packed").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.unhex(F.md5("packed"))), "different")
         windows = stash(different.select("packed", "n", "name").mapInArrow(_exploded, "window binary, name binary, i int, n long"), "windows")
         twice = windows.groupBy("window").agg(F.sum("n").alias("all")).where("all > 1").select("window")
         masks = windows.join(twice, "window").groupBy("name").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
         masks = stash(masks, "masks")
-        named = hot.select("key", "first", F.unhex(F.md5("packed")).alias("name"))
-        hits = hits.union(named.join(masks, "name").select("key", "first", "mask"))
-    gathered = hits.groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
+        # super-k-mers with a thousandth of all places, of which there are at most a thousand, are looked up where they are made
+        total = different.agg(F.sum("n")).first()[0] or 0
+        common = different.where(F.col("n") * 1000 >= total).select("name")
+        top = {bytes(r["name"]): r["mask"] or 0 for r in common.join(masks, "name", "left").collect()}
+        rows = stash(hot_texts.mapInArrow(lambda it: _named(it, top), "key long, hits array<struct<first:long,mask:long>>, others array<struct<first:long,name:binary>>"), "named")
+        rare = rows.select("key", F.explode("others").alias("x")).select("key", "x.first", "x.name").join(masks, "name")
+        parts = parts.union(rare.select("key", part.alias("part"))).union(rows.where(F.size("hits") > 0).select("key", F.col("hits").alias("part")))
+    gathered = parts.groupBy("key").agg(F.flatten(F.collect_list("part")).alias("hits"))
     cut = texts.select("key", "text").join(gathered, "key").mapInArrow(_cut, "key long, n_removed long, kept_sha256 string, kept_text string")
     if not with_text:
         cut = cut.drop("kept_text")
