@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -49,26 +50,23 @@ def poa_consensus(reads: list[str], match: int = 2, mismatch: int = -4, gap: int
     for read in reads[1:]:
         topo = order()
         m = len(read)
-        score = {-1: [j * gap for j in range(m + 1)]}
-        move: dict[int, list[tuple[int, int]]] = {}
+        codes, slope = np.frombuffer(read.encode("utf-32-le"), np.uint32), gap * np.arange(m + 1)
+        score = {-1: slope.astype(np.int64)}
         for n in topo:
-            row, how = [0] * (m + 1), [(0, 0)] * (m + 1)
-            parents = sorted(before[n]) or [-1]
-            for j in range(m + 1):
-                options = []
-                for p in parents:
-                    if j:
-                        options.append((score[p][j - 1] + (match if base[n] == read[j - 1] else mismatch), 2, p))
-                    options.append((score[p][j] + gap, 1, p))
-                if j:
-                    options.append((row[j - 1] + gap, 0, n))
-                best = max(options, key=lambda o: (o[0], o[1], -o[2]))
-                row[j], how[j] = best[0], (best[1], best[2])
-            score[n], move[n] = row, how
-        ends = [n for n in topo if not any(n in b for b in before)]
+            rows = [score[p] for p in before[n]] or [score[-1]]
+            above = rows[0] if len(rows) == 1 else np.max(rows, axis=0)
+            free = above + gap
+            np.maximum(free[1:], above[:-1] + np.where(codes == ord(base[n]), match, mismatch), out=free[1:])
+            score[n] = np.maximum.accumulate(free - slope) + slope  # insertions run along the row
+        inner = {p for b in before for p in b}
+        ends = [n for n in topo if n not in inner]
         at, j, path = max(ends, key=lambda n: (score[n][m], -n)), m, []
         while at != -1 or j:
-            kind, p = move[at][j] if at != -1 else (0, -1)
+            kind, p = 0, -1
+            if at != -1:
+                here, sub = score[at][j], match if j and base[at] == read[j - 1] else mismatch
+                parents = sorted(before[at]) or [-1]
+                kind, p = next(((2, q) for q in parents if j and score[q][j - 1] + sub == here), None) or next(((1, q) for q in parents if score[q][j] + gap == here), (0, -1))
             if kind == 2:
                 c = read[j - 1]
                 same = at if base[at] == c else next((x for x in sorted(aligned[at]) if base[x] == c), None)
