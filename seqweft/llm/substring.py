@@ -13,6 +13,7 @@ shuffle, and the windows of the different ones are counted by key, over as many
 
 from __future__ import annotations
 
+import collections
 import hashlib
 
 import numpy as np
@@ -28,6 +29,8 @@ from .textscan import Words, pieces, runs
 K, M = 35, 8
 #: Places of a minimiser that one bucket takes at most: some 50 MB of arrays in its task.
 MOST = 8_000
+#: Different strings that a task on the hot way puts together before it gives them out.
+HELD = 50_000
 
 
 def minimisers(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +112,22 @@ def _travelling(batches, wanted: str):
             )
 
 
+def _different(batches):
+    """(packed, n): the different super-k-mers with hot minimisers, put together by bytes in each task as far as memory's bound allows."""
+    seen: collections.Counter = collections.Counter()
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["packed", "n"])
+
+    for b in batches:
+        for part in _travelling([b], "hot"):
+            seen.update(part.column("packed").to_pylist())
+            if len(seen) > HELD:
+                yield out()
+                seen.clear()
+    yield out()
+
+
 def _named(batches, top: dict[bytes, int]):
     """key, hits (first, mask) of super-k-mers in `top`, and others (first, name): one row for each row."""
     for b in batches:
@@ -230,8 +249,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     parts = hits.select("key", part.alias("part"))
     if not often.where("hot").isEmpty():
         hot_texts = texts.where(F.size("hot") > 0).select("key", "text", "hot")
-        hot = hot_texts.mapInArrow(lambda it: _travelling(it, "hot"), travelling)
-        different = stash(hot.groupBy("packed").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.unhex(F.md5("packed"))), "different")
+        different = hot_texts.mapInArrow(_different, "packed string, n long")
+        different = stash(different.groupBy("packed").agg(F.sum("n").alias("n")).withColumn("name", F.unhex(F.md5("packed"))), "different")
         windows = stash(different.select("packed", "n", "name").mapInArrow(_exploded, "window binary, name binary, i int, n long"), "windows")
         twice = windows.groupBy("window").agg(F.sum("n").alias("all")).where("all > 1").select("window")
         masks = windows.join(twice, "window").groupBy("name").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
