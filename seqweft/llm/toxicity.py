@@ -17,8 +17,8 @@ from .textscan import OTHERS, Words, pieces
 SPACE_BITS, PREFIXES = 20, (4, 5, 6)
 #: Bounds of the fit: labelled documents that it uses at most, features that it gives a weight at most.
 SAMPLE, FEATURES = 20_000, 4_096
-#: A feature is used if more toxic than other documents have it, by so many standard errors of the shares; harmless content takes nothing back.
-APART = 5.0
+#: A feature is used if more toxic than other documents have it by an exact test; at most about this share of the used ones is there by chance.
+CHANCE = 0.05
 #: A document is toxic from this probability on: one word of its own is evidence enough where no clean document has it.
 TOXIC_AT = 0.2
 #: Ridge penalty and steps of the fit.
@@ -47,6 +47,28 @@ def _distinct(data: np.ndarray, offs: np.ndarray, table: np.ndarray | None = Non
     return both >> SPACE_BITS, both & ((1 << SPACE_BITS) - 1)
 
 
+def log_upper_tail(a: np.ndarray, b: np.ndarray, bad: int, good: int) -> np.ndarray:
+    """log P(A >= a), A the toxic ones of a + b documents drawn from bad toxic and good clean ones (Fisher's exact test)."""
+    lf = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, bad + good + 1)))])
+    choose = lambda n, k: lf[n] - lf[k] - lf[n - k]
+    total, term, x = np.ones(len(a)), np.ones(len(a)), a.astype(float)
+    while (term > 1e-12 * total).any():  # ratios fall and reach 0 at the largest count
+        term = term * np.maximum(bad - x, 0) * np.maximum(a + b - x, 0) / ((x + 1) * np.maximum(good - (a + b) + x + 1, 1))
+        total += term
+        x += 1
+    return choose(bad, a) + choose(good, b) - choose(bad + good, a + b) + np.log(total)
+
+
+def associated(a: np.ndarray, b: np.ndarray, bad: int, good: int, most: int = FEATURES, chance: float = CHANCE) -> np.ndarray:
+    """Places of the features that a toxic and b clean documents have, surest first, whose share of chance finds is bounded (Benjamini-Hochberg)."""
+    more = np.flatnonzero(a * good > b * bad)
+    pairs, back = np.unique(a[more] * (good + 1) + b[more], return_inverse=True)
+    p = log_upper_tail(pairs // (good + 1), pairs % (good + 1), bad, good)[back]
+    by = np.argsort(p, kind="stable")
+    hold = np.flatnonzero(p[by] <= np.log(chance * np.arange(1, len(by) + 1) / max(len(a), 1)))
+    return more[by[: min(hold[-1] + 1, most)]] if len(hold) else more[:0]
+
+
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """(w, theta) by full-batch gradient steps with momentum; thresholds are kept in order by their positive gaps."""
     k = int(grades.max()) if len(grades) else 1
@@ -93,10 +115,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(weights over the hashed space, thresholds). labels: doc_id, toxic; a document is toxic if any of its labels is.
 
     Labels have two grades; toxic documents are parted at the median number of associated features that they have, which
-    makes three: 0 clean, 1 toxic, 2 severe. The sample is the labelled documents with the smallest hashes of their ids.
+    makes three: 0 clean, 1 toxic, 2 severe. The sample takes each class by the smallest hashes of its ids: toxic labels up
+    to half of it, or more where clean ones do not fill the rest. Thresholds are moved back to the classes' shares in labels.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("label_id_"), "toxic")
+    sizes = known.agg(F.count_if(F.col("toxic") > 0).alias("bad"), F.count_if(F.col("toxic") <= 0).alias("good")).first()
+    take_bad = min(sizes["bad"], max(sample // 2, sample - sizes["good"]))
+    take_good = min(sizes["good"], sample - take_bad)
+    pick = lambda which, n: known.where(which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    known = pick("toxic > 0", take_bad).unionByName(pick("toxic <= 0", take_good)).select(F.col("doc_id").alias("label_id_"), "toxic")
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chosen = chosen.join(F.broadcast(known), F.col("doc_id") == F.col("label_id_")).select("toxic", "text")  # at most `sample` rows
 
@@ -114,12 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not bad or not good:
         return np.zeros(1 << SPACE_BITS, np.float32), np.array([10.0, 20.0])
     df = with_features.select((F.col("toxic") > 0).alias("t"), F.explode("f").alias("f")).groupBy("f").agg(F.sum(F.col("t").cast("long")).alias("a"), F.sum((~F.col("t")).cast("long")).alias("b"))
-    a, b = F.col("a") / bad, F.col("b") / good
-    z = (a - b) / F.sqrt((F.col("a") + 0.5) / (bad * bad) + (F.col("b") + 0.5) / (good * good))
-    best = df.withColumn("z", z).where(F.col("z") > APART).orderBy(F.col("z").desc(), "f").limit(FEATURES).collect()
+    seen = df.orderBy("f").toArrow()  # at most 2^SPACE_BITS rows of three numbers
+    f, a, b = (seen[c].to_numpy() for c in "fab")
+    best = f[associated(a, b, bad, good)]
     place = np.full(1 << SPACE_BITS, 0, np.int32)
-    for i, r in enumerate(best):
-        place[r["f"]] = i + 1
+    place[best] = np.arange(1, len(best) + 1)
     spread = docs.sparkSession.sparkContext.broadcast(place)
 
     def vectors(batches):
@@ -137,8 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     grades = np.where(toxic, 1 + (found > np.median(found[toxic])), 0)
     w, theta = fit_ordinal(rows, grades, len(best))
     table = np.zeros(1 << SPACE_BITS, np.float32)
-    table[[r["f"] for r in best]] = w
-    return table, theta
+    table[best] = w
+    return table, theta + np.log(sizes["good"] / take_good) - np.log(sizes["bad"] / take_bad)
 
 
 def score_toxicity(docs: DataFrame, weights: np.ndarray, theta: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

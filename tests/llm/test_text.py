@@ -294,6 +294,27 @@ def test_toxicity_held_out(spark, empty):
     assert not any(r.toxic for r in toxicity.toxicity(df, train.limit(0)).collect())
 
 
+def test_toxic_word_in_few_documents_counts(spark):
+    """12 toxic documents of a small table, and 12 in 4,012 labels of which a sample of 500 by class is fitted."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("aeioulmnrst") for _ in range(6)) for _ in range(400)]
+    for n, sample in ((100, toxicity.SAMPLE), (4000, 500)):
+        rows = [(i, " ".join(rnd.choice(words) for _ in range(30)) + (" zgrobly" if i < 16 else "")) for i in range(n + 16)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, 1, int(i < 12)) for i in range(n + 16) if not 12 <= i < 16], "doc_id long, quality int, toxic int")
+        got = toxicity.score_toxicity(df, *toxicity.fit(df, labels, sample=sample)).where("toxic").collect()
+        assert {r.doc_id for r in got} == set(range(16)) and all(r.grade > 0 for r in got)
+
+
+def test_upper_tail_is_exact():
+    from math import comb
+
+    a, b = np.array([0, 1, 5, 5, 9]), np.array([3, 2, 0, 7, 1])
+    got = np.exp(toxicity.log_upper_tail(a, b, 11, 40))
+    want = [sum(comb(11, i) * comb(40, x + y - i) for i in range(x, min(11, x + y) + 1)) / comb(51, x + y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert np.allclose(got, want, rtol=1e-9)
+
+
 def test_ordinal_fit_orders_thresholds():
     rng = np.random.default_rng(1)
     rows = [np.flatnonzero(rng.random(5) < 0.4) for _ in range(500)]
