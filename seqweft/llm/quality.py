@@ -17,8 +17,6 @@ from .common import SPACE, WORD, stash
 
 #: False rejection allowed in each stratum by all rules together, and the probability that the promise fails.
 RISK, DELTA = 0.02, 0.05
-#: Good holdout rows that a stratum uses at most, chosen by a hash of the id.
-HOLDOUT = 20_000
 #: Strata of the column lang (a parameter); all other values and null form one more, "other".
 STRATA = ("de", "en", "es", "fr")
 #: Cutoffs of each rule from lenient to strict; a document is rejected by score > cutoff.
@@ -118,19 +116,16 @@ def lower_tail(n: Column, k: Column, p: float) -> Column:
     return F.exp(_log_binomial(n, k, p)) * F.aggregate(down, begin, step, lambda a: a["sum"])
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, name: str, id_col: str = "doc_id", lang_col: str = "lang", strata=STRATA, cutoffs=None, risk: float = RISK, delta: float = DELTA, holdout: int = HOLDOUT) -> DataFrame:
+def thresholds(scored: DataFrame, labels: DataFrame, name: str, id_col: str = "doc_id", lang_col: str = "lang", strata=STRATA, cutoffs=None, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff, n, rejected): the strictest cutoff that holds; no row where none does.
 
-    labels: doc_id, quality; a document is good if all its labels are 1. The result has at most a row for each stratum and rule.
+    labels: doc_id, quality; a document is good if all its labels are 1, and all good ones count. The result has at most a row for each stratum and rule.
     """
     cutoffs = cutoffs or CUTOFFS
     good = labels.groupBy(F.col("doc_id").alias("label_id_")).agg(F.min("quality").alias("quality_")).where("quality_ = 1").select("label_id_")
     f = F.col(name)
     rows = scored.select(F.col(id_col).alias("id_"), stratum(F.col(lang_col), strata).alias("stratum"), F.struct(*(s.alias(k) for k, s in scores(f).items())).alias("s"))
-    rows = rows.join(good, rows.id_ == good.label_id_).select("id_", "stratum", "s")
-    share = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("all")).withColumn("share", F.least(F.lit(1.0), F.lit(0.98 * holdout) / F.col("all")))  # at most a row for each stratum
-    pick = F.pmod(F.xxhash64("id_"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    rows = rows.join(F.broadcast(share.select("stratum", "share")), "stratum").where(pick)
+    rows = rows.join(good, rows.id_ == good.label_id_).select("stratum", "s")
     counts = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.when(F.col("s")[k] > c, 1).otherwise(0)).cast("long").alias(f"{k}:{i}") for k, cs in cutoffs.items() for i, c in enumerate(cs)))
     trial = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{k}:{i}").alias("rejected")) for k, cs in cutoffs.items() for i, c in enumerate(cs)))
     tried = counts.select("stratum", "n", F.explode(trial).alias("x")).select("stratum", "n", "x.*")

@@ -270,6 +270,17 @@ def test_thresholds_keep_their_promise(spark):
     assert quality.filter_quality(df, few).count() == 6000
 
 
+def test_thresholds_count_all_good_labels(spark):
+    """60,000 good documents of one stratum, of which 180 have a score of 1: 0.3 % can be told from 0.4 % with all of them only."""
+    n, k = 60_000, 180
+    zero = lambda *names: F.struct(*(F.lit(0).cast("long").alias(c) for c in names))
+    f = F.struct(F.when(F.col("doc_id") < k, 1).otherwise(0).cast("long").alias("n_symbols"), F.lit(1).cast("long").alias("word_chars"), F.lit(1).cast("long").alias("n_words"), zero("n", "dup").alias("lines"), F.lit(0).cast("long").alias("bangs"), F.lit(0).cast("long").alias("upper"))
+    scored = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang")).withColumn("f", f)
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    got = {r.rule: r for r in quality.thresholds(scored, labels, "f").collect()}
+    assert {r.n for r in got.values()} == {n} and got["symbol_share"].rejected == k and got["symbol_share"].cutoff == min(quality.CUTOFFS["symbol_share"])
+
+
 def test_toxicity_held_out(spark, empty):
     rnd = random.Random(4)
     words = ["".join(rnd.choice("aeioulmnrst") for _ in range(6)) for _ in range(400)]
