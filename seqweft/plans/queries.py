@@ -447,8 +447,8 @@ def prefix_beam(spark, d):
 
 @query()
 def window_consensus(spark, d):
-    """Consensus of each conversation's first letters of turns."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.upper(F.substring("text", 1, 24)).alias("seq"))
+    """Consensus of each conversation's whole turns."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.upper("text").alias("seq"))
     return consensus.window_consensus(c, ["conv_id"], "turn", "seq")
 
 
