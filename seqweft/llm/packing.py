@@ -3,14 +3,15 @@
 Lengths are integers up to the capacity, so their histogram has at most that many rows whatever the input. The plan is
 made on it: large lengths are put in groups of equal cardinality and rounded up to the group's largest; a linear
 programme over configurations of these few sizes (columns made by a knapsack) says how many sequences follow each
-configuration; the documents of each group then take its places, largest first, and what is left and the small ones
-go, largest first, where they leave the least room. Where rounding left room in a configuration, its smallest place is
-filled by best fit as well. The plan speaks of runs: so many sequences with the same lengths.
+configuration; each of its places takes the longest document left that it holds, the last one also the room that
+rounding left; then the few that are left and the small ones go, largest first, where they leave the least room. The
+plan speaks of runs: so many sequences with the same lengths.
 A document finds its place by its rank among those of its length, so nothing but narrow rows moves.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import unicodedata
@@ -19,118 +20,82 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import TrieEncoder, byte_letters, no_collection
+from .bpe import byte_letters
 from .common import stash, string_array
 
 #: Lengths above this share of the capacity are large.
 LARGE = 1 / 4
 #: Groups of large lengths, and columns that the linear programme adds at most.
 GROUPS, COLUMNS = 32, 300
-#: Words that a worker keeps with their ids, and as many older ones; results do not depend on it.
-MOST_WORDS = 300_000
 
 
 class WordBpe:
-    """A tokenizer file whose splitting never crosses white space and marks the ends of words: each word is encoded once.
+    """A tokenizer file whose splitting never crosses white space and marks the ends of words, run by tiktoken's merge loop.
 
-    Words of Latin letters are split by the file's pattern and encoded by the prefix trie; others by the library.
+    Ends are marked by a space behind each piece, which no piece holds: the single symbols that end a word come before
+    all merges, so the loop makes them first and then merges as the file's list says. Pieces of Latin letters are split
+    here; words with letters beyond them go to the file's own library, as versions of Unicode differ. Nothing is kept
+    between texts, so memory is that of the vocabulary.
     """
 
-    #: The file's pattern (a fixed value of the public tokenizer).
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: The file's pattern (a fixed value of the public tokenizer) for characters below U+0250, where the numbers are the digits and these six.
+    PATTERN = r"[^\W\d_²³¹¼½¾]++|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼½¾]|(?:[^\w\s]|_)++"
     END = "</w>"
 
     def __init__(self, path: str):
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters, special = byte_letters(), {t["content"] for t in spec["added_tokens"]}
+        letters, self.special = byte_letters(), [t["content"] for t in spec["added_tokens"]]
+        vocab = spec["model"]["vocab"]
 
-        def symbols(token: str) -> str:
+        def marked(token: str) -> bytes:
             body = token.removesuffix(self.END)
-            s = [letters[c] for c in body]
-            if body != token:
-                s[-1] += 256
-            return "".join(map(chr, s))
-
-        vocab = {symbols(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.trie = TrieEncoder(vocab, [(vocab[symbols(a)], vocab[symbols(b)]) for a, b in pairs])
-        self.split = regex.compile(self.PATTERN).findall
+            return bytes(letters[c] for c in body) + b" " * (body != token)
+
+        made = [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])]
+        single = sorted((t for t in vocab if len(t.removesuffix(self.END)) == 1), key=lambda t: (t.endswith(self.END), t))
+        if len(set(made)) < len(made):
+            raise ValueError("two merges make one token; the loop takes a token's rank for that of its merge")
+        tokens = single + made  # their places are the loop's ranks
+        self.ids = np.array([vocab[t] for t in tokens], np.uint32)
+        self.merge = Encoding("words", pat_str="[^ ]+ ", mergeable_ranks={marked(t): i for i, t in enumerate(tokens)}, special_tokens={}).encode_ordinary
+        self.split = re.compile(self.PATTERN).findall
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # what was known before the last time that the cache was full
         self.unlike = re.compile("[\x1c-\x1f\x85\u180e]").search  # white space to some libraries only
-        self.far = re.compile("[^\x00-\u024f]|<\\|").search
+        self.far = re.compile("[^\x00-\u024f]").search
+        self.far_words = re.compile(r"(?<!\S)([^\s\u0250-\U0010ffff]*+[^\x00-\u024f\s]\S*+)").split
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _symbols(self, piece: str) -> str:
-        s = piece if piece.isascii() else piece.encode().decode("latin-1")
-        return s[:-1] + chr(ord(s[-1]) + 256)
-
-    def _learn(self, words: list[str]) -> None:
-        """Codes of new words. A word of letters is one piece; with a mark behind it, its code follows that of the letters."""
-        known = self.known
-        plain: dict[str, str] = {}  # letters -> symbols
-        marked, parts = [], []
-        for w in words:
-            ascii_ = w.isascii()
-            if self.far(w) if not ascii_ else "<|" in w:
-                known[w] = self._whole(w)
-                continue
-            low = w if ascii_ and w.islower() else unicodedata.normalize("NFC", w).lower()
-            stem = low if low.isalpha() else low[:-1]
-            if stem.isalpha():
-                if stem not in known and stem not in plain:
-                    plain[stem] = self._symbols(stem)
-                if w != stem:
-                    marked.append((w, stem, low[-1] if stem != low else ""))
-            else:
-                parts.append((w, [self._symbols(p) for p in self.split(low)]))
-        pieces = set(plain.values()).union(*(x for _, x in parts), (self._symbols(m) for _, _, m in marked if m))
-        codes = {p: array("I", ids).tobytes() for p, ids in self.trie.encode(pieces).items()}
-        known.update(zip(plain, map(codes.__getitem__, plain.values()), strict=True))
-        ends = {m: codes[self._symbols(m)] if m else b"" for m in {m for _, _, m in marked}}
-        for w, stem, m in marked:
-            known[w] = known[stem] + ends[m]
-        for w, own in parts:
-            known[w] = b"".join([codes[p] for p in own])
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Of each text its ids as little-endian unsigned 32-bit integers."""
-        words: list = []
-        new: set[str] = set()
-        for t in texts:
-            if self.unlike(t):
-                words.append(None)
-                continue
-            if "<|" not in t and t.isascii():
-                t = t.lower()  # as the tokenizer does; fewer words to keep
-            words.append(t.split())
-            new.update(words[-1])
-        fresh = [w for w in new if w not in self.known]
-        if len(self.known) + len(fresh) > MOST_WORDS:
-            self.older, self.known, fresh = self.known, {}, list(new)
-        self.known.update((w, self.older[w]) for w in fresh if w in self.older)
-        self._learn([w for w in fresh if w not in self.known])
-        known = self.known.__getitem__
-        return [self._whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
+    def _latin(self, text: str) -> bytes:
+        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+        pieces = self.split(text)
+        pieces.append("")
+        return self.ids[self.merge(" ".join(pieces))].tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
+        if self.unlike(text) or any(s in text for s in self.special):
+            return self._whole(text)
+        if not self.far(text):
+            return self._latin(text)
+        return b"".join([self._whole(part) if i % 2 else self._latin(part) for i, part in enumerate(self.far_words(text))])
 
 
 _coders: dict[str, WordBpe] = {}
 
 
 def word_coder(path: str) -> WordBpe:
-    """The process's own coder: what it has learnt serves all tasks of a worker."""
+    """The process's own coder: a worker reads the vocabulary once for all its tasks."""
     if path not in _coders:
         _coders[path] = WordBpe(path)
     return _coders[path]
@@ -151,10 +116,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
             texts = string_array(b.column("text")).to_pylist()
             for at in range(0, len(texts), 1000):
                 who, piece, start, crc, size, ids = [], [], [], [], [], []
-                with no_collection():
-                    codes = coder.encode_batch(texts[at : at + 1000])
-                for i, code in enumerate(codes):
-                    code += end
+                for i, text in enumerate(texts[at : at + 1000]):
+                    code = coder.encode(text) + end
                     for k, s in enumerate(range(0, len(code), step)):
                         x = code[s : s + step]
                         who.append(at + i)
@@ -276,69 +239,47 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> tupl
     left = {x: n for x, n in histogram.items() if n}
     if left.get(capacity):
         runs.open(left.pop(capacity), [capacity])
-    large = sorted((x for x in left if x > capacity * LARGE), reverse=True)
-    total = sum(left[x] for x in large)
+    large = sorted(x for x in left if x > capacity * LARGE)
     if large:
-        each = -(-total // groups)
-        members: list[list[list[int]]] = []  # of each group its [length, count], largest first
+        stock = [left.pop(x) for x in large]
+        each = -(-sum(stock) // groups)
+        sizes: dict[int, int] = {}  # the largest length of each group -> documents; equal ones together
         room = 0
-        for x in large:
-            n = left[x]
+        for x, n in zip(reversed(large), reversed(stock), strict=True):
             while n:
                 if not room:
-                    members.append([])
-                    room = each
+                    size, room = x, each
                 t = min(n, room)
-                members[-1].append([x, t])
+                sizes[size] = sizes.get(size, 0) + t
                 n, room = n - t, room - t
-        by_size: dict[int, list[list[int]]] = {}
-        for g in members:
-            by_size.setdefault(g[0][0], []).extend(g)
-        sizes = list(by_size)
-        freed: dict[int, int] = {}
-        for n, column in configurations(sizes, [sum(c for _, c in by_size[z]) for z in sizes], capacity):
-            slots = [z for z, times in zip(sizes, column, strict=True) for _ in range(times)]
-            while n and slots:
-                slots = [z for z in slots if by_size[z]]
-                # as many sequences as every slot can fill with documents of one length, counting slots that share a group
-                use: dict[int, int] = {}
-                for z in slots:
-                    use[z] = use.get(z, 0) + 1
-                if not slots:
+
+        def longest(most: int, taken: list[int]) -> int:
+            """The place of the longest length up to `most` of which more documents are left than `taken`, or -1."""
+            i = bisect.bisect_right(large, most) - 1
+            while i >= 0 and stock[i] <= taken.count(i):
+                i -= 1
+            return i
+
+        for n, column in configurations(list(sizes), list(sizes.values()), capacity):
+            places = [z for z, times in zip(sizes, column, strict=True) for _ in range(times)]
+            while n:
+                # as many sequences at once as documents of the same lengths are left for; the last place also takes what rounding left
+                taken: list[int] = []
+                for k, z in enumerate(places):
+                    free = capacity - sum(large[i] for i in taken)
+                    i = longest(min(z, free) if k < len(places) - 1 else free, taken)
+                    if i >= 0:
+                        taken.append(i)
+                if not taken:
                     break
-                t, lengths = n, []
-                for z, times in use.items():
-                    x, c = by_size[z][0]
-                    if c >= times:
-                        t = min(t, c // times)
-                        lengths += [x] * times
-                    else:  # the last few of a length: one sequence takes them with the next length
-                        t = 1
-                        ahead, k = [], times
-                        for y, d in by_size[z]:
-                            ahead += [y] * min(d, k)
-                            k -= min(d, k)
-                            if not k:
-                                break
-                        lengths += ahead
-                lengths.sort(reverse=True)
-                inexact = len(lengths) > 1 and sum(lengths) < capacity
-                if inexact:  # rounding left room: the smallest place is filled by best fit instead
-                    freed[lengths[-1]] = freed.get(lengths[-1], 0) + t
-                runs.open(t, lengths[:-1] if inexact else lengths)
-                for y in set(lengths):
-                    gone = lengths.count(y) * t
-                    for z in use:
-                        for e in by_size[z]:
-                            if e[0] == y and gone:
-                                d = min(e[1], gone)
-                                e[1] -= d
-                                gone -= d
-                        by_size[z] = [e for e in by_size[z] if e[1]]
+                t = min(n, *(stock[i] // taken.count(i) for i in taken))
+                for i in taken:
+                    stock[i] -= t
+                runs.open(t, [large[i] for i in taken])
                 n -= t
-        left = {x: n for x, n in left.items() if x <= capacity * LARGE}
-        for x, c in [*freed.items(), *(e for g in by_size.values() for e in g)]:
-            left[x] = left.get(x, 0) + c
+                while large and not stock[-1]:
+                    large.pop(), stock.pop()
+        left.update((x, n) for x, n in zip(large, stock, strict=True) if n)
     for x in sorted(left, reverse=True):
         runs.fit(x, left[x])
     return runs.places(), runs.sequences
