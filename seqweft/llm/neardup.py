@@ -3,23 +3,28 @@
 A sketch has T coordinates. In each of T rounds every shingle is thrown into a hashed bin, which keeps the smallest hash
 of the first round that reaches it; T more rounds fill bin after bin, so every coordinate is filled even for one
 shingle, and the share of equal coordinates of two sketches is concentrated around the sets' similarity. Bands of
-coordinates are matched; what they bring together is confirmed on full sets.
+coordinates are matched; what they bring together is confirmed on full sets, and links on the shingles' bytes.
 
-Equal sets are one class with one representative. Matched bands make a graph of stars, a row for each band and class,
-whose components ("blobs") hold every candidate pair. A blob that fits one task is verified there against full sets,
-each set sent once; larger blobs go by their bands' buckets, larger buckets by pairs of blocks. A task gives out no
-pairs but a forest that has the components of its links, so results stay linear in the input.
+Texts of the same words are one class with one representative. Matched bands make a graph of stars, a row for each band
+and class, whose components ("blobs") hold every candidate pair. A blob that fits one task is verified there, each set
+sent once. Of a larger blob all members are first held against one of them, the hub, over many tasks: one pass, linear
+in the blob. Those that are linked to it are one component; by the triangle inequality of the Jaccard distance the
+others can only be linked to those of them whose distance to the hub is near enough to their own, so the rest of the
+component is done with. What is left makes smaller blobs, and the next pass has another hub. After HUBS passes, large
+rests go by their bands' buckets in blocks, where only pairs of different components are held against each other. A
+task gives out no pairs but a forest that has the components of its links, so results stay linear in the input.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, stash, whole_groups
+from .common import discard, keyed, row_keys, stash, whole_groups
 from .graph import connected_components
 from .textscan import Words, mix, pieces, runs
 
@@ -28,8 +33,9 @@ from .textscan import Words, mix, pieces, runs
 SHINGLE, T, BANDS = 5, 192, 32
 #: Links: 100 * intersection >= SIMILAR * union.
 SIMILAR = 85
-#: Sets, and shingles in all of them, that one task verifies at a time.
-MOST_SETS, MOST_SHINGLES = 3_000, 3_000_000
+#: Sets, and shingles in all of them, that one task verifies at a time; passes over larger blobs, and members of a task there.
+MOST_SETS, MOST_SHINGLES = 500, 1_000_000
+HUBS, CHUNK = 3, 200
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -78,6 +84,15 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def lowered_words(text: str) -> list[bytes]:
+    return text.encode().lower().split()
+
+
+def shingles_of(words: list[bytes]) -> set[tuple[bytes, ...]]:
+    """The shingles themselves, not their hashes."""
+    return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else {tuple(words)}
+
+
 def _sketch_batches(batches):
     for b in batches:
         for at, data, offs in pieces(b.column("text")):
@@ -85,19 +100,19 @@ def _sketch_batches(batches):
             size = np.array([len(s) for s in sets])
             keys = band_keys(sketches(sets))
             ends = np.concatenate([[0], np.cumsum((size > 0) * BANDS)]).astype(np.int32)
-            n = len(sets)
+            n, raw = len(sets), data.tobytes().lower()
+            same = [hashlib.sha256(b" ".join(raw[s:e].split())).digest() for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("key").slice(at, n), b.column("doc_id").slice(at, n), pa.array(size, pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[size > 0].ravel())),
-                ],
+                [b.column("key").slice(at, n), b.column("doc_id").slice(at, n), pa.array(size, pa.int64()), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[size > 0].ravel()))],
                 ["key", "doc_id", "n_shingles", "digest", "bands"],
-            )
+            )
 
 
-def forest(sets: list[np.ndarray], similar: int = SIMILAR) -> list[tuple[int, int]]:
-    """Links that have the components of all links among the sets. Candidates share one of their rarest shingles (prefix filter)."""
+def forest(sets: list[np.ndarray], similar: int = SIMILAR, labels: list | None = None, confirm=None) -> list[tuple[int, int]]:
+    """Links that have the components of all links among the sets. Candidates share one of their rarest shingles (prefix filter).
+
+    Sets with one label are known to be of one component. confirm(i, j) has the last word on a link.
+    """
     n = len(sets)
     root = list(range(n))
 
@@ -107,6 +122,9 @@ def forest(sets: list[np.ndarray], similar: int = SIMILAR) -> list[tuple[int, in
             i = root[i]
         return i
 
+    first: dict = {}
+    for i, x in enumerate(labels or ()):
+        root[i] = find(first.setdefault(x, i))
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -144,71 +162,195 @@ def forest(sets: list[np.ndarray], similar: int = SIMILAR) -> list[tuple[int, in
         mark[mine] = False
         for j in near[100 * common >= similar * (size[i] + size[near] - common)].tolist():
             a, b = find(i), find(j)
-            if a != b:
+            if a != b and (confirm is None or confirm(i, j)):
                 root[max(a, b)] = min(a, b)
                 links.append((i, j))
     return links
 
 
-def _verify_batches(batches):
+def _confirmed(texts: list[str], similar: int):
+    """Whether two texts' sets are linked, by the shingles' bytes; the last set is kept, as it is asked for again."""
+    kept: dict[int, set] = {}
+
+    def shingles(i: int) -> set:
+        if i not in kept:
+            if len(kept) > 1:
+                kept.clear()
+            kept[i] = shingles_of(lowered_words(texts[i]))
+        return kept[i]
+
+    def confirm(i: int, j: int) -> bool:
+        a, b = shingles(i), shingles(j)
+        common = len(a & b)
+        return 100 * common >= similar * (len(a) + len(b) - common)
+
+    return confirm
+
+
+def _verify_batches(batches, similar: int):
+    """Links (a, b) among the sets of each group gid."""
     for table in whole_groups(batches, "gid", 4_000):
+        texts = table.column("text").to_pylist()
         sets = [s for _, data, offs in pieces(table.column("text")) for s in shingle_sets(data, offs)]
-        gid, key = np.asarray(table.column("gid").combine_chunks()), np.asarray(table.column("key").combine_chunks())
+        gid, key, label = (np.asarray(table.column(c).combine_chunks()) for c in ("gid", "key", "label"))
         cut = np.concatenate([[0], np.flatnonzero(gid[1:] != gid[:-1]) + 1, [len(gid)]])
         a, b = [], []
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            for i, j in forest(sets[s:e]):
+            for i, j in forest(sets[s:e], similar, label[s:e].tolist(), _confirmed(texts[s:e], similar)):
                 a.append(key[s + i])
                 b.append(key[s + j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _against_hub(batches, similar: int):
+    """(key, linked, distance) of each row against the hub of its blob, the first row of its chunk."""
+    hub = hub_text = None
+    for batch in batches:
+        for at, data, offs in pieces(batch.column("text")):
+            part = batch.slice(at, len(offs) - 1)
+            first, keys, texts = part.column("first").to_pylist(), part.column("key").to_pylist(), part.column("text").to_pylist()
+            out: list[tuple] = []
+            for i, s in enumerate(shingle_sets(data, offs)):
+                if first[i]:
+                    hub, hub_text = s, texts[i]
+                    continue
+                where = np.minimum(np.searchsorted(hub, s), len(hub) - 1)
+                common = int((hub[where] == s).sum())
+                union = len(hub) + len(s) - common
+                linked = 100 * common >= similar * union and _confirmed([hub_text, texts[i]], similar)(0, 1)
+                out.append((keys[i], linked, 1 - common / union))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.float64()))], ["key", "linked", "distance"])
+
+
+def _stars(rows: DataFrame, *more) -> DataFrame:
+    """rows (key, band, ...) with a bucket's hub, size n and shingles weight, where more than one row shares a band."""
+    shared = rows.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"), *more).where("n > 1")
+    return rows.join(shared, "band")
+
+
+def _with_blobs(nodes: DataFrame, matches: DataFrame) -> DataFrame:
+    """nodes (key, n_shingles, degree, label) with the smallest key of their component of stars."""
+    blobs = connected_components(matches.select(F.col("key").alias("a"), F.col("hub").alias("b")))
+    out = stash(nodes.join(blobs, "key", "left").withColumn("blob", F.coalesce("comp", "key")).drop("comp"), "members")
+    discard(blobs)
+    return out
+
+
+def _links(texts: DataFrame, matches: DataFrame, similar: int) -> list[DataFrame]:
+    """Written tables (a, b) of links that have the components of all of them. texts: key, text; matches: key, n_shingles, band, hub, n, weight."""
+    nodes = matches.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.sum("n").alias("degree")).withColumn("label", F.col("key"))
+    nodes = _with_blobs(nodes, matches)
+    links, groups, done = [], [], [nodes]
+    for turn in range(HUBS + 1):
+        sizes = stash(nodes.groupBy("blob").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("in_all"), F.max_by("key", F.struct(F.col("label") == F.col("key"), "degree", -F.col("key"))).alias("chief")), "sizes")
+        done.append(sizes)
+        fits = (F.col("sets") <= MOST_SETS) & (F.col("in_all") <= MOST_SHINGLES)
+        groups.append(nodes.join(sizes.where(fits), "blob").select(F.col("blob").alias("gid"), "key", "label"))
+        large = sizes.where(~fits)
+        if large.isEmpty():
+            break
+        if turn == HUBS:
+            groups.append(_blocks(nodes.join(large.select("blob"), "blob").select("key", "label"), matches))
+            break
+        # one pass: every member of a large blob against its chief, in chunks that each have the chief's text in front
+        chunks = F.ceil(F.greatest(F.col("sets") / CHUNK, F.col("in_all") / MOST_SHINGLES)).cast("long")
+        parted = large.select("blob", "chief", chunks.alias("chunks"))
+        members = nodes.join(parted, "blob").where("key <> chief").select("blob", F.pmod(F.xxhash64("key"), "chunks").alias("chunk"), F.lit(False).alias("first"), "key")
+        fronts = parted.select("blob", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("first"), F.col("chief").alias("key"))
+        rows = members.union(fronts).join(texts, "key").repartition("blob", "chunk").sortWithinPartitions("blob", "chunk", F.desc("first"))
+        held = rows.select("key", "first", "text").mapInArrow(lambda it: _against_hub(it, similar), "key long, linked boolean, distance double")
+        held = stash(held.join(nodes, "key").join(parted.select("blob", "chief"), "blob"), "held")
+        links.append(stash(held.where("linked").select(F.col("key").alias("a"), F.col("chief").alias("b")), "hub-links"))
+        # of the linked ones, only those that the others may still reach
+        nearest = held.where(~F.col("linked")).groupBy("blob").agg(F.min("distance").alias("nearest"))
+        kept = held.join(nearest, "blob").where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - (1 - similar / 100) - 1e-9))
+        kept = kept.select("key", "n_shingles", F.when(F.col("linked"), F.col("chief")).otherwise(F.col("label")).alias("label"), "linked")
+        rest = matches.select("key", "band").join(kept, "key")
+        # a bucket matters only where it has one of the others
+        matches = stash(_stars(rest, F.count_if(~F.col("linked")).alias("others")).where("others > 0").select("key", "n_shingles", "label", "band", "hub", "n", "weight"), "matches")
+        nodes = matches.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.sum("n").alias("degree"), F.first("label").alias("label"))
+        nodes = _with_blobs(nodes, matches)
+        done += [held, nodes, matches]
+        matches = matches.drop("label")
+    todo = groups[0]
+    for g in groups[1:]:
+        todo = todo.unionByName(g)
+    rows = todo.join(texts, "key").select("gid", "key", "label", "text")
+    links.append(stash(rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(lambda it: _verify_batches(it, similar), "a long, b long"), "links"))
+    discard(*done)
+    return links
+
+
+def _blocks(nodes: DataFrame, matches: DataFrame) -> DataFrame:
+    """(gid, key, label): buckets of nodes that fit a task, and of larger ones each block of the members that are not of
+    the bucket's commonest label with each block of all members: no pair within that label is looked at again."""
+    rows = matches.select("key", "n_shingles", "band", "hub").join(nodes, "key")
+    tally = rows.groupBy("band", "hub", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    load = F.greatest(F.sum("n") / F.lit(MOST_SETS), F.sum("w") / F.lit(MOST_SHINGLES))
+    tally = tally.groupBy("band", "hub").agg(load.alias("load"), F.max(F.struct("n", "w", "label")).alias("top"))
+    main = F.greatest(F.col("top.n") / F.lit(MOST_SETS), F.col("top.w") / F.lit(MOST_SHINGLES))
+    parts = lambda x: F.when(F.col("load") <= 1, 1).otherwise(F.ceil(2 * x)).cast("long")
+    tally = tally.select("band", "hub", F.col("top.label").alias("common"), parts(F.col("load")).alias("wide"), F.greatest(parts(F.col("load") - main), F.lit(1)).alias("narrow"))
+    rows = rows.join(tally, ["band", "hub"])
+    spot = F.xxhash64("key", F.lit(1))
+    as_any = F.transform(F.sequence(F.lit(0).cast("long"), F.col("narrow") - 1), lambda k: F.struct(F.pmod(spot, "wide").alias("i"), k.alias("j")))
+    as_other = F.transform(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1), lambda k: F.struct(k.alias("i"), F.pmod(spot, "narrow").alias("j")))
+    cells = F.when(F.col("label") == F.col("common"), as_any).otherwise(F.array_union(as_any, as_other))
+    rows = rows.select("band", "hub", "key", "label", F.explode(cells).alias("cell"))
+    return rows.select(F.xxhash64("band", "hub", "cell.i", "cell.j").alias("gid"), "key", "label").distinct()
+
+
+def _grouped(src: DataFrame, similar: int) -> DataFrame:
+    """key, doc_id, n_shingles, comp (smallest key of the component; null for an empty set). src: key, doc_id, text."""
+    kind = dict(src.dtypes)["doc_id"]
+    s = stash(src.mapInArrow(_sketch_batches, f"key long, doc_id {kind}, n_shingles long, digest binary, bands array<long>"), "sketches")
+    classes = stash(s.where("n_shingles > 0").groupBy("digest").agg(F.min("key").alias("rep")), "classes")
+    reps = s.join(classes.select(F.col("rep").alias("key")), "key").select("key", "n_shingles", F.explode("bands").alias("band"))
+    matches = stash(_stars(reps), "matches")
+    links = _links(src.select("key", "text"), matches, similar)
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    comps = connected_components(every)
+    named = stash(classes.join(comps, classes.rep == comps.key, "left").select("digest", F.coalesce("comp", "rep").alias("comp")), "components")
+    discard(classes, matches, comps, *links)
+    return s.join(named, "digest", "left").select("key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).alias("comp"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     A document's set: the distinct shingles of SHINGLE words, A-Z lower-cased; with fewer words the whole sequence;
     null and empty texts have none and are linked with nothing. component_id is the smallest id reachable by links.
-    Shingles are told apart by 64-bit hashes. Ids that are null or repeat get row numbers inside and keep their values
-    outside: rows of one id are documents of their own, component_id is the smallest id among those reachable.
+    Links are confirmed by the shingles' bytes; texts count as equal by the sha256 of their words. Ids may be of any
+    type. Ids that are null or repeat get row numbers inside and keep their values outside: rows of one id are documents
+    of their own, component_id is the smallest id among those reachable, null if all are null. Other columns are ignored.
     """
     src, plain = keyed(docs, id_col, text_col)
-    src = src.select("key", "doc_id", "text")
-    s = stash(src.mapInArrow(_sketch_batches, "key long, doc_id long, n_shingles long, digest binary, bands array<long>"), "sketches")
-    classes = stash(s.where("n_shingles > 0").groupBy("digest").agg(F.min("key").alias("rep")), "classes")
-    reps = s.join(classes.select(F.col("rep").alias("key")), "key").select("key", "n_shingles", F.explode("bands").alias("band"))
-    shared = reps.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
-    matches = stash(reps.join(shared, "band"), "matches")
-    blobs = connected_components(matches.select(F.col("key").alias("a"), F.col("hub").alias("b")))
-    members = matches.select("key", "n_shingles").distinct().join(blobs, "key", "left").select("key", "n_shingles", F.coalesce("comp", "key").alias("blob"))
-    members = stash(members, "members")
-    sizes = members.groupBy("blob").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("in_all"))
-    fits = (F.col("sets") <= MOST_SETS) & (F.col("in_all") <= MOST_SHINGLES)
-    groups = members.join(sizes.where(fits), "blob").select(F.col("blob").alias("gid"), "key")
-    large = sizes.where(~fits)
-    if not large.isEmpty():
-        keys = members.join(large.select("blob"), "blob").select("key")
-        blocks = F.greatest(F.ceil(F.col("n") * 2 / MOST_SETS), F.ceil(F.col("weight") * 2 / MOST_SHINGLES)).cast("long")
-        rows = matches.join(keys, "key").withColumn("blocks", F.when((F.col("n") <= MOST_SETS) & (F.col("weight") <= MOST_SHINGLES), F.lit(1).cast("long")).otherwise(blocks))
-        mine = F.pmod(F.xxhash64("key"), F.col("blocks"))
-        rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        pair = F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other"))
-        groups = groups.union(rows.select(pair.alias("gid"), "key")).distinct()
-    texts = src.select("key", "text").join(groups, "key").select("gid", "key", "text")
-    links = texts.repartition("gid").sortWithinPartitions("gid").mapInArrow(_verify_batches, "a long, b long")
-    comps = connected_components(links)
-    named = classes.join(comps, classes.rep == comps.key, "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
+    out = _grouped(src, similar)
     if plain:
-        named = stash(named, "components")
-        out = s.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("comp")), F.col("doc_id")).alias("component_id"))
-        return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    least = s.where("n_shingles > 0").join(named, "digest").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = stash(named.join(least, "comp").select("digest", "component_id"), "components")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = s.join(named, "digest", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+        kind = dict(src.dtypes)["doc_id"]
+        out = out.select("doc_id", "n_shingles", F.coalesce("comp", "key").cast(kind).alias("component_id"))
+    else:
+        out = stash(out, "grouped")
+        least = out.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        out = out.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest, with all columns."""
-    keep = near_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi")
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
+    """One row of each group of near copies, with all its columns: the one with the smallest id.
+
+    Null and empty texts are linked with nothing, so all of them stay. Ids of any type; a null id comes after all
+    others, and rows that share an id or have none come in the order in which they were first read, so exactly one row
+    of each group stays.
+    """
+    rows, name, plain = row_keys(docs, id_col)
+    src = rows.select(F.col(name).alias("key"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = _grouped(src, similar)
+    if plain:
+        keep = out.where("comp is null or comp = key").select("key")
+    else:
+        order = F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+        keep = out.groupBy(F.coalesce("comp", "key").alias("comp")).agg(order.alias("key")).select("key")
+    return rows.join(keep.withColumnRenamed("key", name), name, "left_semi").select(*docs.columns)

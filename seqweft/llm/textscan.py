@@ -1,7 +1,8 @@
 """Words of many texts at once: boundaries and 64-bit hashes worked out on the bytes of a whole Arrow column by numpy.
 
-A word's hash is sum(T[byte] * P^i) mod 2^64 over its bytes, mixed: prefix sums over the buffer give every word, and
-every prefix of a word, by one subtraction. T is a table of random-looking odd numbers from a fixed rule.
+A word's hash is the sum mod 2^64 of a random-looking number for each (byte, place in the word), mixed: prefix sums over
+the buffer give every word, and every prefix of a word, by one subtraction. The numbers come from a table made by a
+fixed rule; no structure of a word (as with powers of one base) makes sums of different words equal.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from .common import string_array
 
 #: Bytes that are worked on at once (one row may be larger), so that arrays stay small whatever the batch.
 STEP = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Places of a word with rows of their own in the table; later ones use its rows again, times a number for each turn.
+PLACES = 64
 #: Separators of words: ASCII white space. And of letter runs: all ASCII but letters and digits.
 SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
@@ -30,24 +31,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-_LOWER = _TABLE.copy()
-_LOWER[65:91] = _TABLE[97:123]
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    key = str(base)
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = max(n, STEP + 1)
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        have[1:] = base
-        np.multiply.accumulate(have, out=have)
-        if size <= 4 * STEP:
-            _powers[key] = have
-    return have[:n]
+_TABLE = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_LOWER = _TABLE.reshape(PLACES, 256).copy()
+_LOWER[:, 65:91] = _LOWER[:, 97:123]
+_LOWER = _LOWER.ravel()
 
 
 def pieces(column):
@@ -76,7 +63,7 @@ class Words:
         before[offs[:-1]] = True
         after[offs[1:][offs[1:] > offs[:-1]] - 1] = True
         inside = ~apart
-        self.data = data
+        self.data, self.inside = data, inside
         self.start = np.flatnonzero(inside & before[:n])
         self.end = np.flatnonzero(inside & after[:n]) + 1
         self.first = np.searchsorted(self.start, offs)
@@ -86,12 +73,18 @@ class Words:
 
     def hashes(self, lower: bool = False, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
         """Of whole words, then of their first n bytes for each n (of shorter words: of the whole word)."""
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _TABLE)[self.data] * _power(_BASE, n), out=total[1:])
-        back, low = _power(_INVERSE, n)[self.start] if n else np.zeros(0, np.uint64), total[self.start]
-        ends = [self.end, *(np.minimum(self.start + k, self.end) for k in prefixes)]
-        return [mix((total[e] - low) * back + (e - self.start).astype(np.uint64)) for e in ends]
+        size = self.end - self.start
+        place = np.flatnonzero(self.inside)
+        letters = self.data[place]
+        place -= np.repeat(self.start, size)
+        value = (_LOWER if lower else _TABLE)[(place & PLACES - 1) << 8 | letters]
+        if len(place) and place.max() >= PLACES:
+            turn = place // PLACES
+            value *= np.where(turn > 0, mix(turn.astype(np.uint64)) | np.uint64(1), np.uint64(1))
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        begin = np.cumsum(size) - size
+        return [mix(total[begin + n] - total[begin] + n.astype(np.uint64)) for n in (size, *(np.minimum(size, k) for k in prefixes))]
 
 
 def runs(h: np.ndarray, size: int) -> np.ndarray:

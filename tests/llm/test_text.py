@@ -102,10 +102,61 @@ def near_brute(rows):
     return {(i, len(sets[i]), comp[i], comp[i] == i) for i in sets}
 
 
-@pytest.mark.parametrize("most", [3_000, 3])
-def test_near(docs, rows, most, monkeypatch):
+@pytest.mark.parametrize("most, hubs", [(500, 3), (3, 3), (2, 1), (2, 0)])
+def test_near(docs, rows, most, hubs, monkeypatch):
     monkeypatch.setattr(neardup, "MOST_SETS", most)
-    assert {tuple(r) for r in neardup.near_groups(docs).collect()} == near_brute(rows)
+    monkeypatch.setattr(neardup, "HUBS", hubs)
+    monkeypatch.setattr(neardup, "CHUNK", 3)
+    want = near_brute(rows)
+    assert {tuple(r) for r in neardup.near_groups(docs).collect()} == want
+    kept = neardup.near_dedup(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _, _, keep in want if keep}
+
+
+@pytest.mark.parametrize("most, hubs", [(4, 3), (4, 1), (4, 0)])
+def test_near_chains(spark, most, hubs, monkeypatch):
+    """Drifting versions: neighbours are linked, far ones are not, and whoever is the hub only reaches some of them."""
+    monkeypatch.setattr(neardup, "MOST_SETS", most)
+    monkeypatch.setattr(neardup, "HUBS", hubs)
+    monkeypatch.setattr(neardup, "CHUNK", 2)
+    rnd = random.Random(11)
+    rows = []
+    for chain in range(3):
+        text = [f"c{chain}w{k}" for k in range(120)]
+        for step in range(25):
+            for k in rnd.sample(range(120), 2 if step % 9 else 5):
+                text[k] = f"c{chain}s{step}w{k}"
+            rows.append((len(rows), " ".join(text)))
+    rnd.shuffle(rows)
+    got = {tuple(r) for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == near_brute(rows) and len({c for _, _, c, _ in got}) > 3
+
+
+def test_near_by_bytes(spark, monkeypatch):
+    """Long words that powers of one base mod 2^64 cannot tell apart; and hashes that all clash link nothing."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, a), (2, a.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.near_groups(df).collect()} == {(1, 1), (2, 2)}
+    same = [np.arange(1, 30, dtype=np.uint64)] * 3
+    texts = [" ".join(f"{x}{k}" for k in range(33)) for x in "aba"]
+    assert neardup.forest(same, 85, None, neardup._confirmed(texts, 85)) == [(2, 0)]
+
+
+def test_dedup_odd_ids(spark):
+    """Null, repeated and string ids: one row of each group stays, and no text is lost."""
+    t = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, "q"), (None, "q"), (3, "q"), (3, "a a a"), (2, "a a a"), (2, "a a a"), (None, "lone"), (None, t), (9, t + " 1"), (9, t), (4, None), (5, "")]
+    for kind, ids in (("long", lambda i: i), ("string", lambda i: None if i is None else f"d{i}")):
+        df = spark.createDataFrame([(ids(i), x, "e") for i, x in rows], f"doc_id {kind}, text string, row_key_ string").repartition(3)
+        exact = sorted(((r.doc_id, r.text) for r in exactdedup.exact_dedup(df).collect()), key=str)
+        assert exact == sorted([(ids(3), "q"), (ids(2), "a a a"), (None, "lone"), (ids(9), t), (ids(9), t + " 1"), (ids(4), None)], key=str)
+        near = neardup.near_dedup(df)
+        got = [(r.doc_id, r.text) for r in near.collect()]
+        assert near.columns == df.columns and {(ids(3), "q"), (ids(2), "a a a"), (None, "lone")} < set(got)
+        assert sorted(map(str, (i for i, _ in got))) == sorted(map(str, [ids(3), ids(2), None, ids(9), ids(4), ids(5)]))
+    assert {r.component_id for r in neardup.near_groups(df).where("n_shingles > 1").collect()} == {"d9"}
 
 
 def test_near_odd_ids(spark, empty):
