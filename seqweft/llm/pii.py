@@ -1,13 +1,17 @@
 """Personal data: fixed patterns for e-mail, ip, card and phone, and bootstrapped contextual extraction of further identifiers.
 
-What the fixed patterns find are the seed instances. The words around an occurrence make lexical patterns. Spark scores
-the graph of patterns and instances in rounds: a pattern is worth the share of confident instances of a kind among the
-different ones in it (smoothed; unknown ones count in part), an instance the noisy-or of its patterns. Identifier-like strings outside the seeds
-that end up confident are found wherever they stand. Contexts that all kinds share, or few instances, discover nothing.
+Seed instances are what the fixed patterns find and, as one kind more, secrets: key-like strings behind a word such as
+token or password, or with a provider's prefix. The words around an occurrence make lexical patterns. Spark scores the
+graph of patterns and instances in rounds until nothing changes: a pattern is worth the share of confident instances of
+a kind among the different ones in it (smoothed; unknown ones count in part), an instance the noisy-or of its patterns.
+Identifier-like strings outside the seeds (numbers with separators, addresses in any spelling, keys and codes, also as
+parts of long strings) that end up confident are found wherever they stand. Contexts that all kinds share, or few
+instances, discover nothing.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -15,25 +19,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, string_array
+from .common import discard, stash, string_array
 
-#: Kinds in the order of listings.
-KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; least score of a pattern and confidence of an instance.
-ROUNDS, PATTERN_AT, INSTANCE_AT = 3, 0.8, 0.9
+#: Kinds of the fixed patterns, and all kinds, in the order of listings.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
+#: Rounds of scoring at most (they end when nothing changes); least score of a pattern and confidence of an instance.
+ROUNDS, PATTERN_AT, INSTANCE_AT = 12, 0.8, 0.9
 #: What a pattern's denominator is raised by, and how much of an instance counts there whose kind is unknown.
 DOUBT, UNKNOWN = 2.0, 0.2
-#: Identifier-like: digits that a string needs to have.
-DIGITS = 5
+#: Digits of a number or code that could tell one thing from others, in all its parts together.
+DIGITS = 4
+#: Longer values and words of patterns are named by their digest.
+LONG = 200
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\s]*+")
 _DIGIT = re.compile("[0-9]")
+_WORD = re.compile(r"\S+")
 _TRIM = "\"'.,;:!?()[]{}<>*&%$#|="
+#: Words before a secret and prefixes that providers give their keys (fixed values).
+_SECRET_WORD = re.compile(r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|bearer|(?:api|access|private|auth)[ _-]?key)(?![a-z])[\"']?[ \t]*[:=]?[ \t]*[\"']?([A-Za-z0-9+/_-]{12,}={0,2})")
+_PROVIDER = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[ ()./-]{0,3}[0-9])+(?![0-9A-Za-z])")
+_CODE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_+.-]*={0,2}")
+_ADDRESS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-äöüßéèàñç")
+_SPELLED = re.compile(r"(?i)[ ]?[(\[{<][ ]?at[ ]?[)\]}>][ ]?")
+_SPELLED_END = re.compile(r"(?i)[a-z0-9-]++(?:(?:\.|[ ]?[(\[{<][ ]?dot[ ]?[)\]}>][ ]?)[a-z0-9-]++)*")
 
 
 def luhn(digits: str) -> bool:
@@ -57,7 +72,8 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
         at = text.find("@", max(at + 1, done))
     if not _DIGIT.search(text):
         return [emails, [], [], []]
-    ips = [m.span() for m in _IP.finditer(text) if all(int(p) <= 255 for p in m.group().split(".") if len(p) < 50) and max(map(len, m.group().split("."))) < 50]
+    least = lambda p: len(p) <= 3 and int(p or "0") <= 255
+    ips = [m.span() for m in _IP.finditer(text) if all(least(p.lstrip("0")) for p in m.group().split("."))]
     cards = []
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -68,59 +84,117 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [emails, ips, cards, phones]
 
 
-def listing(spans: list[list[tuple[int, int]]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, s in zip(KINDS, spans, strict=True) for a, b in sorted(s))
-
-
-def _contexts(text: str, a: int, b: int) -> list[str]:
-    """Lexical patterns of an occurrence: the two words before it, and the words on both sides."""
-    before = [w.strip(_TRIM).lower() for w in text[max(0, a - 80) : a].split()[-2:]]
-    after = [w.strip(_TRIM).lower() for w in text[b : b + 60].split()[:1]]
-    out = []
-    if len(before) == 2:
-        out.append(f"2 {before[0]} {before[1]}")
-    if before and after:
-        out.append(f"1 {before[-1]} _ {after[0]}")
+def secret_spans(text: str) -> list[tuple[int, int]]:
+    """Keys with a digit behind a secret's word, and keys with a provider's prefix; leftmost, without overlap."""
+    if not _DIGIT.search(text):
+        return []
+    found = [m.span(1) for m in _SECRET_WORD.finditer(text) if _DIGIT.search(m.group(1))] + [m.span() for m in _PROVIDER.finditer(text)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
     return out
 
 
+def listing(spans: list[list[tuple[int, int]]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, s in zip(KINDS, spans, strict=False) for a, b in sorted(s))
+
+
+def _name(s: str) -> str:
+    return s if len(s) <= LONG else hashlib.sha256(s.encode()).hexdigest()
+
+
+class Contexts:
+    """Lexical patterns of places in a text: the two words before, and the words on both sides. What stands before or behind
+    the place in its own white-space token is a word too."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.words = [m.span() for m in _WORD.finditer(text)]
+        self.ends = [b for _, b in self.words]
+
+    def _word(self, a: int, b: int) -> str:
+        raw = self.text[a:b]
+        return _name((raw.strip(_TRIM) or raw).lower())
+
+    def of(self, a: int, b: int) -> list[str]:
+        i = bisect.bisect_right(self.ends, a)  # the word that holds a
+        k = bisect.bisect_left(self.ends, b)  # the one that holds the last letter
+        before = [self._word(*self.words[j]) for j in range(max(0, i - 2), i)]
+        start = self.words[i][0]
+        if self.text[start:a].strip(_TRIM):
+            before.append(self._word(start, a))
+        end = self.words[k][1]
+        after = self._word(b, end) if self.text[b:end].strip(_TRIM) else self._word(*self.words[k + 1]) if k + 1 < len(self.words) else None
+        out = []
+        if len(before) >= 2:
+            out.append(f"2 {before[-2]} {before[-1]}")
+        if before and after is not None:
+            out.append(f"1 {before[-1]} _ {after}")
+        return out
+
+
+def _digits(s: str) -> int:
+    return sum("0" <= c <= "9" for c in s)
+
+
 def candidates(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    """Identifier-like strings outside the spans: white-space tokens, trimmed, with DIGITS digits at least."""
-    taken = sorted(x for s in spans for x in s)
-    out, at, k = [], 0, 0
-    while m := _DIGIT.search(text, at):
-        a = m.start()
-        while a > at and not text[a - 1].isspace():
+    """Identifier-like strings outside the spans: addresses without a full domain or spelled out, numbers with separators, keys and codes."""
+    found: list[tuple[int, int]] = []
+    done, at = 0, text.find("@")
+    while at >= 0:
+        a, b = at, at + 1
+        while a > done and text[a - 1] in _ADDRESS:
             a -= 1
-        b = _TOKEN.match(text, m.start()).end()
-        at = b
-        s, e = a + len(text[a:b]) - len(text[a:b].lstrip(_TRIM)), a + len(text[a:b].rstrip(_TRIM))
-        while k < len(taken) and taken[k][1] <= s:
+        while b < len(text) and text[b] in _ADDRESS:
+            b += 1
+        if a < at and b > at + 1:
+            found.append((a, b))
+        done = b
+        at = text.find("@", b)
+    for m in _SPELLED.finditer(text):
+        a, end = m.start(), _SPELLED_END.match(text, m.end())
+        while a and text[a - 1] in _ADDRESS:
+            a -= 1
+        if a < m.start() and end:
+            found.append((a, end.end()))
+    if _DIGIT.search(text):
+        found += [m.span() for m in _NUMBER.finditer(text) if _digits(m.group()) >= DIGITS]
+        for m in _CODE.finditer(text):
+            s = m.group().rstrip(".+-_")
+            if _digits(s) >= DIGITS and not s.isdigit():
+                found.append((m.start(), m.start() + len(s)))
+    taken = sorted(x for s in spans for x in s)
+    out: list[tuple[int, int]] = []
+    k = upto = 0
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if any(x < e and s < y for x, y in taken[k : k + 8]):
-            continue
-        if e - s <= 200 and sum("0" <= c <= "9" for c in text[s:e]) >= DIGITS:
-            out.append((s, e))
+        if a >= upto and not (k < len(taken) and taken[k][0] < b):
+            out.append((a, b))
+            upto = b
     return out
 
 
 _OCCURRENCE = "array<struct<kind:string,value:string,start:long,stop:long,patterns:array<string>>>"
+_ADDED = "array<struct<kind:string,start:long,stop:long>>"
 
 
 def _scan(batches):
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("patterns", pa.list_(pa.string()))]))
     for b in batches:
         texts = string_array(b.column("text")).to_pylist()
         base, found = [], []
         for t in texts:
             spans = base_spans(t)
             base.append(spans)
-            rows = [(k, a, z) for k, s in zip(KINDS, spans, strict=True) for a, z in s]
-            rows += [(None, a, z) for a, z in candidates(t, spans)] if _DIGIT.search(t) else []
-            found.append([{"kind": k, "value": t[a:z].lower(), "start": a, "stop": z, "patterns": _contexts(t, a, z)} for k, a, z in rows])
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("patterns", pa.list_(pa.string()))]))
+            seeds = [*spans, secret_spans(t)]
+            rows = [(k, a, z) for k, s in zip(KINDS, seeds, strict=True) for a, z in s] + [(None, a, z) for a, z in candidates(t, seeds)]
+            near = Contexts(t) if rows else None
+            found.append([{"kind": k, "value": _name(t[a:z].lower()), "start": a, "stop": z, "patterns": near.of(a, z)} for k, a, z in rows])
         yield pa.RecordBatch.from_arrays(
-            [b.column("key"), b.column("doc_id"), *(pa.array([len(s[i]) for s in base], pa.int64()) for i in range(4)), pa.array([listing(s) for s in base]), pa.array(found, kind)],
-            ["key", "doc_id", *(f"n_{k}" for k in KINDS), "base", "found"],
+            [b.column("key"), b.column("doc_id"), *(pa.array([len(s[i]) for s in base], pa.int64()) for i in range(len(BASE))), pa.array([listing(s) for s in base]), pa.array(found, kind)],
+            ["key", "doc_id", *(f"n_{k}" for k in BASE), "base", "found"],
         )
 
 
@@ -130,26 +204,27 @@ def discovered(scanned: DataFrame) -> DataFrame | None:
     edges = stash(seen.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
     size = edges.groupBy("pattern").agg((F.count("kind") + UNKNOWN * F.count_if(F.col("kind").isNull()) + DOUBT).alias("n")).where(f"n > {1 + DOUBT}")
     seeds = edges.where("kind is not null").select("value", "kind").distinct().withColumn("conf", F.lit(1.0))
-    known = seeds
-    fresh = None
+    known, fresh, before = seeds, None, None
     for _ in range(ROUNDS):
         good = edges.select("pattern", "value").join(known, "value").groupBy("pattern", "kind").agg(F.sum("conf").alias("sum"))
         score = F.least(F.col("sum") / F.col("n"), F.lit(0.99))
         patterns = stash(good.join(size, "pattern").select("pattern", "kind", score.alias("score")).where(score >= PATTERN_AT), "patterns")
-        if patterns.isEmpty():
-            return fresh
         each = edges.where("kind is null").select("pattern", "value").join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("conf"))
         best = each.groupBy("value").agg(F.max(F.struct("conf", "kind")).alias("b")).select("value", "b.kind", "b.conf").where(F.col("conf") >= INSTANCE_AT)
-        fresh = stash(best, "instances")
-        if fresh.isEmpty():
-            return None
+        last, fresh = fresh, stash(best, "instances")
+        discard(patterns, *([last] if last is not None else []))
+        state = fresh.agg(F.count(F.lit(1)), F.sum(F.xxhash64("value", "kind").cast("decimal(38,0)"))).first()
+        if not state[0] or state == before:
+            break
+        before = state
         known = seeds.unionByName(fresh)
-    return fresh
+    discard(edges)
+    return fresh if state[0] else None
 
 
 def _scanned(src: DataFrame) -> DataFrame:
     kind = dict(src.dtypes)["doc_id"]
-    schema = f"key long, doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + f", base string, found {_OCCURRENCE}"
+    schema = f"key long, doc_id {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + f", base string, found {_OCCURRENCE}"
     return stash(src.select("key", "doc_id", "text").mapInArrow(_scan, schema), "scanned")
 
 
@@ -163,26 +238,30 @@ def _added(scanned: DataFrame) -> DataFrame | None:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the fixed patterns) and spans (of all kinds) of every row.
 
-    Null texts count as empty. Ids are only passed on, so repeated rows repeat and null ids stay; other columns are ignored.
+    Null texts count as empty. Ids are only passed on, so repeated rows repeat and null ids stay; a value that stands in
+    many rows counts once for each pattern. Other columns are ignored; an empty table gives no rows.
     """
     src = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scanned = _scanned(src)
     added = _added(scanned)
     base = F.sha2("base", 256).alias("base_sha256")
-    counts = ["doc_id", *(f"n_{k}" for k in KINDS)]
-    if added is None:
-        return scanned.select(*counts, base, F.col("base").alias("spans"))
+    counts = ["doc_id", *(f"n_{k}" for k in BASE)]
     place = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
     own = F.transform(F.filter("found", lambda x: x["kind"].isNotNull()), lambda x: F.struct(place(x["kind"]).alias("o"), x["start"].alias("a"), x["stop"].alias("b"), x["kind"].alias("k")))
-    new = F.transform(F.coalesce("added", F.array().cast("array<struct<kind:string,start:long,stop:long>>")), lambda x: F.struct(place(x["kind"]).alias("o"), x["start"].alias("a"), x["stop"].alias("b"), x["kind"].alias("k")))
+    scanned = scanned.withColumn("added", F.lit(None).cast(_ADDED)) if added is None else scanned.join(added, "key", "left")
+    new = F.transform(F.coalesce("added", F.array().cast(_ADDED)), lambda x: F.struct(place(x["kind"]).alias("o"), x["start"].alias("a"), x["stop"].alias("b"), x["kind"].alias("k")))
     text = F.array_join(F.transform(F.sort_array(F.concat(own, new)), lambda x: F.concat_ws(":", x["k"], x["a"], x["b"])), ",")
-    return scanned.join(added, "key", "left").select(*counts, base, text.alias("spans"))
+    return scanned.select(*counts, base, text.alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each span of text_col replaced by its kind in angle brackets; null texts stay null, other columns stay as they are."""
+    """docs with each span of text_col replaced by its kind in angle brackets.
+
+    Of spans that overlap, the one that begins first (of those the one that ends first, then by kind) gives its name,
+    and the others' letters go too. Null texts stay null, other columns stay as they are, repeated rows repeat.
+    """
     key = "pii_key_"
     while key in docs.columns:
         key += "_"
@@ -190,7 +269,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     added = _added(_scanned(rows.select(F.col(key).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
     extra = key + "added"
     if added is None:
-        rows = rows.withColumn(extra, F.array().cast("array<struct<kind:string,start:long,stop:long>>"))
+        rows = rows.withColumn(extra, F.array().cast(_ADDED))
     else:
         rows = rows.join(added.select(F.col("key").alias(key), F.col("added").alias(extra)), key, "left")
     names = docs.columns
@@ -200,7 +279,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             texts = []
             for t, more in zip(b.column(text_col).to_pylist(), b.column(extra).to_pylist(), strict=True):
                 if t is not None:
-                    spans = [(a, z, k) for k, s in zip(KINDS, base_spans(t), strict=True) for a, z in s] + [(x["start"], x["stop"], x["kind"]) for x in more or ()]
+                    spans = [(a, z, k) for k, s in zip(KINDS, [*base_spans(t), secret_spans(t)], strict=True) for a, z in s] + [(x["start"], x["stop"], x["kind"]) for x in more or ()]
                     out, at = [], 0
                     for a, z, k in sorted(spans):
                         if z <= at:

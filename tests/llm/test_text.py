@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -9,7 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqweft.llm import exactdedup, graph, neardup, pii, quality, substring, textscan, toxicity
+from seqweft.llm import exactdedup, graph, neardup, pii, quality, queries, substring, textscan, toxicity
+
+SF = "/root/testdata/sf0.01"
 
 WORD = re.compile(r"[^ \t-\r]+")
 EDGE = [None, "", " \n\t ", "a", "a  b\tc", "a b c", "A b C", "é ÉÀ ß\u00a0x 日本"]
@@ -261,19 +264,50 @@ def test_base_spans_fuzzed():
             t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40)))
             assert pii.base_spans(t) == base_brute(t), t
     assert pii.base_spans("4111 1111 1111 1111")[2] == [(0, 19)]
+    for t in ("0" * 60 + "1.1.1.1", "0" * 4000 + ".0.0.255", "1.1.1." + "0" * 80 + "256", "1.2.3.4444"):
+        assert pii.base_spans(t) == base_brute(t), t
 
 
 def test_contexts_discover_identifiers(spark, empty):
     rows = [(i, f"please call me at {7000000 + i * 37} tomorrow" if i % 3 == 0 else f"please call me at +1 (555) 555-{1000 + i} tomorrow") for i in range(60)]
-    rows += [(100, "room 1234567 here"), (101, None), (102, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
-    assert got[0] == "phone:18:25" and got[1] == "phone:18:35" and got[100] == "" and got[101] == "" and got[102] == ""
-    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
-    assert clean[0] == clean[1] == "please call me at <PHONE> tomorrow" and clean[100] == rows[60][1] and clean[101] is None
+    rows += [(100, "room 1234567 here"), (101, None), (102, ""), (103, "please call me at 030 1234 567 tomorrow"), (103, "room 12-34-567"), (None, "please call me at 7000000 tomorrow")]
+    rows += [(200 + i, f'set token = "{hashlib.md5(str(i).encode()).hexdigest()}" there') for i in range(40)] + [(300, "set token = a1b2.c3d4 there"), (301, "the a1b2.c3d4 again"), (302, "the e5f6.a7b8 part")]
+    rows += [(400 + i, f"write to w{i}@mail.example.com please") for i in range(40)] + [(500, "write to bob@intranet please"), (501, "write to ann (at) host (dot) com please")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kind string").repartition(3)
+    got = collections.defaultdict(list)
+    for r in pii.find_personal_data(df).collect():
+        got[r.doc_id].append(r.spans)
+    assert got[0] == ["phone:18:25"] and got[1] == ["phone:18:35"] and got[100] == got[101] == got[102] == [""] and sorted(got[103]) == ["", "phone:18:30"] and got[None] == ["phone:18:25"]
+    assert got[200] == ["secret:13:45"] and got[300] == ["secret:12:21"] and got[301] == ["secret:4:13"] and got[302] == [""]
+    assert got[400] == ["email:9:28"] and got[500] == ["email:9:21"] and got[501] == ["email:9:32"]
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect() if r.doc_id != 103}
+    assert clean[0] == clean[1] == clean[None] == "please call me at <PHONE> tomorrow" and clean[100] == "room 1234567 here" and clean[101] is None
+    assert clean[200] == 'set token = "<SECRET>" there' and clean[501] == "write to <EMAIL> please" and pii.redact(df).columns == df.columns
     assert pii.find_personal_data(empty).count() == 0 and pii.redact(empty).count() == 0
 
 
+def test_candidates_cover_long_strings():
+    t = "http://" + "x" * 500 + "/?id=AB12cd34&y=" + "9" * 300
+    assert [t[a:b] for a, b in pii.candidates(t, [])] == ["AB12cd34", "9" * 300]
+    assert all(len(p) < 300 for a, b in pii.candidates(t, []) for p in pii.Contexts(t).of(a, b))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_personal_data_of_the_table(spark):
+    """The query against brute force on a whole table; planted secrets are found, and nothing else is called one."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    planted = 0
+    for r in queries.op5_pii(spark, SF).collect():
+        base = base_brute(docs[r.doc_id])
+        text = ",".join(f"{k}:{a}:{b}" for k, s in zip(pii.BASE, base, strict=True) for a, b in s)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(s) for s in base] and r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        want = [m.span(1) for m in re.finditer('(?i)token = "([0-9a-f]{40})"', docs[r.doc_id])]
+        planted += len(want)
+        assert [x for x in r.spans.split(",") if x.startswith("secret")] == [f"secret:{a}:{b}" for a, b in want]
+        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+    assert planted > 10
+
+
 def quality_brute(t):
     t = t or ""
     w = WORD.findall(t)
