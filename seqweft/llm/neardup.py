@@ -7,12 +7,13 @@ coordinates are matched; what they bring together is confirmed on full sets, and
 
 Texts of the same words are one class with one representative. Matched bands make a graph of stars, a row for each band
 and class, whose components ("blobs") hold every candidate pair. A blob that fits one task is verified there, each set
-sent once. Of a larger blob all members are first held against one of them, the hub, over many tasks: one pass, linear
+sent once. Of a larger blob all members are first held against one of them, its chief, over many tasks: one pass, linear
 in the blob. Those that are linked to it are one component; by the triangle inequality of the Jaccard distance the
-others can only be linked to those of them whose distance to the hub is near enough to their own, so the rest of the
-component is done with. What is left makes smaller blobs, and the next pass has another hub. After HUBS passes, large
-rests go by their bands' buckets in blocks, where only pairs of different components are held against each other. A
-task gives out no pairs but a forest that has the components of its links, so results stay linear in the input.
+others can only be linked to those of them whose distance to the chief is near enough to their own, so the rest of the
+component is done with. What is left goes by its bands' buckets, large ones in blocks, where only pairs of different
+components are held against each other. A task gives out no pairs but a forest that has the components of its links, so
+results stay linear in the input. Work on what is left is linear where the others are few; among many others that share
+buckets without being linked to the chief, each block meets each, which is the square of their number in a bucket.
 """
 
 from __future__ import annotations
@@ -33,9 +34,8 @@ from .textscan import Words, mix, pieces, runs
 SHINGLE, T, BANDS = 5, 192, 32
 #: Links: 100 * intersection >= SIMILAR * union.
 SIMILAR = 85
-#: Sets, and shingles in all of them, that one task verifies at a time; passes over larger blobs, and members of a task there.
-MOST_SETS, MOST_SHINGLES = 500, 1_000_000
-HUBS, CHUNK = 3, 200
+#: Sets, and shingles in all of them, that one task verifies at a time; and members of a larger blob that one chunk holds against its chief.
+MOST_SETS, MOST_SHINGLES, CHUNK = 1_000, 1_000_000, 200
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -202,9 +202,9 @@ def _verify_batches(batches, similar: int):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _against_hub(batches, similar: int):
-    """(key, linked, distance) of each row against the hub of its blob, the first row of its chunk."""
-    hub = hub_text = None
+def _against_chief(batches, similar: int):
+    """(key, linked, distance) of each row against the chief of its blob, the first row of its chunk."""
+    chief = chief_text = None
     for batch in batches:
         for at, data, offs in pieces(batch.column("text")):
             part = batch.slice(at, len(offs) - 1)
@@ -212,12 +212,12 @@ def _against_hub(batches, similar: int):
             out: list[tuple] = []
             for i, s in enumerate(shingle_sets(data, offs)):
                 if first[i]:
-                    hub, hub_text = s, texts[i]
+                    chief, chief_text = s, texts[i]
                     continue
-                where = np.minimum(np.searchsorted(hub, s), len(hub) - 1)
-                common = int((hub[where] == s).sum())
-                union = len(hub) + len(s) - common
-                linked = 100 * common >= similar * union and _confirmed([hub_text, texts[i]], similar)(0, 1)
+                where = np.minimum(np.searchsorted(chief, s), len(chief) - 1)
+                common = int((chief[where] == s).sum())
+                union = len(chief) + len(s) - common
+                linked = 100 * common >= similar * union and _confirmed([chief_text, texts[i]], similar)(0, 1)
                 out.append((keys[i], linked, 1 - common / union))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.float64()))], ["key", "linked", "distance"])
 
@@ -228,63 +228,44 @@ def _stars(rows: DataFrame, *more) -> DataFrame:
     return rows.join(shared, "band")
 
 
-def _with_blobs(nodes: DataFrame, matches: DataFrame) -> DataFrame:
-    """nodes (key, n_shingles, degree, label) with the smallest key of their component of stars."""
-    blobs = connected_components(matches.select(F.col("key").alias("a"), F.col("hub").alias("b")))
-    out = stash(nodes.join(blobs, "key", "left").withColumn("blob", F.coalesce("comp", "key")).drop("comp"), "members")
-    discard(blobs)
-    return out
-
-
 def _links(texts: DataFrame, matches: DataFrame, similar: int) -> list[DataFrame]:
     """Written tables (a, b) of links that have the components of all of them. texts: key, text; matches: key, n_shingles, band, hub, n, weight."""
-    nodes = matches.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.sum("n").alias("degree")).withColumn("label", F.col("key"))
-    nodes = _with_blobs(nodes, matches)
-    links, groups, done = [], [], [nodes]
-    for turn in range(HUBS + 1):
-        sizes = stash(nodes.groupBy("blob").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("in_all"), F.max_by("key", F.struct(F.col("label") == F.col("key"), "degree", -F.col("key"))).alias("chief")), "sizes")
-        done.append(sizes)
-        fits = (F.col("sets") <= MOST_SETS) & (F.col("in_all") <= MOST_SHINGLES)
-        groups.append(nodes.join(sizes.where(fits), "blob").select(F.col("blob").alias("gid"), "key", "label"))
-        large = sizes.where(~fits)
-        if large.isEmpty():
-            break
-        if turn == HUBS:
-            groups.append(_blocks(nodes.join(large.select("blob"), "blob").select("key", "label"), matches))
-            break
-        # one pass: every member of a large blob against its chief, in chunks that each have the chief's text in front
+    blobs = connected_components(matches.select(F.col("key").alias("a"), F.col("hub").alias("b")))
+    nodes = matches.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.sum("n").alias("degree"))
+    nodes = stash(nodes.join(blobs, "key", "left").withColumn("blob", F.coalesce("comp", "key")).drop("comp"), "members")
+    sizes = stash(nodes.groupBy("blob").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("in_all"), F.max_by("key", F.struct("degree", -F.col("key"))).alias("chief")), "sizes")
+    fits = (F.col("sets") <= MOST_SETS) & (F.col("in_all") <= MOST_SHINGLES)
+    todo = nodes.join(sizes.where(fits), "blob").select(F.col("blob").alias("gid"), "key", F.col("key").alias("label"))
+    large = sizes.where(~fits)
+    links, done = [], [blobs, nodes, sizes]
+    if not large.isEmpty():
+        # every member of a large blob against its chief, in chunks that each have the chief's text in front
         chunks = F.ceil(F.greatest(F.col("sets") / CHUNK, F.col("in_all") / MOST_SHINGLES)).cast("long")
         parted = large.select("blob", "chief", chunks.alias("chunks"))
         members = nodes.join(parted, "blob").where("key <> chief").select("blob", F.pmod(F.xxhash64("key"), "chunks").alias("chunk"), F.lit(False).alias("first"), "key")
         fronts = parted.select("blob", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("first"), F.col("chief").alias("key"))
         rows = members.union(fronts).join(texts, "key").repartition("blob", "chunk").sortWithinPartitions("blob", "chunk", F.desc("first"))
-        held = rows.select("key", "first", "text").mapInArrow(lambda it: _against_hub(it, similar), "key long, linked boolean, distance double")
-        held = stash(held.join(nodes, "key").join(parted.select("blob", "chief"), "blob"), "held")
-        links.append(stash(held.where("linked").select(F.col("key").alias("a"), F.col("chief").alias("b")), "hub-links"))
+        held = rows.select("key", "first", "text").mapInArrow(lambda it: _against_chief(it, similar), "key long, linked boolean, distance double")
+        held = stash(held.join(nodes.select("key", "blob"), "key").join(parted.select("blob", "chief"), "blob"), "held")
+        links.append(stash(held.where("linked").select(F.col("key").alias("a"), F.col("chief").alias("b")), "chief-links"))
         # of the linked ones, only those that the others may still reach
         nearest = held.where(~F.col("linked")).groupBy("blob").agg(F.min("distance").alias("nearest"))
         kept = held.join(nearest, "blob").where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - (1 - similar / 100) - 1e-9))
-        kept = kept.select("key", "n_shingles", F.when(F.col("linked"), F.col("chief")).otherwise(F.col("label")).alias("label"), "linked")
-        rest = matches.select("key", "band").join(kept, "key")
+        kept = kept.select("key", F.when(F.col("linked"), F.col("chief")).otherwise(F.col("key")).alias("label"), "linked")
         # a bucket matters only where it has one of the others
-        matches = stash(_stars(rest, F.count_if(~F.col("linked")).alias("others")).where("others > 0").select("key", "n_shingles", "label", "band", "hub", "n", "weight"), "matches")
-        nodes = matches.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.sum("n").alias("degree"), F.first("label").alias("label"))
-        nodes = _with_blobs(nodes, matches)
-        done += [held, nodes, matches]
-        matches = matches.drop("label")
-    todo = groups[0]
-    for g in groups[1:]:
-        todo = todo.unionByName(g)
+        rest = _stars(matches.select("key", "n_shingles", "band").join(kept, "key"), F.count_if(~F.col("linked")).alias("others")).where("others > 0")
+        rest = stash(rest.select("key", "n_shingles", "label", "band", "hub"), "rest")
+        todo = todo.unionByName(_blocks(rest))
+        done += [held, rest]
     rows = todo.join(texts, "key").select("gid", "key", "label", "text")
     links.append(stash(rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(lambda it: _verify_batches(it, similar), "a long, b long"), "links"))
     discard(*done)
     return links
 
 
-def _blocks(nodes: DataFrame, matches: DataFrame) -> DataFrame:
-    """(gid, key, label): buckets of nodes that fit a task, and of larger ones each block of the members that are not of
-    the bucket's commonest label with each block of all members: no pair within that label is looked at again."""
-    rows = matches.select("key", "n_shingles", "band", "hub").join(nodes, "key")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(gid, key, label): of buckets (key, n_shingles, label, band, hub) those that fit a task, and of larger ones each block of
+    the members that are not of the bucket's commonest label with each block of all: no pair within that label is looked at again."""
     tally = rows.groupBy("band", "hub", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
     load = F.greatest(F.sum("n") / F.lit(MOST_SETS), F.sum("w") / F.lit(MOST_SHINGLES))
     tally = tally.groupBy("band", "hub").agg(load.alias("load"), F.max(F.struct("n", "w", "label")).alias("top"))
