@@ -21,8 +21,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the one with the smallest id stays."""
-    return neardup.near_dedup(docs)
+    """Of each group of near copies, linked by a similarity of 0.8 or more, the one with the smallest id stays."""
+    return neardup.near_dedup(docs, similar=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; an empty table or one with null or empty texts passes through as the stages define."""
+    """All stages over documents.
+
+    Null, empty and short texts fail the base rules, so they leave with the first stage. Of copies one row stays, also
+    where ids are null or repeat; a null id comes after all others. Rows without lang belong to the stratum "other".
+    Null sources and lengths are carried along. An empty table gives no pieces.
+    """
     docs = _table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -6,11 +6,14 @@ letter runs (lower-cased) and which beginnings of letter runs a text has, hashed
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
 from .textscan import OTHERS, Words, pieces
 
 #: Hashed feature space, and the beginnings (bytes) of letter runs that are features beside whole runs.
@@ -19,8 +22,10 @@ SPACE_BITS, PREFIXES = 20, (4, 5, 6)
 SAMPLE, FEATURES = 20_000, 4_096
 #: A feature is used if more toxic than other documents have it by an exact test; at most about this share of the used ones is there by chance.
 CHANCE = 0.05
-#: A document is toxic from this probability on: one word of its own is evidence enough where no clean document has it.
-TOXIC_AT = 0.2
+#: A document has the highest grade that it reaches with this probability: one word of its own is evidence enough where no clean document has it.
+GRADE_AT = 0.2
+#: Different grades that labels may have.
+MOST_GRADES = 20
 #: Ridge penalty and steps of the fit.
 RIDGE, STEPS = 3e-6, 600
 
@@ -71,7 +76,7 @@ def associated(a: np.ndarray, b: np.ndarray, bad: int, good: int, most: int = FE
 
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """(w, theta) by full-batch gradient steps with momentum; thresholds are kept in order by their positive gaps."""
-    k = int(grades.max()) if len(grades) else 1
+    k = max(int(grades.max()), 1) if len(grades) else 1
     n = len(grades)
     lens = np.array([len(r) for r in rows])
     owner = np.repeat(np.arange(n), lens)
@@ -112,20 +117,29 @@ def _arrow(batches, per_piece, names, id_at):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(weights over the hashed space, thresholds). labels: doc_id, toxic; a document is toxic if any of its labels is.
+    """(weights over the hashed space, thresholds). labels: doc_id, toxic, an integer of any type; a document has the highest of its labels.
 
-    Labels have two grades; toxic documents are parted at the median number of associated features that they have, which
-    makes three: 0 clean, 1 toxic, 2 severe. The sample takes each class by the smallest hashes of its ids: toxic labels up
-    to half of it, or more where clean ones do not fill the rest. Thresholds are moved back to the classes' shares in labels.
+    The labels' own values are the grades, in their order: K + 1 different ones make K thresholds, and the lowest is
+    clean. The sample takes clean and toxic documents by the smallest hashes of their ids: toxic ones up to half of it,
+    or more where clean ones do not fill the rest. Thresholds are moved back to the shares of clean and toxic in labels.
+    Without labels of both kinds, or where no feature tells them apart, no document is toxic, and a warning says so.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+    values = [r["toxic"] for r in known.select("toxic").distinct().orderBy("toxic").limit(MOST_GRADES + 1).collect()]
+    if len(values) > MOST_GRADES:
+        raise ValueError(f"labels have more than {MOST_GRADES} grades")
+    nothing = np.zeros(1 << SPACE_BITS, np.float32), np.full(max(len(values) - 1, 1), 20.0)
+    if len(values) < 2:
+        warnings.warn("labels of one grade only: no document will be called toxic", stacklevel=2)
+        return nothing
+    known = known.withColumn("toxic", F.array_position(F.array(*map(F.lit, values)), F.col("toxic")).cast("int") - 1)
     sizes = known.agg(F.count_if(F.col("toxic") > 0).alias("bad"), F.count_if(F.col("toxic") <= 0).alias("good")).first()
     take_bad = min(sizes["bad"], max(sample // 2, sample - sizes["good"]))
     take_good = min(sizes["good"], sample - take_bad)
     pick = lambda which, n: known.where(which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     known = pick("toxic > 0", take_bad).unionByName(pick("toxic <= 0", take_good)).select(F.col("doc_id").alias("label_id_"), "toxic")
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = chosen.join(F.broadcast(known), F.col("doc_id") == F.col("label_id_")).select("toxic", "text")  # at most `sample` rows
+    chosen = stash(chosen.join(F.broadcast(known), F.col("doc_id") == F.col("label_id_")).select("toxic", "text"), "labelled")  # of at most `sample` documents
 
     def having(batches):
         def lists(data, offs):
@@ -139,11 +153,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = {r["toxic"]: r["n"] for r in with_features.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad or not good:
-        return np.zeros(1 << SPACE_BITS, np.float32), np.array([10.0, 20.0])
+        warnings.warn("labelled documents of one kind only: no document will be called toxic", stacklevel=2)
+        return nothing
     df = with_features.select((F.col("toxic") > 0).alias("t"), F.explode("f").alias("f")).groupBy("f").agg(F.sum(F.col("t").cast("long")).alias("a"), F.sum((~F.col("t")).cast("long")).alias("b"))
     seen = df.orderBy("f").toArrow()  # at most 2^SPACE_BITS rows of three numbers
     f, a, b = (seen[c].to_numpy() for c in "fab")
     best = f[associated(a, b, bad, good)]
+    if not len(best):
+        warnings.warn("no feature tells toxic documents from clean ones: no document will be called toxic", stacklevel=2)
+        return nothing
     place = np.full(1 << SPACE_BITS, 0, np.int32)
     place[best] = np.arange(1, len(best) + 1)
     spread = docs.sparkSession.sparkContext.broadcast(place)
@@ -158,9 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = chosen.mapInArrow(vectors, "toxic int, f array<int>").collect()  # at most `sample` rows of at most FEATURES
     rows = [np.array(r["f"], np.int64) for r in got]
-    toxic = np.array([r["toxic"] > 0 for r in got])
-    found = np.array([len(r) for r in rows])
-    grades = np.where(toxic, 1 + (found > np.median(found[toxic])), 0)
+    grades = np.array([r["toxic"] for r in got])
     w, theta = fit_ordinal(rows, grades, len(best))
     table = np.zeros(1 << SPACE_BITS, np.float32)
     table[best] = w
@@ -168,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_toxicity(docs: DataFrame, weights: np.ndarray, theta: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, expected_severity, p_toxic, grade, toxic for every whole text.
+    """doc_id, expected_severity, p_toxic, grade, toxic for every whole text. grade is the rank of the labels' grade, 0 for clean.
 
     weights is of the fixed size 2^SPACE_BITS. Null and empty texts have no features and get the base rate. Rows are
     judged alone: repeated rows repeat; other columns are ignored.
@@ -183,8 +199,8 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, theta: np.ndarray, id_c
             row, f = _distinct(data, offs, table)
             eta = np.bincount(row, table[f], len(offs) - 1)
             above = 1 / (1 + np.exp(-np.clip(eta[:, None] - cuts[None, :], -60, 60)))
-            grade = (above > 0.5).sum(1)
-            return [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(grade.astype(np.int32)), pa.array(above[:, 0] >= TOXIC_AT)]
+            grade = (above >= GRADE_AT).sum(1)
+            return [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(grade.astype(np.int32)), pa.array(grade > 0)]
 
         yield from _arrow(batches, judge, ["doc_id", "expected_severity", "p_toxic", "grade", "toxic"], "doc_id")
 
@@ -193,4 +209,9 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, theta: np.ndarray, id_c
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score_toxicity of all docs by a model that is fitted on those that have labels.
+
+    Labels of unknown documents and labels without a value are ignored; rows that repeat count as often as they stand in
+    docs; an empty table gives no rows, and a table without usable labels the verdict that nothing is toxic.
+    """
     return score_toxicity(docs, *fit(docs, labels, id_col, text_col), id_col, text_col)

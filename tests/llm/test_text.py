@@ -89,7 +89,7 @@ def shingles(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def near_brute(rows):
+def near_brute(rows, similar=85):
     sets = {i: shingles(t) for i, t in rows}
     comp = {i: i for i in sets}
     changed = True
@@ -97,7 +97,7 @@ def near_brute(rows):
         changed = False
         for a in sets:
             for b in sets:
-                if a < b and sets[a] and sets[b] and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                if a < b and sets[a] and sets[b] and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b]):
                     m = min(comp[a], comp[b])
                     old = {comp[a], comp[b]}
                     comp = {i: m if c in old else c for i, c in comp.items()}
@@ -105,10 +105,9 @@ def near_brute(rows):
     return {(i, len(sets[i]), comp[i], comp[i] == i) for i in sets}
 
 
-@pytest.mark.parametrize("most, hubs", [(500, 3), (3, 3), (2, 1), (2, 0)])
-def test_near(docs, rows, most, hubs, monkeypatch):
+@pytest.mark.parametrize("most", [1000, 3])
+def test_near(docs, rows, most, monkeypatch):
     monkeypatch.setattr(neardup, "MOST_SETS", most)
-    monkeypatch.setattr(neardup, "HUBS", hubs)
     monkeypatch.setattr(neardup, "CHUNK", 3)
     want = near_brute(rows)
     assert {tuple(r) for r in neardup.near_groups(docs).collect()} == want
@@ -116,11 +115,10 @@ def test_near(docs, rows, most, hubs, monkeypatch):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _, _, keep in want if keep}
 
 
-@pytest.mark.parametrize("most, hubs", [(4, 3), (4, 1), (4, 0)])
-def test_near_chains(spark, most, hubs, monkeypatch):
+@pytest.mark.parametrize("most", [1, 4])
+def test_near_chains(spark, most, monkeypatch):
     """Drifting versions: neighbours are linked, far ones are not, and whoever is the hub only reaches some of them."""
     monkeypatch.setattr(neardup, "MOST_SETS", most)
-    monkeypatch.setattr(neardup, "HUBS", hubs)
     monkeypatch.setattr(neardup, "CHUNK", 2)
     rnd = random.Random(11)
     rows = []
@@ -351,19 +349,38 @@ def test_thresholds_keep_their_promise(spark):
     got = {r.doc_id: r.kept for r in quality.quality_verdicts(df, lab).collect()}
     assert all(got[i] for i in got if i % 6) and not any(got[i] for i in got if i % 6 == 0)
     assert quality.filter_quality(df, lab).columns == df.columns
-    few = lab.where("doc_id < 300")  # too few for any promise: nothing is rejected
+    few = lab.where("doc_id < 150")  # too few for any promise: nothing is rejected
     assert quality.filter_quality(df, few).count() == 6000
+    other = df.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx")).withColumn("f", F.lit(1))  # unknown and null languages are one stratum
+    got = {r.doc_id: r.kept for r in quality.quality_verdicts(other, lab).collect()}
+    assert all(got[i] for i in got if i % 6) and not any(got[i] for i in got if i % 6 == 0)
+
+
+def features(f, **values):
+    long = lambda c: (c if not isinstance(c, int) else F.lit(c)).cast("long")
+    base = dict(n_symbols=0, word_chars=1, n_words=1, bangs=0, upper=0, n_repeat_words=0, lo=F.col("doc_id"), hi=F.col("doc_id")) | values
+    return F.struct(*(long(v).alias(k) for k, v in base.items()), F.struct(long(0).alias("n"), long(0).alias("dup")).alias("lines")).alias(f)
 
 
 def test_thresholds_count_all_good_labels(spark):
-    """60,000 good documents of one stratum, of which 180 have a score of 1: 0.3 % can be told from 0.4 % with all of them only."""
-    n, k = 60_000, 180
-    zero = lambda *names: F.struct(*(F.lit(0).cast("long").alias(c) for c in names))
-    f = F.struct(F.when(F.col("doc_id") < k, 1).otherwise(0).cast("long").alias("n_symbols"), F.lit(1).cast("long").alias("word_chars"), F.lit(1).cast("long").alias("n_words"), zero("n", "dup").alias("lines"), F.lit(0).cast("long").alias("bangs"), F.lit(0).cast("long").alias("upper"))
-    scored = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang")).withColumn("f", f)
+    """60,000 good documents of one stratum, of which 1.8 % have a score of 1: that can be told from 2 % with all of them only."""
+    n, k = 60_000, 1_080
+    scored = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang")).select("*", features("f", n_symbols=F.when(F.col("doc_id") < k, 1).otherwise(0)))
     labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     got = {r.rule: r for r in quality.thresholds(scored, labels, "f").collect()}
-    assert {r.n for r in got.values()} == {n} and got["symbol_share"].rejected == k and got["symbol_share"].cutoff == min(quality.CUTOFFS["symbol_share"])
+    assert all(44_000 < r.n < 46_000 for r in got.values()) and got["symbol_share"].cutoff == min(quality.CUTOFFS["symbol_share"]) and 700 < got["symbol_share"].rejected < 900
+    part = labels.where("doc_id % 20 = 0")
+    assert "symbol_share" not in {r.rule for r in quality.thresholds(scored, part, "f").collect()}
+
+
+def test_copies_make_no_evidence(spark):
+    """100 good texts, each 100 times, with ids of their own or repeated, changed a little or not: still 100."""
+    scored = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), features("f", lo=F.col("id") % 100, hi=F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.col("id") % 100)))
+    labels = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.thresholds(scored, labels, "f").count() == 0
+    one = scored.where("doc_id < 100").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("x")
+    assert quality.thresholds(one, labels.union(labels), "f").count() == 0
+    assert {r.n for r in quality.thresholds(scored.withColumn("f", F.col("f").withField("lo", F.col("doc_id")).withField("hi", F.col("doc_id"))), labels, "f").collect()} > set()
 
 
 def test_toxicity_held_out(spark, empty):
@@ -402,6 +419,40 @@ def test_toxic_word_in_few_documents_counts(spark):
         assert {r.doc_id for r in got} == set(range(16)) and all(r.grade > 0 for r in got)
 
 
+def test_toxicity_uses_given_grades(spark):
+    """Four grades in a long column, each with a word of its own; repeated rows, clashing columns, labels without documents."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("aeioulmnrst") for _ in range(6)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(800):
+        grade = (0, 0, 0, 0, 0, 1, 2, 5)[i % 8]
+        more = {0: "", 1: " zgrobly", 2: " zgrobly vuxter", 5: " zgrobly vuxter qwirp"}[grade]
+        rows.append((i, " ".join(rnd.choice(words) for _ in range(25)) + more, 7, 7))
+        labels.append((i, grade))
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, toxic int, grade int")
+    lab = spark.createDataFrame([*labels, (None, 5), (10**6, 5), (1, None)], "doc_id long, toxic long")
+    weights, theta = toxicity.fit(df, lab)
+    assert len(theta) == 3 and (np.diff(theta) > 0).all()
+    got = toxicity.score_toxicity(df, weights, theta).collect()
+    assert len(got) == 803
+    rank = {0: 0, 1: 1, 2: 2, 5: 3}
+    assert sum(r.grade != rank[labels[r.doc_id][1]] for r in got) <= 40 and all(r.toxic == (r.grade > 0) for r in got)
+    mean = [np.mean([r.expected_severity for r in got if labels[r.doc_id][1] == g]) for g in rank]
+    assert mean == sorted(mean)
+
+    def features(t):
+        out = set()
+        for w in re.findall("[a-z0-9]+", t.lower()):
+            for n, part in [(0, w), *((n, w[:n]) for n in toxicity.PREFIXES if len(w) >= n)]:
+                h = int(textscan.Words(np.frombuffer(part.encode(), np.uint8), np.array([0, len(part)]), textscan.OTHERS).hashes()[0][0])
+                out.add((h + n * 0x9E3779B1) % (1 << toxicity.SPACE_BITS))
+        return out
+
+    for r in got[:60]:
+        eta = sum(float(weights[f]) for f in features(rows[r.doc_id][1]))
+        assert abs(r.expected_severity - sum(1 / (1 + np.exp(t - eta)) for t in theta)) < 1e-4
+
+
 def test_upper_tail_is_exact():
     from math import comb
 

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from seqweft.llm import bpe, chat, packing, urlfilter
+from seqweft.llm import bpe, chat, packing, pii, urlfilter
 
 BYTE, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 SF = "/root/testdata/sf0.001"
@@ -190,7 +190,40 @@ def test_pipeline(spark):
             assert set(now) == set(first.values())
             exact = now
         if name == "near_dedup":
-            assert set(now) == {i for i, _, _, keep in near_brute(list(exact.items())) if keep}
+            assert set(now) == {i for i, _, _, keep in near_brute(list(exact.items()), 80) if keep}
+        if name == "personal_data":
+            spans = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(near, "doc_id long, text string")).collect()}
+            before = dict(near)
+            for i, t in now.items():
+                own = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in spans[i].split(",") if x))
+                out, at = "", 0
+                for a, b, k in own:
+                    if b > at:
+                        out += before[i][at : max(a, at)] + (f"<{k.upper()}>" if a >= at else "")
+                        at = b
+                assert t == out + before[i][at:]
+            assert any(t != before[i] for i, t in now.items())
+        near = list(now.items())
     rows = cp.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == set(now)
     check_places(rows, 2048)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, null columns; and an empty table."""
+    import corpus_pipeline as cp
+
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(200)]
+    prose = lambda: " ".join(rnd.choice(words) for _ in range(60))
+    one, two, three = prose(), prose(), prose()
+    rows = [(None, one, "en", "s", 5), (None, one, None, None, None), (7, one, "en", "s", 5), (7, two, "en", "s", 5), (3, two + " x", "xx", None, None), (None, three, None, None, None), (4, None, None, None, None), (5, "", "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, content in (("full", rows), ("empty", [])):
+        at = tmp_path / name
+        spark.createDataFrame(content, schema).write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([(7, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+    got = cp.run(spark, str(tmp_path / "full")).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["3", "7", "None"]
+    check_places(got, 2048)
+    assert cp.run(spark, str(tmp_path / "empty")).count() == 0
