@@ -1,4 +1,4 @@
-"""Consensus of the reads of a window by partial-order alignment, as a grouped Arrow operator."""
+"""One sequence for the reads of a window by partial-order alignment, as a grouped Arrow operator."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def poa_consensus(reads: list[str], match: int = 2, mismatch: int = -4, gap: int = -4) -> str:
+def poa_sequence(reads: list[str], match: int = 2, mismatch: int = -4, gap: int = -4) -> str:
     """The heaviest path of the graph to which reads are aligned one after the other, each against all before; '' without reads."""
     reads = [r for r in reads if r]
     if not reads:
@@ -95,13 +95,13 @@ def poa_consensus(reads: list[str], match: int = 2, mismatch: int = -4, gap: int
     return "".join(reversed(out))
 
 
-def window_consensus(reads: DataFrame, keys: list[str], order: str, seq: str, least: int = 1) -> DataFrame:
-    """(keys, n_reads, consensus): reads in their order; fewer than `least` give ''."""
+def window_poa(reads: DataFrame, keys: list[str], order: str, seq: str, least: int = 1) -> DataFrame:
+    """(keys, n_reads, sequence): reads in their order; fewer than `least` give ''."""
     kinds = ", ".join(f"{k} {dict(reads.dtypes)[k]}" for k in keys)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values([order, seq])[seq].tolist()
         out = pdf[keys].head(1).reset_index(drop=True)
-        return out.assign(n_reads=len(rows), consensus=poa_consensus(rows) if len(rows) >= least else "")
+        return out.assign(n_reads=len(rows), sequence=poa_sequence(rows) if len(rows) >= least else "")
 
-    return reads.select(*keys, order, seq).groupBy(*keys).applyInPandas(one, f"{kinds}, n_reads long, consensus string")
+    return reads.select(*keys, order, seq).groupBy(*keys).applyInPandas(one, f"{kinds}, n_reads long, sequence string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import align, decode
 from ..functions import sequence as sq
-from ..operators import consensus, intervals, keyed, metrics, ordered, rules, tiling
+from ..operators import intervals, keyed, metrics, ordered, partial_order, rules, tiling
 
 WINDOW, OVERLAP = 1000, 50
 STEP = WINDOW - OVERLAP
@@ -446,10 +446,10 @@ def prefix_beam(spark, d):
 
 
 @query()
-def window_consensus(spark, d):
-    """Consensus of each conversation's whole turns."""
+def window_poa(spark, d):
+    """One sequence from each conversation's whole turns."""
     c = table(spark, d, "conversations").select("conv_id", "turn", F.upper("text").alias("seq"))
-    return consensus.window_consensus(c, ["conv_id"], "turn", "seq")
+    return partial_order.window_poa(c, ["conv_id"], "turn", "seq")
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from seqweft.functions import align as al
 from seqweft.functions import decode as de
 from seqweft.functions import sequence as sq
-from seqweft.operators import consensus, keyed, ordered, tiling
+from seqweft.operators import partial_order, keyed, ordered, tiling
 from seqweft.sources import formats
 
 CIGAR = [("S", 3), ("M", 5), ("D", 2), ("M", 4), ("I", 1), ("M", 3), ("S", 2)]
@@ -161,11 +161,11 @@ def test_viterbi_is_the_best_path():
     assert de.enter_extend_runs([0, 4, 4, 0, 1, 5]) == ("AAC", [3, 1, 2])
 
 
-def test_consensus():
-    assert consensus.poa_consensus([]) == ""
-    assert consensus.poa_consensus(["ACGTACGT"] * 3) == "ACGTACGT"
-    assert consensus.poa_consensus(["ACGTACGT", "ACGAACGT", "ACGTACGT"]) == "ACGTACGT"
-    assert consensus.poa_consensus(["ACGTACGT", "ACGTCGT", "ACGTACGT"]) == "ACGTACGT"
+def test_partial_order():
+    assert partial_order.poa_sequence([]) == ""
+    assert partial_order.poa_sequence(["ACGTACGT"] * 3) == "ACGTACGT"
+    assert partial_order.poa_sequence(["ACGTACGT", "ACGAACGT", "ACGTACGT"]) == "ACGTACGT"
+    assert partial_order.poa_sequence(["ACGTACGT", "ACGTCGT", "ACGTACGT"]) == "ACGTACGT"
 
 
 def test_formats(spark, tmp_path):

@@ -45,8 +45,8 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_window_consensus_reads_whole_turns(spark, tmp_path):
+def test_window_poa_reads_whole_turns(spark, tmp_path):
     turns = [(1, 0, "a whole turn that is longer than its first letters"), (1, 1, "a whole turn that is longer than its first letters"), (2, 0, None)]
     spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r.conv_id: r.consensus for r in queries.window_consensus(spark, str(tmp_path)).collect()}
+    got = {r.conv_id: r.sequence for r in queries.window_poa(spark, str(tmp_path)).collect()}
     assert got == {1: turns[0][2].upper(), 2: ""}
