@@ -61,11 +61,11 @@ def with_features(docs: DataFrame, name: str, text_col: str = "text") -> DataFra
     A repeated window is first looked for by 64-bit hashes of its words' hashes, which never miss one; only windows whose
     hash repeats make strings. Null texts have no words; empty denominators give a score of 0.
     """
-    t, w, v, h = (f"{name}_{x}" for x in "twvh")
+    t, w, h = (f"{name}_{x}" for x in "twh")
     df = docs.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumn(w, F.regexp_extract_all(F.col(t), F.lit(WORD), F.lit(0)))
-    df = df.withColumn(v, F.transform(w, lambda x: F.xxhash64(x)))
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(F.slice(F.col(v), i + 1, WINDOW)))
+    places = F.sequence(F.lit(0), F.size(w) - WINDOW)
+    hashes = _let(F.transform(w, lambda x: F.xxhash64(x)), lambda v: F.transform(places, lambda i: F.xxhash64(F.slice(v, i + 1, WINDOW))))
     df = df.withColumn(h, F.when(F.size(w) > WINDOW, hashes).otherwise(F.array().cast("array<bigint>")))
     lines = F.filter(F.split(F.col(t), "\n", -1), lambda x: x.rlike(SPACE.replace("[", "[^")))
     count = lambda p: F.size(F.regexp_extract_all(F.col(t), F.lit(p), F.lit(0))).cast("long")
@@ -83,7 +83,7 @@ def with_features(docs: DataFrame, name: str, text_col: str = "text") -> DataFra
             F.coalesce(F.array_max(h), F.xxhash64(w)).alias("hi"),
         ),
     )
-    return df.drop(t, w, v, h)
+    return df.drop(t, w, h)
 
 
 def scores(f: Column) -> dict[str, Column]:
