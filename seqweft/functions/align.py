@@ -44,6 +44,16 @@ def alignment_stats(ref, hyp) -> Column:
     return F.pandas_udf(_stats, "distance int, length int, matches int, ops string")(ref, hyp)
 
 
+def _masked(ops: pd.Series, mask: pd.Series) -> pd.DataFrame:
+    rows = [(None, None, None) if o is None or m is None else masked_stats(o, m) for o, m in zip(ops, mask, strict=True)]
+    return pd.DataFrame(rows, columns=["matches", "distance", "letters"], dtype="Int64")
+
+
+def masked_alignment_stats(ops, mask) -> Column:
+    """struct(matches, distance, letters) of alignment ops and an array<boolean> over the reference; nulls give nulls."""
+    return F.pandas_udf(_masked, "matches long, distance long, letters long")(ops, mask)
+
+
 def masked_stats(ops: str, mask) -> tuple[int, int, int]:
     """(matches, distance, hypothesis letters) at masked reference places; an insertion belongs to the place before it."""
     at, last = 0, -1
@@ -61,16 +71,17 @@ def masked_stats(ops: str, mask) -> tuple[int, int, int]:
 def indel_distance(a: str, b: str) -> int:
     """n + m - 2 * longest common subsequence, without regard to case."""
     a, b = a.lower(), b.lower()
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return len(a) + len(b) - 2 * row[-1]
+    longest = np.zeros(len(b) + 1, np.int64)
+    codes = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    for x in a:  # a row of the table at once: the best of above, or diagonal and one, runs on along the row
+        free = longest.copy()
+        np.maximum(free[1:], longest[:-1] + (codes == ord(x)), out=free[1:])
+        longest = np.maximum.accumulate(free)
+    return len(a) + len(b) - 2 * int(longest[-1])
 
 
 def _indels(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_distance(x, y) for x, y in zip(a, b, strict=True)])
+    return pd.Series([None if x is None or y is None else indel_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def indel_distances(a, b) -> Column:
@@ -101,20 +112,39 @@ def lift(cigar: list[tuple[str, int]], ref_start: int, start: int, end: int, sto
     return qs, max(qs, qe)
 
 
-def _lift(cigar: pd.Series, ref_start: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
-    rows = [lift([(x["op"], x["len"]) for x in c], int(p), int(a), int(b)) for c, p, a, b in zip(cigar, ref_start, start, end, strict=True)]
-    return pd.DataFrame(rows, columns=["qs", "qe"])
+def lifted(cigar, ref_start, start, end, stop_at_clip: bool = False) -> Column:
+    """struct(qs, qe) of columns: cigar as array<struct<op, len>>, 0-based reference start, span; nulls give nulls."""
+
+    def run(cigar: pd.Series, ref_start: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, *x in zip(cigar, ref_start, start, end, strict=True):
+            rows.append((None, None) if c is None or any(map(pd.isna, x)) else lift([(y["op"], y["len"]) for y in c], *map(int, x), stop_at_clip))
+        return pd.DataFrame(rows, columns=["qs", "qe"], dtype="Int32")
+
+    return F.pandas_udf(run, "qs int, qe int")(cigar, ref_start, start, end)
+
+
+def errors_in_window(cigar: Column, start: Column, end: Column) -> Column:
+    """Letters of I, D and X ops once `start` letters of ops are passed, until the window's length is covered by whole ops.
+
+    An op that ends just where the window starts counts as a whole.
+    """
+    begin = F.struct(F.greatest(start, F.lit(0)).cast("long").alias("skip"), F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("bad"))
 
+    def step(a, x):
+        n = x["len"].cast("long")
+        rest = F.when(a["skip"] == n, n).otherwise(F.greatest(n - a["skip"], F.lit(0).cast("long")))
+        used = F.when(a["seen"] < end - start, rest).otherwise(F.lit(0).cast("long"))
+        bad = F.when(x["op"].isin("I", "D", "X"), used).otherwise(F.lit(0).cast("long"))
+        return F.struct(F.greatest(a["skip"] - x["len"], F.lit(0).cast("long")).alias("skip"), (a["seen"] + used).alias("seen"), (a["bad"] + bad).alias("bad"))
 
-def lifted(cigar, ref_start, start, end) -> Column:
-    """struct(qs, qe) of columns: cigar as array<struct<op, len>>, 0-based reference start, span."""
-    return F.pandas_udf(_lift, "qs int, qe int")(cigar, ref_start, start, end)
+    return F.aggregate(cigar, begin, step, lambda a: a["bad"])
 
 
 def spike_in(ref: str, first: int, variants: list[tuple[int, str, str]], empty_alt: bool = False) -> str:
     """A reference slice that begins at the 1-based place `first`, with variants (pos, REF, ALT) put in from left to right.
 
-    Alleles are cut at the slice's ends; a variant that overlaps the edit before, or whose REF differs, is left out, and
+    Both alleles are cut by the letters that REF has beyond the slice's ends (ALT only if it has as many); a variant that overlaps the edit before, or whose REF differs, is left out, and
     so is an empty ALT unless empty_alt.
     """
     out, done = [], 0
@@ -123,8 +153,10 @@ def spike_in(ref: str, first: int, variants: list[tuple[int, str, str]], empty_a
         if a == "*" or not r or not a and not empty_alt:
             continue
         if at < 0:
-            r, a, at = r[-at:], a[-at:] if len(a) > -at else "", 0
-        r = r[: len(ref) - at]
+            r, a, at = r[-at:], a[-at:] if len(a) >= -at else a, 0
+        over = at + len(r) - len(ref)
+        if 0 < over < len(r):
+            r, a = r[:-over], a[:-over] if len(a) >= over else a
         if not r or not a and not empty_alt or at < done or ref[at : at + len(r)].upper() != r.upper():
             continue
         out += [ref[done:at], a]
@@ -132,10 +164,14 @@ def spike_in(ref: str, first: int, variants: list[tuple[int, str, str]], empty_a
     return "".join(out) + ref[done:]
 
 
-def _spike(ref: pd.Series, first: pd.Series, variants: pd.Series) -> pd.Series:
-    return pd.Series([spike_in(r, int(f), [(x["pos"], x["ref"], x["alt"]) for x in v]) for r, f, v in zip(ref, first, variants, strict=True)])
+def spiked(ref, first, variants, empty_alt: bool = False) -> Column:
+    """Haplotypes of columns: slice, its first place, array<struct<pos, ref, alt>> in order; a null slice or place gives null, null variants none."""
 
+    def run(ref: pd.Series, first: pd.Series, variants: pd.Series) -> pd.Series:
+        out = []
+        for r, f, v in zip(ref, first, variants, strict=True):
+            known = [(x["pos"], x["ref"], x["alt"]) for x in (v if v is not None else ()) if x and None not in (x["pos"], x["ref"], x["alt"])]
+            out.append(None if r is None or pd.isna(f) else spike_in(r, int(f), known, empty_alt))
+        return pd.Series(out, dtype=object)
 
-def spiked(ref, first, variants) -> Column:
-    """Haplotypes of columns: slice, its first place, array<struct<pos, ref, alt>> in order."""
-    return F.pandas_udf(_spike, "string")(ref, first, variants)
+    return F.pandas_udf(run, "string")(ref, first, variants)

@@ -21,16 +21,20 @@ def log_add(a: float, b: float) -> float:
     return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
 
-def prefix_beam(log_probs: np.ndarray, beam: int = 100, blank: int = 0, prune: float | None = None) -> tuple[tuple[int, ...], float]:
-    """The labelling of most probability by prefix beam search; ties go to the smaller label tuple."""
+def prefix_beam(log_probs: np.ndarray, beam: int = 100, blank: int = 0, prune: float | None = None, stay: float = 0.0, advance: float = 0.0) -> tuple[tuple[int, ...], float]:
+    """The labelling of most probability by prefix beam search; ties go to the smaller label tuple.
+
+    prune: labels further than this below a frame's best are not tried there, except the blank; None or 0 tries the
+    2 * beam best. stay and advance are log-priors of repeating a label and of adding one.
+    """
     never = -math.inf
     beams: dict[tuple, tuple[float, float]] = {(): (0.0, never)}
     for frame in log_probs:
-        if prune is None:
-            used = np.argsort(-frame, kind="stable")[: 2 * beam]
+        if not prune:
+            used = np.argsort(-frame, kind="stable")[: max(2 * beam, 1)]
         else:
             used = np.flatnonzero(frame.max() - frame <= prune)
-        picked = [(c, float(frame[c])) for c in sorted(used.tolist())]
+        picked = [(c, float(frame[c])) for c in sorted({*used.tolist(), blank}) if c == blank or frame[c] > never]
         new: dict[tuple, list[float]] = {}
         for prefix, (pb, pn) in beams.items():
             both = log_add(pb, pn)
@@ -41,11 +45,11 @@ def prefix_beam(log_probs: np.ndarray, beam: int = 100, blank: int = 0, prune: f
                     continue
                 e = new.setdefault((*prefix, c), [never, never])
                 if prefix and prefix[-1] == c:
-                    e[1] = log_add(e[1], pb + p)
+                    e[1] = log_add(e[1], pb + p + advance)
                     s = new.setdefault(prefix, [never, never])
-                    s[1] = log_add(s[1], pn + p)
+                    s[1] = log_add(s[1], pn + p + stay)
                 else:
-                    e[1] = log_add(e[1], both + p)
+                    e[1] = log_add(e[1], both + p + advance)
         order = sorted(((-log_add(*v), k) for k, v in new.items()))[:beam]
         beams = {k: tuple(new[k]) for _, k in order}
     best, v = next(iter(beams.items()))
@@ -95,14 +99,86 @@ def enter_extend_runs(states: list[int], letters: str = "ACGT") -> tuple[str, li
     return "".join(out), frames
 
 
-def beam_udf(width: int, letters: str = "ACGT", beam: int = 100, prune: float | None = None):
-    """A column of flat score arrays (frames x width) -> decoded text and its log-probability."""
+def fitted_runs(bases: list[int], chars: list[int] | None = None, frames: list[int] | None = None, tokens: list[int] | None = None, letters: str = "ACGT") -> dict:
+    """Runs of a decoder made whole: bases from tokens (neighbours apart) where there are none, lengths cut or filled up with 1."""
+    if not bases and tokens:
+        bases = [t for i, t in enumerate(tokens) if not i or t != tokens[i - 1]]
+    n = len(bases)
+    fill = lambda x: [*x, *[1] * n][:n]
+    chars = fill(chars or [])
+    frames = fill(frames) if frames else [max(x, 1) for x in chars]
+    name = lambda b: letters[b - 1] if 1 <= b <= len(letters) else "N"
+    return {
+        "collapsed": "".join(map(name, bases)), "expanded": "".join(name(b) * max(c, 1) for b, c in zip(bases, chars, strict=True)),
+        "collapsed_length": n, "expanded_length": sum(max(c, 1) for c in chars), "char_runs": chars, "frame_runs": frames,
+    }
+
+
+def _matrix(x, width: int) -> np.ndarray:
+    return np.asarray(x, float).reshape(-1, width)
+
+
+def beam_udf(width: int, letters: str = "ACGT", beam: int = 100, prune: float | None = None, stay: float = 0.0, advance: float = 0.0):
+    """A column of flat score arrays (frames x width) -> decoded text and its log-probability; null for null or no frames."""
 
     def run(flat: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows: list[tuple] = []
         for x in flat:
-            best, p = prefix_beam(log_softmax(np.asarray(x, float).reshape(-1, width)), beam, 0, prune)
+            if x is None or not len(x):
+                rows.append((None, None))
+                continue
+            best, p = prefix_beam(log_softmax(_matrix(x, width)), beam, 0, prune, stay, advance)
             rows.append(("".join(letters[c - 1] if c <= len(letters) else "N" for c in best), p))
         return pd.DataFrame(rows, columns=["text", "log_prob"])
 
     return F.pandas_udf(run, "text string, log_prob double")
+
+
+def ctc_nll_udf(width: int):
+    """Columns of flat score arrays and label arrays -> negative log-likelihood; null for nulls or no frames, infinite if the frames are too few."""
+
+    def run(flat: pd.Series, labels: pd.Series) -> pd.Series:
+        none = lambda x: x is None or not len(x)
+        return pd.Series([None if none(x) or y is None else ctc_nll(log_softmax(_matrix(x, width)), [int(v) for v in y]) for x, y in zip(flat, labels, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")
+
+
+#: States of the enter/extend lattice: 0-3 begin A, C, G, T; 4-7 prolong them. A letter is prolonged or another one begins (the same one too).
+ENTER_EXTEND = np.array([[0.0 if b < 4 or b - 4 == a % 4 else -np.inf for b in range(8)] for a in range(8)])
+
+
+def enter_extend_udf():
+    """A column of flat arrays (frames x 8 state scores) -> letters and the frames of each by the best path; a path begins with a letter. Null for null or no frames."""
+    first = np.array([0.0] * 4 + [-np.inf] * 4)
+
+    def run(flat: pd.Series) -> pd.DataFrame:
+        rows: list[tuple] = []
+        for x in flat:
+            rows.append((None, None, None) if x is None or not len(x) else (lambda path, score: (*enter_extend_runs(path), score))(*viterbi(_matrix(x, 8), ENTER_EXTEND, first)))
+        return pd.DataFrame(rows, columns=["text", "frames", "score"])
+
+    return F.pandas_udf(run, "text string, frames array<int>, score double")
+
+
+def blank_viterbi_udf(width: int, letters: str = "ACGT"):
+    """A column of flat arrays (frames x width, class 0 blank) -> letters and frames of each by the best path, where equal neighbours are one letter and blanks part them."""
+
+    def run(flat: pd.Series) -> pd.DataFrame:
+        rows: list[tuple] = []
+        for x in flat:
+            if x is None or not len(x):
+                rows.append((None, None, None))
+                continue
+            path, score = viterbi(_matrix(x, width), np.zeros((width, width)))
+            text, frames, last = "", [], 0
+            for s in path:
+                if s and s == last:
+                    frames[-1] += 1
+                elif s:
+                    text, frames = text + (letters[s - 1] if s <= len(letters) else "N"), [*frames, 1]
+                last = s
+            rows.append((text, frames, score))
+        return pd.DataFrame(rows, columns=["text", "frames", "score"])
+
+    return F.pandas_udf(run, "text string, frames array<int>, score double")

@@ -216,3 +216,88 @@ def genotype(format_: Column, sample: Column, alts: Column, policy: str = "phase
         return pick(a), F.when(b.isNull(), pick(a)).otherwise(pick(b))
     least = F.array_min(F.filter(F.transform(F.split(gt, r"[|/]"), lambda t: t.try_cast("int")), lambda x: x > 0)).cast("string")
     return F.when(bar, pick(a)).otherwise(pick(least)), F.when(bar, pick(b)).otherwise(pick(least))
+
+
+#: The letters of 4-bit base codes (fixed values of BAM), and what a code of the four bases stands for.
+NIBBLES, BASES = "=ACMGRSVTWYHKDBN", "ACGT"
+
+
+def from_nibbles(codes: Column) -> Column:
+    """Letters of an array of 4-bit codes."""
+    return F.array_join(F.transform(codes, lambda x: F.substring(F.lit(NIBBLES), x.cast("int") + 1, F.lit(1))), "")
+
+
+def base_codes(seq: Column, unknown: int = 4) -> Column:
+    """A, C, G, T in any case as 0 to 3, others as `unknown`."""
+    return F.transform(letters(F.upper(seq)), lambda x: F.coalesce(F.nullif(F.instr(F.lit(BASES), x), F.lit(0)) - 1, F.lit(unknown)))
+
+
+def from_base_codes(codes: Column) -> Column:
+    """0 to 3 as letters, others as N."""
+    return F.array_join(F.transform(codes, lambda x: F.when(x.between(0, 3), F.substring(F.lit(BASES), x.cast("int") + 1, F.lit(1))).otherwise("N")), "")
+
+
+def one_hot(codes: Column, width: int = 4) -> Column:
+    """A row of 0.0 and one 1.0 for each code; codes outside 0 to width - 1 have no 1.0."""
+    places = F.array(*map(F.lit, range(width)))
+    return F.transform(codes, lambda x: F.transform(places, lambda p: F.when(x == p, 1.0).otherwise(0.0)))
+
+
+def runs_text(runs: Column) -> Column:
+    """array<struct<char, n>> written out; runs without length or letter are left out, and null if nothing is left."""
+    kept = F.filter(runs, lambda r: r.isNotNull() & r["char"].isNotNull() & (F.coalesce(r["n"], F.lit(0)) > 0))
+    return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda r: F.repeat(r["char"], r["n"].cast("int"))), ""))
+
+
+def masked_rows(rows: Column, mask: Column) -> Column:
+    """Rows at places where the mask holds."""
+    return F.filter(rows, lambda r, i: F.coalesce(F.get(mask, i), F.lit(False)))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def entropy(weights: Column, least: float = 1e-6) -> Column:
+    """- sum of w log w, with w at least `least` inside the logarithm."""
+    return -F.aggregate(F.transform(weights, lambda w: w * F.log(F.greatest(w, F.lit(least)))), F.lit(0.0), lambda s, x: s + x)
+
+
+def weighted_variance(weights: Column, vectors: Column) -> Column:
+    """Mean over the components of the weighted variance of vectors around their weighted mean; vectors have one length."""
+    width = F.sequence(F.lit(0), F.size(F.get(vectors, F.lit(0))) - 1)
+
+    def one(k):
+        column = F.transform(vectors, lambda v: F.get(v, k))
+        return let(dot(weights, column), lambda m: dot(weights, F.transform(column, lambda x: (x - m) * (x - m))))
+
+    return F.aggregate(F.transform(width, one), F.lit(0.0), lambda s, x: s + x, lambda s: s / F.size(width))
+
+
+def duration_target(attention: Column, moves: Column, weights: Column, mask: Column) -> Column:
+    """For each query: the sum over reads of weight * attention . moves, 0 outside the mask, kept inside 0 to 1.
+
+    attention: reads x queries x time; moves: reads x time; weights: reads; mask: queries.
+    """
+    reads = F.sequence(F.lit(0), F.size(weights) - 1)
+
+    def query(m, q):
+        each = F.transform(reads, lambda r: F.get(weights, r) * dot(F.get(F.get(attention, r), q), F.get(moves, r)))
+        return F.when(m, F.least(F.greatest(F.aggregate(each, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+
+    return F.transform(mask, query)
+
+
+def fits_frames(items: Column, frames: Column) -> Column:
+    """Whether a decoder with so many frames can give out the label sequence."""
+    return ctc_length(items) <= frames
+
+
+def mapped_well(mapq: Column, least: int = 20) -> Column:
+    return mapq >= least
+
+
+def reference_row_of(name: Column) -> Column:
+    """The haplotype (hap1 or hap2) of names of reference rows, null for those of reads."""
+    hap = F.regexp_extract(name, r"^REFERENCE_.*_(hap[12])$", 1)
+    return F.nullif(hap, F.lit(""))

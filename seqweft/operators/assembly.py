@@ -6,14 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _distance(a: str, b: str) -> int:
-    d = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, d[0] = d[0], i
-        for j, y in enumerate(b, 1):
-            before, d[j] = d[j], min(before + (x != y), d[j] + 1, d[j - 1] + 1)
-    return d[-1]
+from ..functions.align import align
 
 
 def stitch_checked(df: DataFrame, part: str, idx: str, seq: str, overlap: int) -> DataFrame:
@@ -24,7 +17,7 @@ def stitch_checked(df: DataFrame, part: str, idx: str, seq: str, overlap: int) -
         out, text, first, last, bad = [], None, None, None, 0
         for i, s in sorted(zip(pdf[idx], pdf[seq].fillna(""), strict=True)):
             apart = last is None or i != last + 1
-            if text is not None and s and not apart and _distance(text[-overlap:], s[:overlap]) > max(1, int(overlap * 0.1)):
+            if text is not None and s and not apart and align(text[-overlap:], s[:overlap])[0] > max(1, int(overlap * 0.1)):
                 apart, bad = True, bad + 1
             if text is not None and (apart or not s):
                 out.append((pdf[part].iloc[0], first, last, text))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import align
+from ..functions import sequence as sq
+
 
 def accuracy(df: DataFrame, matches: str, aligned: str, reference: str, distance: str, *by: str) -> DataFrame:
     """Means of per-row ratios (macro) and ratios of sums (micro); an empty denominator counts as 1.0."""
@@ -24,3 +27,77 @@ def accuracy(df: DataFrame, matches: str, aligned: str, reference: str, distance
 
 def counters(df: DataFrame, by: list[str], **conditions: Column) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(c).alias(k) for k, c in conditions.items()))
+
+
+def robust_scaled(df: DataFrame, part: str, value: str, name: str = "z", least: float = 1e-6) -> DataFrame:
+    """df with (value - median) / median absolute deviation of its part, the deviation at least `least`; medians are the lower ones."""
+    lower = "percentile_disc(0.5) WITHIN GROUP (ORDER BY {})"
+    x = df.join(df.groupBy(part).agg(F.expr(lower.format(f"`{value}`")).alias("median_")), part)
+    mad = x.groupBy(part).agg(F.expr(lower.format(f"abs(`{value}` - median_)")).alias("mad_"))
+    return x.join(mad, part).withColumn(name, (F.col(value) - F.col("median_")) / F.greatest("mad_", F.lit(least))).drop("median_", "mad_")
+
+
+def order_violation(df: DataFrame, part: str, order: str, time: Column, margin: float) -> DataFrame:
+    """(part, violation): mean of what each step of time in a part's order falls short of the margin; parts of one row are left out."""
+    gap = F.lead(time).over(Window.partitionBy(part).orderBy(order)) - time
+    steps = df.select(part, gap.alias("gap_")).where("gap_ is not null")
+    return steps.groupBy(part).agg(F.avg(F.greatest(margin - F.col("gap_"), F.lit(0.0))).alias("violation"))
+
+
+def class_probability(df: DataFrame, key: str, scores: str, width: int, which: int = 0, sure: float = 0.95) -> DataFrame:
+    """(key, mean, least, most, sure): of one class's softmax probability over a row's frames, and how many frames are above `sure`."""
+    frames = df.select(key, F.explode(sq.rows_of(F.col(scores).cast("array<double>"), width)).alias("frame_"))
+    p = frames.select(key, F.get(sq.softmax(F.col("frame_")), F.lit(which)).alias("p_"))
+    return p.groupBy(key).agg(F.avg("p_").alias("mean"), F.min("p_").alias("least"), F.max("p_").alias("most"), F.count_if(F.col("p_") > sure).alias("sure"))
+
+
+def homopolymer_accuracy(df: DataFrame, reference: str, called: str, least: int | None = 3, *by: str) -> DataFrame:
+    """accuracy() of the reference places that stand in runs of at least `least`, or with None of those in the central run.
+
+    Rows without such places are left out. Called letters count by the alignment of the whole strings.
+    """
+    ref = F.col(reference)
+    if least is None:
+        run = sq.central_run(ref)
+        mask = F.transform(sq.letters(ref), lambda x, i: (i >= run["start"]) & (i < run["end"]))
+    else:
+        mask = sq.run_mask(sq.letters(ref), least)
+    rows = df.withColumn("mask_", mask).withColumn("n_ref_", F.size(F.filter("mask_", lambda m: m)))
+    rows = rows.where("n_ref_ > 0").withColumn("ops_", align.alignment_stats(reference, called)["ops"])
+    rows = rows.withColumn("m_", align.masked_alignment_stats(F.col("ops_"), F.col("mask_")))
+    rows = rows.select(*by, F.col("m_.matches").alias("matches_"), (F.col("m_.matches") + F.col("m_.distance")).alias("aligned_"), "n_ref_", F.col("m_.distance").alias("distance_"))
+    return accuracy(rows, "matches_", "aligned_", "n_ref_", "distance_", *by)
+
+
+def decode_summary(df: DataFrame, text: str, *lengths: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows, the mean length of decoded texts, the mean of each column of lengths, and how many texts are empty."""
+    n = F.length(F.coalesce(F.col(text), F.lit("")))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(n).alias("mean_collapsed"), *(F.avg(c).alias(f"mean_{c}") for c in lengths), F.count_if(n == 0).alias("zero_length"))
+
+
+def blank_rates(df: DataFrame, labels: str, reference_length: str, blank: int = 0) -> DataFrame:
+    """df with blank_rate of its frames' labels, collapsed_len and collapsed_ref_ratio; null where there are no frames or no reference."""
+    x = F.col(labels)
+    kept = F.size(F.filter(x, lambda v, i: (v != blank) & ((i == 0) | ~F.get(x, i - 1).eqNullSafe(v))))
+    rate = F.try_divide(F.size(F.filter(x, lambda v: v == blank)).cast("double"), F.size(x).cast("double"))
+    return df.withColumn("blank_rate", rate).withColumn("collapsed_len", kept).withColumn("collapsed_ref_ratio", F.try_divide(F.col("collapsed_len").cast("double"), F.col(reference_length).cast("double")))
+
+
+def long_references(df: DataFrame, segment: str, length: str, threshold: int, *by: str) -> DataFrame:
+    """(by, evaluated, missing, exceeding): segments with a reference, without one (null or no length), and with one longer than the threshold."""
+    longest = df.groupBy(*by, segment).agg(F.max(F.when(F.col(length) > 0, F.col(length))).alias("longest_"))
+    return longest.groupBy(*by).agg(F.count("longest_").alias("evaluated"), F.count_if(F.col("longest_").isNull()).alias("missing"), F.count_if(F.col("longest_") > threshold).alias("exceeding"))
+
+
+def issue_totals(issues: DataFrame, split: str, segment: str) -> DataFrame:
+    """(split, issues, segments): how many issues, and in how many segments."""
+    return issues.groupBy(split, segment).agg(F.count(F.lit(1)).alias("n_")).groupBy(split).agg(F.sum("n_").alias("issues"), F.count(F.lit(1)).alias("segments"))
+
+
+def loss_averages(df: DataFrame, epoch: str, loss: str, weight: str) -> DataFrame:
+    """(epoch, n, mean, mean_weighted): of each epoch's batches the plain mean of losses and the one weighted by their sizes."""
+    return df.groupBy(epoch).agg(F.count(loss).alias("n"), F.avg(loss).alias("mean"), F.try_divide(F.sum(F.col(loss) * F.col(weight)), F.sum(F.when(F.col(loss).isNotNull(), F.col(weight)))).alias("mean_weighted"))
+
+
+def mean_squared_error(df: DataFrame, target: str, value: str, *by: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.avg((F.col(value) - F.col(target)) * (F.col(value) - F.col(target))).alias("mse"))

@@ -8,10 +8,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def offset_plan(df: DataFrame, part: str, length: str, order: list, name: str = "offset") -> DataFrame:
-    """Exclusive running sum of length in each part."""
-    w = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(length).over(w), F.sum(F.lit(0)).over(w), F.lit(0)))
+def sliced(df: DataFrame, part: str, order: str, rows: int, name: str = "slice_") -> DataFrame:
+    """df with a slice for each row: 0 in parts of up to `rows` rows, else by quantiles of order, which grow with it.
+
+    Quantiles are approximate, so slices differ in size, but rows of one order value are never parted. Parts that are
+    cut have a row with their quantiles, at most a row for each `rows` rows of df.
+    """
+    steps = [i / 64 for i in range(1, 64)]
+    large = df.groupBy(part).agg(F.count(F.lit(1)).alias("n_"), F.percentile_approx(order, steps, 1000).alias("cuts_")).where(F.col("n_") > rows)
+    large = large.select(F.col(part).alias("part_"), "cuts_")
+    at = F.size(F.filter("cuts_", lambda c: c < F.col(order)))
+    return df.join(large, df[part].eqNullSafe(large["part_"]), "left").withColumn(name, F.when(F.col("cuts_").isNull(), 0).otherwise(at)).drop("part_", "cuts_")
+
+
+def offset_plan(df: DataFrame, part: str, length: str, order: list, name: str = "offset", slice_rows: int | None = None) -> DataFrame:
+    """Exclusive running sum of length in each part.
+
+    With slice_rows, larger parts are cut in slices by their first order column: each slice sums on its own, and the sums
+    of the slices before it are joined on, so one part's rows meet in no single task.
+    """
+    by = [part]
+    if slice_rows:
+        df = sliced(df, part, order[0], slice_rows)
+        by = [part, "slice_"]
+        sums = df.groupBy(*by).agg(F.sum(length).alias("sum_"))
+        before = Window.partitionBy(part).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select(F.col(part).alias("part_"), F.col("slice_").alias("at_"), F.sum("sum_").over(before).alias("before_"))
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn(name, F.coalesce(F.sum(length).over(w), F.lit(0)))
+    if slice_rows:
+        out = out.join(sums, out[part].eqNullSafe(sums["part_"]) & (out["slice_"] == sums["at_"]))
+        out = out.withColumn(name, F.col(name) + F.coalesce("before_", F.lit(0))).drop("part_", "at_", "before_", "slice_")
+    return out
 
 
 def stitch(df: DataFrame, part: str, idx: str, seq: str, overlap: int, start: str, end: str) -> DataFrame:
@@ -29,12 +57,26 @@ def stitch(df: DataFrame, part: str, idx: str, seq: str, overlap: int, start: st
     return g.select(part, first["i"].alias("first_idx"), last["i"].alias("last_idx"), first["a"].alias("seg_start"), last["b"].alias("seg_end"), F.concat(first["s"], F.array_join(tail, "")).alias("sequence"))
 
 
-def run_length(df: DataFrame, part: str, order: list, label: str) -> DataFrame:
-    """Runs of equal labels: part, run, label, n."""
-    w = Window.partitionBy(part).orderBy(*order)
+def run_length(df: DataFrame, part: str, order: list, label: str, slice_rows: int | None = None) -> DataFrame:
+    """Runs of equal labels: part, run, label, n.
+
+    With slice_rows, larger parts are cut as in offset_plan; each slice makes its own runs, and a run that goes on in the
+    next slice is put together from these.
+    """
+    if not slice_rows:
+        w = Window.partitionBy(part).orderBy(*order)
+        change = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+        marked = df.withColumn("change_", change)
+        return marked.withColumn("run", F.sum("change_").over(w).cast("long")).groupBy(part, "run").agg(F.first(label).alias("label"), F.count(F.lit(1)).alias("n"))
+    cut = sliced(df.select(part, *order, label), part, order[0], slice_rows)
+    w = Window.partitionBy(part, "slice_").orderBy(*order)
     change = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    marked = df.withColumn("change_", change)
-    return marked.withColumn("run", F.sum("change_").over(w).cast("long")).groupBy(part, "run").agg(F.first(label).alias("label"), F.count(F.lit(1)).alias("n"))
+    local = cut.withColumn("change_", change).withColumn("local_", F.sum("change_").over(w))
+    local = local.groupBy(part, "slice_", "local_").agg(F.first(label).alias("label_"), F.count(F.lit(1)).alias("size_"))
+    w = Window.partitionBy(part).orderBy("slice_", "local_")
+    change = F.when(F.lag("label_").over(w).eqNullSafe(F.col("label_")) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    joined = local.withColumn("change_", change).withColumn("run", F.sum("change_").over(w).cast("long"))
+    return joined.groupBy(part, "run").agg(F.first("label_").alias("label"), F.sum("size_").alias("n"))
 
 
 def top_k(df: DataFrame, part, order: list, k: int, name: str = "rank") -> DataFrame:
@@ -51,11 +93,23 @@ def page(df: DataFrame, part, order: list, offset: int, limit: int) -> DataFrame
     return top_k(df, part, order, offset + limit, "rank_").where(F.col("rank_") > offset).drop("rank_")
 
 
-def contiguity(df: DataFrame, part: str, start: str, end: str, size: str | None = None) -> DataFrame:
-    """Per part: gaps, overlaps and their lengths against the running largest end; unused prefix and, with size, unused tail."""
-    w = Window.partitionBy(part).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = df.withColumn("reach_", reach)
+def contiguity(df: DataFrame, part: str, start: str, end: str, size: str | None = None, slice_rows: int | None = None) -> DataFrame:
+    """Per part: gaps, overlaps and their lengths against the running largest end; unused prefix and, with size, unused tail.
+
+    With slice_rows, larger parts are cut as in offset_plan, and the largest end of the slices before is joined on.
+    """
+    by = [part]
+    if slice_rows:
+        df = sliced(df, part, start, slice_rows)
+        by = [part, "slice_"]
+    w = Window.partitionBy(*by).orderBy(start, end)
+    x = df.withColumn("reach_", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    if slice_rows:
+        ends = df.groupBy(*by).agg(F.max(end).alias("end_"))
+        before = Window.partitionBy(part).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(F.col(part).alias("part_"), F.col("slice_").alias("at_"), F.max("end_").over(before).alias("before_"))
+        x = x.join(ends, x[part].eqNullSafe(ends["part_"]) & (x["slice_"] == ends["at_"]))
+        x = x.withColumn("reach_", F.greatest("reach_", "before_"))
     gap = F.when(F.col(start) > F.col("reach_"), F.col(start) - F.col("reach_"))
     over = F.when(F.col(start) < F.col("reach_"), F.col("reach_") - F.col(start))
     aggs = [F.count(gap).alias("n_gaps"), F.coalesce(F.sum(gap), F.lit(0)).alias("gap_total"), F.count(over).alias("n_overlap"), F.coalesce(F.sum(over), F.lit(0)).alias("overlap_total"), F.min(start).alias("first_start"), F.max(end).alias("last_end")]

@@ -227,11 +227,8 @@ def deterministic_split(spark, d):
     SELECT event_id, round((value - med) / greatest(mad, 1e-6), 6) AS z FROM events JOIN m USING (user_id) JOIN a USING (user_id)"""
 )
 def robust_norm(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", "value")
-    med = e.groupBy("user_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("med"))
-    e = e.join(med, "user_id")
-    mad = e.groupBy("user_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(value - med))").alias("mad"))
-    return e.join(mad, "user_id").select("event_id", F.round((F.col("value") - F.col("med")) / F.greatest("mad", F.lit(1e-6)), 6).alias("z"))
+    z = metrics.robust_scaled(table(spark, d, "events").select("user_id", "event_id", "value"), "user_id", "value")
+    return z.select("event_id", F.round("z", 6).alias("z"))
 
 
 _LABELS = """SELECT vec_id, list_transform(range(16), lambda t: list_position(embedding[t * 4 + 1:t * 4 + 4], list_max(embedding[t * 4 + 1:t * 4 + 4])) - 1) AS labels FROM embeddings"""
@@ -267,15 +264,15 @@ def homopolymer_weight(spark, d):
     return x.select("vec_id", "run", sq.homopolymer_weight(F.col("run"), 2, 6, 2.0).alias("weight"))
 
 
-_MOVES = "SELECT vec_id, list_transform(embedding[1:24]::float[], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS moves FROM embeddings"
+_MOVES = "SELECT vec_id, list_transform(embedding::float[], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS moves FROM embeddings"
 
 
 def moves_of(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 24), lambda x: F.when(x > 0, 1).otherwise(0)).alias("moves"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)).alias("moves"))
 
 
 @query(
-    f"""WITH h AS (SELECT vec_id, list_filter(range(0, 24), lambda i: moves[i + 1] <> 0) AS h FROM ({_MOVES}))
+    f"""WITH h AS (SELECT vec_id, list_filter(range(0, 64), lambda i: moves[i + 1] <> 0) AS h FROM ({_MOVES}))
     SELECT vec_id, h[3]::int AS tick, (coalesce(h[least(len(h), 8) + 1], h[least(len(h), 8)] + 1) - h[3])::int AS mv_len,
     ((coalesce(h[least(len(h), 8) + 1], h[least(len(h), 8)] + 1) - h[3]) * 6)::int AS sig_len FROM h WHERE least(len(h), 8) > 2"""
 )
@@ -285,33 +282,35 @@ def move_slice(spark, d):
 
 
 @query(
-    f"""SELECT vec_id, array_to_string(list_transform(range(1, 25), lambda i: CASE WHEN moves[i] > 0 THEN 'ACGTACGTACGTACGTACGTACGT'[list_sum(moves[1:i])::int] ELSE '.' END), '') AS bases FROM ({_MOVES})"""
+    f"""SELECT vec_id, array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN moves[i] > 0 THEN repeat('ACGT', 16)[list_sum(moves[1:i])::int] ELSE '.' END), '') AS bases FROM ({_MOVES})"""
 )
 def move_expand(spark, d):
-    x = moves_of(spark, d).withColumn("seq", F.substring(F.repeat(F.lit("ACGT"), 6), F.lit(1), F.aggregate("moves", F.lit(0), lambda a, m: a + m)))
+    x = moves_of(spark, d).withColumn("seq", F.substring(F.repeat(F.lit("ACGT"), 16), F.lit(1), F.aggregate("moves", F.lit(0), lambda a, m: a + m)))
     b = sq.expand_bases(F.col("seq"), F.transform("moves", lambda m: m.cast("bigint")))
     return x.select("vec_id", F.array_join(F.transform(b, lambda s: F.when(s == "", ".").otherwise(s)), "").alias("bases"))
 
 
 @query(
-    """WITH s AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 200)), '[^a-z]', '', 'g') AS s FROM documents),
+    """WITH s AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS s FROM documents),
     c AS (SELECT doc_id, s, ((length(s) - 1) // 2) AS mid, s[((length(s) - 1) // 2) + 1] AS b FROM s WHERE length(s) > 0),
     r AS (SELECT doc_id, s, (mid + 1 - (length(s[:mid + 1]) - length(rtrim(s[:mid + 1], b)))) AS a, (mid + (length(s[mid + 1:]) - length(ltrim(s[mid + 1:], b)))) AS z FROM c)
     SELECT doc_id, a::int AS run_start, z::int AS run_end, lpad(s[greatest(a - 3, 0) + 1:a], 3, 'N') AS left_3mer, rpad(s[z + 1:z + 3], 3, 'N') AS right_3mer FROM r"""
 )
 def central_homopolymer(spark, d):
-    s = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower(F.substring("text", 1, 200)), "[^a-z]", "").alias("s")).where("length(s) > 0")
+    s = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("s")).where("length(s) > 0")
     x = s.withColumn("r", sq.central_run(F.col("s"))).select("doc_id", "s", F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"))
     left, right = sq.flanks(F.col("s"), F.col("run_start"), F.col("run_end"))
     return x.select("doc_id", "run_start", "run_end", left.alias("left_3mer"), right.alias("right_3mer"))
 
 
-_PAIRS = """SELECT n.n_nationkey AS k, n.n_name AS ref, r.r_name AS hyp FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"""
+_PAIRS = """SELECT a.p_partkey AS k, a.p_name AS ref, b.p_name AS hyp FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"""
 
 
 def pairs(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("ref"), F.col("r_name").alias("hyp"))
+    """Each part's name with the next part's."""
+    p = table(spark, d, "part")
+    a, b = p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("ref")), p.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("hyp"))
+    return a.join(b, "k")
 
 
 @query(f"SELECT k, levenshtein(ref, hyp)::int AS distance FROM ({_PAIRS})")
@@ -325,6 +324,15 @@ def alignment_distance(spark, d):
     return pairs(spark, d).select("k", align.alignment_stats("ref", "hyp").alias("a")).select("k", "a.distance")
 
 
+@query(
+    """SELECT count(*) AS n, round(avg(levenshtein(ref, hyp)), 9) AS mean_distance, round(avg(levenshtein(ref, hyp)::double / length(ref)), 9) AS mean_normalised FROM (""" + _PAIRS + """)"""
+)
+def alignment_errors(spark, d):
+    """The part of alignment_metrics that does not depend on which of several best alignments is taken."""
+    out = alignment_metrics(spark, d)
+    return out.select("n", F.round("mean_distance", 9).alias("mean_distance"), F.round("mean_normalised", 9).alias("mean_normalised"))
+
+
 @query()
 def alignment_metrics(spark, d):
     a = pairs(spark, d).select("k", F.length("ref").alias("ref_len"), align.alignment_stats("ref", "hyp").alias("a")).select("k", "ref_len", "a.*")
@@ -353,19 +361,16 @@ def query_budget(spark, d):
     SELECT vec_id, round(avg(p), 6) AS mean_blank, round(min(p), 6) AS least, round(max(p), 6) AS most, count(*) FILTER (p > 0.5) AS sure FROM p GROUP BY vec_id"""
 )
 def blank_stats(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.explode(sq.rows_of(F.col("embedding").cast("array<double>"), 4)).alias("frame"))
-    p = e.select("vec_id", F.get(sq.softmax(F.col("frame")), F.lit(0)).alias("p"))
-    return p.groupBy("vec_id").agg(F.round(F.avg("p"), 6).alias("mean_blank"), F.round(F.min("p"), 6).alias("least"), F.round(F.max("p"), 6).alias("most"), F.count_if(F.col("p") > 0.5).alias("sure"))
+    p = metrics.class_probability(table(spark, d, "embeddings"), "vec_id", "embedding", 4, sure=0.5)
+    return p.select("vec_id", F.round("mean", 6).alias("mean_blank"), F.round("least", 6).alias("least"), F.round("most", 6).alias("most"), "sure")
 
 
 @query(
     """SELECT user_id, round(avg(greatest(60 - gap, 0)), 6) AS violation FROM (SELECT user_id, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY event_id)) - epoch_us(ts)) / 1e6 AS gap FROM events) WHERE gap IS NOT NULL GROUP BY user_id"""
 )
 def temporal_order(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    gap = (F.lead(seconds("ts")).over(w) - seconds("ts")) / F.lit(1e6)
-    e = table(spark, d, "events").select("user_id", gap.alias("gap")).where("gap is not null")
-    return e.groupBy("user_id").agg(F.round(F.avg(F.greatest(60 - F.col("gap"), F.lit(0.0))), 6).alias("violation"))
+    v = metrics.order_violation(table(spark, d, "events"), "user_id", "event_id", seconds("ts") / F.lit(1e6), 60)
+    return v.select("user_id", F.round("violation", 6).alias("violation"))
 
 
 @query(
@@ -428,13 +433,19 @@ def cigar_spans(spark, d):
     return x.select("p_partkey", sq.reference_span(F.col("c")).cast("int").alias("ref_span"), (sq.query_span(F.col("c")) - 1).cast("int").alias("query_span"), sq.cigar_text(F.col("c")).alias("cigar"))
 
 
-@query()
+@query(
+    """WITH x AS (SELECT p_partkey, p_size % 12 + 100 AS a FROM part)
+    SELECT p_partkey, a, (3 + CASE WHEN a < 105 THEN a - 100 WHEN a < 107 THEN 5 WHEN a < 111 THEN a - 102 ELSE a - 101 END)::int AS qs,
+      CASE WHEN a + 5 < 107 THEN 8 WHEN a + 5 < 111 THEN 3 + a + 5 - 102 WHEN a + 5 < 114 THEN 3 + a + 5 - 101 ELSE 18 END::int AS qe FROM x"""
+)
 def cigar_lift(spark, d):
     x = table(spark, d, "part").select("p_partkey", sq.parse_cigar(F.lit("3S5M2D4M1I3M2S")).alias("c"), (F.col("p_size") % 12 + 100).alias("a"))
     return x.select("p_partkey", "a", align.lifted("c", F.lit(100), "a", F.col("a") + 5).alias("q")).select("p_partkey", "a", "q.qs", "q.qe")
 
 
-@query()
+@query(
+    """SELECT p_partkey, 'AT' || CASE WHEN p_size % 6 = 0 THEN 'GTGGACGTAC' WHEN p_size % 6 = 4 THEN 'GTACGTGGAC' ELSE 'GTACGTAC' END AS hap FROM part"""
+)
 def spike_in(spark, d):
     v = F.array(F.struct(F.lit(12).alias("pos"), F.lit("C").alias("ref"), F.lit("T").alias("alt")), F.struct((F.col("p_size") % 6 + 14).alias("pos"), F.lit("T").alias("ref"), F.lit("TGG").alias("alt")))
     return table(spark, d, "part").select("p_partkey", align.spiked(F.lit("ACGTACGTAC"), F.lit(11), v).alias("hap"))

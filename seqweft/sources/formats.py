@@ -1,66 +1,111 @@
-"""FASTA, FASTQ, VCF, SAM text and TSV as DataFrames and back. Record formats over several lines are read file by file."""
+"""FASTA, FASTQ, VCF, SAM text and TSV as DataFrames and back. All are read by splits, so one large file is many tasks (.gz files are one each)."""
 
 from __future__ import annotations
 
-import gzip
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import parse_cigar
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def _pieces(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
+    """(path, block, row, value): parts of text files between separators; block is where the split begins, row rises within it."""
+    rows = spark.read.text(path, lineSep=separator)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
 
 
-def _text(content: bytes) -> str:
-    return (gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content).decode()
+def _stop(message: str, path: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(message), path)).cast("boolean")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, name, header, seq); .gz too; blank lines do not count; a file without records is an error."""
-
-    def parse(batches):
-        for pdf in batches:
-            for p, content in zip(pdf.path, pdf.content, strict=True):
-                head, parts, rows = None, [], []
-                for line in _text(content).splitlines():
-                    line = line.strip()
-                    if line.startswith(">"):
-                        if head is not None:
-                            rows.append((head, "".join(parts)))
-                        head, parts = line[1:], []
-                    elif line and head is not None:
-                        parts.append(line)
-                if head is None:
-                    raise ValueError(f"no records in {p}")
-                rows.append((head, "".join(parts)))
-                yield pd.DataFrame({"path": p, "pos": range(len(rows)), "name": [(h.split() or [""])[0] for h, _ in rows], "header": [h for h, _ in rows], "seq": [s for _, s in rows]})
-
-    return _files(spark, path).mapInPandas(parse, "path string, pos long, name string, header string, seq string")
+    """(path, block, row, name, header, seq), in a file's order by block and row; blank lines do not count.
+
+    Records are what stands between line ends with > behind them. Text before a file's first record is an error.
+    """
+    rows = _pieces(spark, path, "\n>")
+    # a split that begins inside a file begins behind a separator, so only a file's first part has its own >
+    begins = rows.where("block = 0").groupBy("path").agg(F.min("row").alias("row"))
+    begins = begins.select("path", "row", F.lit(True).alias("first_"))
+    rows = rows.where(F.regexp_replace("value", r"\s", "") != "").join(begins, ["path", "row"], "left")
+    ok = F.when(F.col("first_") & ~F.startswith(F.ltrim("value"), F.lit(">")), _stop("text before the first record of ", F.col("path"))).otherwise(True)
+    rows = rows.where(ok)
+    value = F.regexp_replace("value", r"^\s*>", "")
+    lines = F.transform(F.split(value, "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", "")))
+    header = F.get(lines, F.lit(0))
+    seq = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "")
+    return rows.select("path", "block", "row", F.get(F.split(header, r"\s+"), F.lit(0)).alias("name"), header.alias("header"), seq.alias("seq"))
 
 
 def read_fastq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(path, pos, read_id, header, seq, qual); with strict, a bad header, separator or a cut record is an error, else the record ends the file."""
-
-    def parse(batches):
-        for pdf in batches:
-            for p, content in zip(pdf.path, pdf.content, strict=True):
-                lines = _text(content).splitlines()
-                rows = []
-                for i in range(0, len(lines), 4):
-                    rec = lines[i : i + 4]
-                    ok = len(rec) == 4 and rec[0].startswith("@") and rec[2][:1] in ("", "+")
-                    if not ok:
-                        if strict and any(rec):
-                            raise ValueError(f"bad record at line {i + 1} of {p}")
-                        break
-                    rows.append((rec[0][1:], rec[1], rec[3]))
-                yield pd.DataFrame({"path": p, "pos": range(len(rows)), "read_id": [h.split(" ")[0] for h, _, _ in rows], "header": [h for h, _, _ in rows], "seq": [s for _, s, _ in rows], "qual": [q for _, _, q in rows]})
-
-    return _files(spark, path).mapInPandas(parse, "path string, pos long, read_id string, header string, seq string, qual string")
+    """(path, pos, read_id, header, seq, qual), pos counts a file's records from 0.
+
+    With strict, a bad header or separator or a cut record is an error, else such a record ends the file. Lines are
+    counted by split first, which gives each its number in the file; a record's four lines then meet by that number.
+    """
+    lines = _pieces(spark, path)
+    blocks = lines.groupBy("path", "block").agg(F.min("row").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", "first_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    number = F.col("before_") + F.col("row") - F.col("first_")
+    numbered = lines.join(blocks, ["path", "block"]).select("path", F.floor(number / 4).alias("pos"), (number % 4).alias("k"), F.regexp_replace("value", "\r$", "").alias("value"))
+    line = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
+    records = numbered.groupBy("path", "pos").agg(*(line(k).alias(f"l{k}") for k in range(4)))
+    ok = F.startswith("l0", F.lit("@")) & F.col("l2").rlike(r"^(\+|$)") & F.col("l3").isNotNull()
+    blank = F.concat_ws("", "l0", "l1", "l2", "l3") == ""
+    records = records.withColumn("ok_", F.coalesce(ok, F.lit(False))).where(F.col("ok_") | ~blank if strict else F.lit(True))
+    if strict:
+        records = records.where(F.when(F.col("ok_"), True).otherwise(_stop("bad record in ", F.col("path"))))
+    else:
+        ends = records.where("not ok_").groupBy("path").agg(F.min("pos").alias("end_"))
+        records = records.join(ends, "path", "left").where("end_ is null or pos < end_")
+    header = F.substring("l0", 2, 1 << 30)
+    return records.select("path", "pos", F.get(F.split(header, " "), F.lit(0)).alias("read_id"), header.alias("header"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
+
+
+def fastq_lengths(reads: DataFrame) -> DataFrame:
+    """(read_id, length) of reads of which no line is empty."""
+    return reads.where("seq <> '' and qual <> '' and header <> ''").select("read_id", F.length("seq").alias("length"))
+
+
+def fasta_lengths(records: DataFrame) -> DataFrame:
+    """(path, name, length) of records with letters."""
+    return records.select("path", "name", F.length("seq").alias("length")).where("length > 0")
+
+
+def resolve(spark: SparkSession, folder: str, patterns: tuple[str, ...]) -> str | None:
+    """The one file that the first pattern with a match matches; several are an error, none gives None."""
+    jvm = spark._jvm
+    for p in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{p}")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        if len(found) > 1:
+            raise ValueError(f"{len(found)} files match {p} in {folder}")
+        if len(found):
+            return found[0].getPath().toString()
+    return None
+
+
+def segments(spark: SparkSession, root: str, marker: str) -> DataFrame:
+    """(segment): folders under root, itself included, that hold the marker file, each once, in order. The names are listed by Spark's tasks."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", marker).load(root)
+    return files.select(F.regexp_replace("path", "/[^/]*$", "").alias("segment")).distinct().orderBy("segment")
+
+
+def slices(regions: DataFrame, contigs: DataFrame) -> DataFrame:
+    """regions (chrom, start, end, ...), 1-based closed, with seq: that part of the contig (name, seq), upper case; cut at its ends, null for an unknown contig."""
+    a = F.greatest(F.col("start"), F.lit(1))
+    c = contigs.select(F.col("name").alias("chrom"), F.col("seq").alias("contig_"))
+    seq = F.upper(F.substring("contig_", a.cast("int"), F.greatest(F.col("end") - a + 1, F.lit(0)).cast("int")))
+    return regions.join(c, "chrom", "left").withColumn("seq", seq).drop("contig_")
+
+
+def read_columns(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """A table parted by white space, as strings; blank lines are dropped, and a line with another number of columns is an error."""
+    f = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where("trim(value) <> ''")
+    rows = rows.where(F.when(F.size(f) == len(names), True).otherwise(_stop(f"not {len(names)} columns: ", F.col("value"))))
+    return rows.select(*(F.get(f, F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:

@@ -13,19 +13,24 @@ def sealed_counts(stream: DataFrame, ts: str, key: str, window: str = "1000 seco
     return stream.withWatermark(ts, late).groupBy(F.window(ts, window, slide).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def in_order(stream: DataFrame, part: str, idx: str, value: str, first: int = 0) -> DataFrame:
-    """(part, idx, value) in the order of idx for each part: a row waits in state until all before it have come."""
+def in_order(stream: DataFrame, part: str, idx: str, value: str, first: int = 0, most: int = 100_000) -> DataFrame:
+    """(part, idx, value) in the order of idx for each part: a row waits in state until all before it have come.
+
+    Rows of an idx that has passed are dropped. More than `most` waiting rows in a part are an error: its next idx seems lost.
+    """
     kind = dict(stream.dtypes)[part]
 
     def step(key, frames, state: GroupState):
         following, waiting = state.get if state.exists else (first, [])
         held = {int(i): v for i, v in waiting}
         for f in frames:
-            held.update(zip(f[idx].astype(int), f[value], strict=True))
+            held.update((i, v) for i, v in zip(f[idx].astype(int), f[value], strict=True) if i >= following)
         out = []
         while following in held:
             out.append((key[0], following, held.pop(following)))
             following += 1
+        if len(held) > most:
+            raise ValueError(f"{len(held)} rows of {key[0]} wait for {following}")
         state.update((following, sorted(held.items())))
         yield pd.DataFrame(out, columns=[part, idx, value])
 
