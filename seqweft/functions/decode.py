@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -161,6 +162,42 @@ def enter_extend_udf():
     return F.pandas_udf(run, "text string, frames array<int>, score double")
 
 
+def crf_nll(emissions: np.ndarray, labels: list[int]) -> float:
+    """Log-sum of all enter/extend paths less that of those that spell the labels (0 to 3); infinite if the frames are too few."""
+    every = np.where(np.arange(8) < 4, emissions[0], -np.inf)
+    own = np.full(len(labels), -np.inf)
+    if len(labels):
+        own[0] = emissions[0, labels[0]]
+    for frame in emissions[1:]:
+        every = np.logaddexp.reduce(every[:, None] + ENTER_EXTEND, 0) + frame
+        if len(labels):
+            begun = np.concatenate([[-np.inf], own[:-1]]) + frame[labels]
+            own = np.logaddexp(begun, own + frame[np.asarray(labels) + 4])
+    found = own[-1] if len(labels) else -np.inf
+    return float("inf") if found == -np.inf else float(np.logaddexp.reduce(every) - found)
+
+
+def crf_nll_udf():
+    """Columns of flat arrays (frames x 8 state scores) and label arrays (0 to 3) -> crf_nll; null for nulls or no frames."""
+
+    def run(flat: pd.Series, labels: pd.Series) -> pd.Series:
+        none = lambda x: x is None or not len(x)
+        return pd.Series([None if none(x) or y is None else crf_nll(_matrix(x, 8), [int(v) for v in y]) for x, y in zip(flat, labels, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")
+
+
+def predict_udf(load, returns: str = "array<double>"):
+    """A column of arrays through a model of the caller's: load() gives, once for each task, a function from a list of arrays to a list of results."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for x in parts:
+            yield pd.Series(list(model(x.tolist())), dtype=object)
+
+    return F.pandas_udf(run, returns)
+
+
 def blank_viterbi_udf(width: int, letters: str = "ACGT"):
     """A column of flat arrays (frames x width, class 0 blank) -> letters and frames of each by the best path, where equal neighbours are one letter and blanks part them."""
 

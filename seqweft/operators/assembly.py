@@ -47,3 +47,9 @@ def reference_coverage(nodes: DataFrame, reference: str) -> DataFrame:
     """(nodes, matching, coverage): nodes that stand in a reference string, their letters over its length; it can pass 1."""
     at = F.instr(F.lit(reference), F.col("seq"))
     return nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(at > 0).alias("matching"), (F.coalesce(F.sum(F.when(at > 0, F.length("seq"))), F.lit(0)) / len(reference)).alias("coverage"))
+
+
+def node_places(nodes: DataFrame, references: DataFrame, region: str = "region") -> DataFrame:
+    """(region, node, hap, place): where each node's letters first stand in each reference of its region, 1-based; others are left out."""
+    r = references.select(region, "hap", F.col("seq").alias("reference_"))
+    return nodes.join(r, region).withColumn("place", F.instr("reference_", F.col("seq"))).where("place > 0").select(region, "node", "hap", "place")

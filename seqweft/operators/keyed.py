@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
 
-def zip_join(left: DataFrame, right: DataFrame, part: str, left_order: list, right_order: list, left_id: str, right_id: str, strict: bool = True) -> DataFrame:
-    """Row k of left with row k of right in each part; with strict, a longer side or different ids raise when the rows are read."""
-    a = left.withColumn("k_", F.row_number().over(Window.partitionBy(part).orderBy(*left_order)))
-    b = right.withColumn("k_", F.row_number().over(Window.partitionBy(part).orderBy(*right_order)))
+
+def zip_join(left: DataFrame, right: DataFrame, part: str, left_order: list, right_order: list, left_id: str, right_id: str, strict: bool = True, slice_rows: int | None = None) -> DataFrame:
+    """Row k of left with row k of right in each part; with strict, a longer side or different ids raise when the rows are read.
+
+    With slice_rows, larger parts are numbered over many tasks (ordered.numbered).
+    """
+    a = numbered(left, part, left_order, "k_", slice_rows)
+    b = numbered(right, part, right_order, "k_", slice_rows)
     out = a.join(b, [part, "k_"], "full_outer")
     if strict:
         ok = F.when(F.col(right_id).isNull(), F.raise_error(F.lit("right side shorter"))).when(F.col(left_id).isNull(), F.raise_error(F.lit("right side longer"))).when(F.col(left_id) != F.col(right_id), F.raise_error(F.lit("ids differ"))).otherwise(True)

@@ -42,6 +42,14 @@ def offset_plan(df: DataFrame, part: str, length: str, order: list, name: str =
     return out
 
 
+def numbered(df: DataFrame, part: str, order: list, name: str, slice_rows: int | None = None) -> DataFrame:
+    """The row's number in its part, from 1; slice_rows as in offset_plan."""
+    if not slice_rows:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    one = df.withColumn("one_", F.lit(1).cast("long"))
+    return offset_plan(one, part, "one_", order, name, slice_rows).withColumn(name, F.col(name) + 1).drop("one_")
+
+
 def stitch(df: DataFrame, part: str, idx: str, seq: str, overlap: int, start: str, end: str) -> DataFrame:
     """Runs of consecutive indices with non-empty sequences, joined: the first whole, each later one past its overlap.
 

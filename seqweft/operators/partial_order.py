@@ -7,8 +7,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def poa_sequence(reads: list[str], match: int = 2, mismatch: int = -4, gap: int = -4) -> str:
-    """The heaviest path of the graph to which reads are aligned one after the other, each against all before; '' without reads."""
+#: Columns that a row of the alignment has on each side of where its best score is expected: so many, and this share of the read.
+BAND = (10, 0.01)
+_NEVER = -(1 << 40)
+
+
+def poa_sequence(reads: list[str], match: int = 2, mismatch: int = -4, gap: int = -4, band: tuple[int, float] | None = BAND) -> str:
+    """The heaviest path of the graph to which reads are aligned one after the other, each against all before; '' without reads.
+
+    Rows are banded around the column behind the best one of the rows before them. A read that the band does not bring to
+    its end is aligned without it. Work and memory grow with the graph's nodes times the band.
+    """
     reads = [r for r in reads if r]
     if not reads:
         return ""
@@ -46,27 +55,56 @@ def poa_sequence(reads: list[str], match: int = 2, mismatch: int = -4, gap: int
         for a, b in zip(path, path[1:], strict=False):
             before[b][a] = before[b].get(a, 0) + 1
 
+    def fill(topo: list[int], codes: np.ndarray, width: int) -> dict[int, tuple[int, np.ndarray]]:
+        """Of each node its first column and the best scores of paths that end there, for columns of the band."""
+        m = len(codes)
+        score = {-1: (0, gap * np.arange(min(m, width) + 1))}
+        peak = {-1: 0}
+        for n in topo:
+            parents = list(before[n]) or [-1]
+            lo = max(0, min(peak[p] for p in parents) + 1 - width)
+            hi = min(m, max(peak[p] for p in parents) + 1 + width)
+            above = np.full(hi - lo + 2, _NEVER)  # columns lo - 1 to hi
+            for p in parents:
+                first, row = score[p]
+                x, y = max(lo - 1, first), min(hi, first + len(row) - 1)
+                if x <= y:
+                    part = above[x - lo + 1 : y - lo + 2]
+                    np.maximum(part, row[x - first : y - first + 1], out=part)
+            free = above[1:] + gap
+            start = max(lo, 1)
+            aligned_ = above[start - lo : -1] + np.where(codes[start - 1 : hi] == ord(base[n]), match, mismatch)
+            np.maximum(free[start - lo :], aligned_, out=free[start - lo :])
+            slope = gap * np.arange(hi - lo + 1)
+            row = np.maximum.accumulate(free - slope) + slope  # insertions run along the row
+            score[n] = (lo, row)
+            peak[n] = lo + int(row.argmax())
+        return score
+
     thread([node(c) for c in reads[0]])
     for read in reads[1:]:
         topo = order()
         m = len(read)
-        codes, slope = np.frombuffer(read.encode("utf-32-le"), np.uint32), gap * np.arange(m + 1)
-        score = {-1: slope.astype(np.int64)}
-        for n in topo:
-            rows = [score[p] for p in before[n]] or [score[-1]]
-            above = rows[0] if len(rows) == 1 else np.max(rows, axis=0)
-            free = above + gap
-            np.maximum(free[1:], above[:-1] + np.where(codes == ord(base[n]), match, mismatch), out=free[1:])
-            score[n] = np.maximum.accumulate(free - slope) + slope  # insertions run along the row
+        codes = np.frombuffer(read.encode("utf-32-le"), np.uint32)
         inner = {p for b in before for p in b}
         ends = [n for n in topo if n not in inner]
-        at, j, path = max(ends, key=lambda n: (score[n][m], -n)), m, []
+        widths = ([int(band[0] + band[1] * m)] if band else []) + [m + len(topo)]
+        for width in widths:
+            score = fill(topo, codes, width)
+
+            def at_column(n: int, j: int, score=score) -> int:
+                first, row = score[n]
+                return int(row[j - first]) if first <= j < first + len(row) else _NEVER
+
+            if max(at_column(n, m) for n in ends) > _NEVER // 2:
+                break
+        at, j, path = max(ends, key=lambda n: (at_column(n, m), -n)), m, []
         while at != -1 or j:
             kind, p = 0, -1
             if at != -1:
-                here, sub = score[at][j], match if j and base[at] == read[j - 1] else mismatch
+                here, sub = at_column(at, j), match if j and base[at] == read[j - 1] else mismatch
                 parents = sorted(before[at]) or [-1]
-                kind, p = next(((2, q) for q in parents if j and score[q][j - 1] + sub == here), None) or next(((1, q) for q in parents if score[q][j] + gap == here), (0, -1))
+                kind, p = next(((2, q) for q in parents if j and at_column(q, j - 1) + sub == here), None) or next(((1, q) for q in parents if at_column(q, j) + gap == here), (0, -1))
             if kind == 2:
                 c = read[j - 1]
                 same = at if base[at] == c else next((x for x in sorted(aligned[at]) if base[x] == c), None)

@@ -138,6 +138,13 @@ def enter_extend(spark, d):
     return table(spark, d, "embeddings").select("vec_id", decode.enter_extend_udf()("embedding").alias("b")).select("vec_id", "b.text", F.round("b.score", 4).alias("score"))
 
 
+@query()
+def crf_likelihood(spark, d):
+    """Of two labels over eight states; tests hold it against all paths."""
+    x = table(spark, d, "embeddings").select("vec_id", "embedding", F.array((F.col("label") % 4).cast("int"), (F.col("vec_id") % 4).cast("int")).alias("labels"))
+    return x.select("vec_id", F.round(decode.crf_nll_udf()("embedding", "labels"), 4).alias("nll"))
+
+
 @query(
     f"""WITH c AS (SELECT vec_id, labels, list_filter(range(1, 17), lambda i: labels[i] <> 0 AND (i = 1 OR labels[i - 1] <> labels[i])) AS b FROM ({_LABELS}))
     SELECT vec_id, array_to_string(list_transform(b, lambda i: 'ACG'[labels[i]]), '') AS text, len(list_filter(labels, lambda x: x <> 0)) AS frames FROM c"""

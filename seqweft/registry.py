@@ -45,3 +45,17 @@ def _greedy(width: int, letters: str = "ACGT"):
     from .functions import sequence as sq
 
     return lambda c: sq.greedy_ctc(F.transform(sq.rows_of(F.col(c) if isinstance(c, str) else c, width), sq.argmax), letters)
+
+
+@DECODERS.register("enter_extend")
+def _enter_extend():
+    from .functions.decode import enter_extend_udf
+
+    return enter_extend_udf()
+
+
+@DECODERS.register("blank_path")
+def _blank_path(width: int, **options):
+    from .functions.decode import blank_viterbi_udf
+
+    return blank_viterbi_udf(width, **options)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import parse_cigar
+from ..operators.records import last_wins, region_blocks
 
 
 def _pieces(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
@@ -116,10 +117,22 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """(qname, flag, chrom, pos 0-based, mapq, cigar, seq, qual) of SAM text."""
+    """(path, block, row, qname, flag, chrom, pos 0-based, mapq, cigar, seq, qual, tags) of SAM text; a file's order is by block and row."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).where("not startswith(value, '@')").where(F.size(f) >= 11)
-    return rows.select(f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("long") - 1).alias("pos"), f[4].cast("int").alias("mapq"), parse_cigar(f[5]).alias("cigar"), f[9].alias("seq"), f[10].alias("qual"))
+    rows = _pieces(spark, path).where("not startswith(value, '@')").where(F.size(f) >= 11)
+    return rows.select(
+        "path", "block", "row", f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("long") - 1).alias("pos"), f[4].cast("int").alias("mapq"),
+        parse_cigar(f[5]).alias("cigar"), f[9].alias("seq"), f[10].alias("qual"), F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))).alias("tags"),
+    )
+
+
+def read_moves(spark: SparkSession, path: str) -> DataFrame:
+    """(read_id, stride, moves) of the mv:B:c tags of SAM text; of several records of a read the last counts, whatever their flags."""
+    tag = F.get(F.filter("tags", lambda t: F.startswith(t, F.lit("mv:B:c,"))), F.lit(0))
+    numbers = F.transform(F.split(F.substring(tag, 8, 1 << 30), ","), lambda x: x.try_cast("int"))
+    rows = read_sam(spark, path).select(F.col("qname").alias("read_id"), "path", "block", "row", numbers.alias("n")).where("n is not null")
+    rows = rows.select("read_id", "path", "block", "row", F.get("n", F.lit(0)).alias("stride"), F.slice("n", 2, F.greatest(F.size("n") - 1, F.lit(0))).alias("moves"))
+    return last_wins(rows, "read_id", ["path", "block", "row"]).select("read_id", "stride", "moves")
 
 
 def read_tsv(spark: SparkSession, path: str, names: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -153,3 +166,17 @@ def write_lines(lines: DataFrame, path: str, by: str | None = None) -> None:
 
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def write_dataset(index: DataFrame, reads: DataFrame, references: DataFrame, path: str) -> None:
+    """index.tsv, region_blocks.tsv, reads.fastq and refs.fasta under a folder, sorted by chromosome and region over all their parts.
+
+    index: chr, region, read_id, sig_offset, sig_len, mv_offset, mv_len and more; reads: chr, region, read_id, seq, qual;
+    references: chr, region, hap, seq, of which hap1 comes first, then hap2, then others.
+    """
+    write_tsv(index.orderBy("chr", "region", "sig_offset"), f"{path}/index.tsv")
+    write_tsv(region_blocks(index).orderBy("chr", "region"), f"{path}/region_blocks.tsv")
+    write_lines(fastq_lines(reads.orderBy("chr", "region", "read_id"), "read_id", "seq", "qual"), f"{path}/reads.fastq")
+    place = F.when(F.col("hap") == "hap1", 1).when(F.col("hap") == "hap2", 2).otherwise(3)
+    named = references.orderBy("chr", "region", place, "hap").select(F.concat_ws("_", "region", "hap").alias("name"), "seq")
+    write_lines(fasta_lines(named, "name", "seq"), f"{path}/refs.fasta")

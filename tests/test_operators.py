@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqweft.functions import align, decode
 from seqweft.functions import sequence as sq
-from seqweft.operators import metrics, ordered, records, rules
+from seqweft.operators import metrics, ordered, partial_order, records, rules
 from seqweft.sources import formats
 
 
@@ -67,6 +67,25 @@ def test_likelihood_sums_all_alignments(spark):
     assert abs(got + np.log(total)) < 1e-9
 
 
+def test_crf_likelihood_sums_all_paths(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4, 8))
+    allowed = [p for p in itertools.product(range(8), repeat=4) if p[0] < 4 and all(b < 4 or b - 4 == a % 4 for a, b in itertools.pairwise(p))]
+    weight = lambda p: np.exp(sum(x[i, s] for i, s in enumerate(p)))
+    for labels in ([2], [1, 1], [0, 3, 0], [1, 2, 3, 0]):
+        own = sum(weight(p) for p in allowed if [s for s in p if s < 4] == labels)
+        got = one(spark, decode.crf_nll_udf()(F.array(*map(F.lit, x.ravel().tolist())), F.array(*map(F.lit, labels))))
+        assert abs(got - np.log(sum(map(weight, allowed)) / own)) < 1e-9
+    assert decode.crf_nll(x, [0] * 5) == decode.crf_nll(x, []) == float("inf")
+
+
+def test_models_are_loaded_once_for_each_task(spark):
+    def load():
+        return lambda rows: [[sum(r)] for r in rows]
+
+    assert [r.y for r in spark.createDataFrame([([1.0, 2.0],), ([3.0],)], "x array<double>").select(decode.predict_udf(load)("x").alias("y")).collect()] == [[3.0], [3.0]]
+
+
 def test_runs_made_whole():
     r = decode.fitted_runs([1, 2, 9], [3], [2, 2, 2, 2])
     assert (r["collapsed"], r["expanded"], r["char_runs"], r["frame_runs"]) == ("ACN", "AAACN", [3, 1, 1], [2, 2, 2])
@@ -96,6 +115,20 @@ def test_homopolymer_accuracy_by_hand(spark):
     assert c.n == 3
 
 
+def test_band_finds_what_all_columns_find():
+    rng = np.random.default_rng(8)
+    for trial in range(12):
+        base = rng.choice(list("ACGT"), 120)
+        reads = []
+        for _ in range(5):
+            r = [c for c in base if rng.random() > 0.04]
+            for _ in range(4):
+                r[int(rng.integers(0, len(r)))] = str(rng.choice(list("ACGT")))
+            reads.append("".join(r))
+        assert partial_order.poa_sequence(reads) == partial_order.poa_sequence(reads, band=None), trial
+    assert partial_order.poa_sequence(["A" * 50, "C" * 200]) == partial_order.poa_sequence(["A" * 50, "C" * 200], band=None)
+
+
 def test_slices_give_the_same(spark):
     rng = np.random.default_rng(6)
     rows = [(("a", "b", None)[i % 7 % 3], int(rng.integers(0, 60)), i, int(rng.integers(1, 9)), int(rng.integers(0, 3))) for i in range(600)]
@@ -104,6 +137,7 @@ def test_slices_give_the_same(spark):
         lambda **k: ordered.offset_plan(df, "p", "n", ["t", "i"], **k),
         lambda **k: ordered.run_length(df, "p", ["t", "i"], "x", **k),
         lambda **k: ordered.contiguity(df, "p", "t", "e", **k),
+        lambda **k: ordered.numbered(df, "p", ["t", "i"], "k", **k).select("p", "i", F.col("k").cast("long")),
     ):
         assert sorted(map(str, f(slice_rows=40).collect())) == sorted(map(str, f().collect()))
 
@@ -164,3 +198,24 @@ def test_entries(spark):
     assert [x.code for x in rules.issues(cut, rules.cut_rules("a", "n", "m", "b", "k", "s"), "i").collect()] == ["mv_slice_len"]
     assert one(spark, sq.from_nibbles(F.array(*map(F.lit, (1, 2, 4, 8, 15))))) == "ACGTN"
     assert one(spark, sq.reference_row_of(F.lit("REFERENCE_chr1_1_2_hap2"))) == "hap2" and one(spark, sq.reference_row_of(F.lit("read_hap2"))) is None
+
+
+def test_moves_of_sam(spark, tmp_path):
+    rec = "{}\t{}\tchr1\t101\t20\t4M\t*\t0\t0\tACGT\tIIII\tNM:i:0\tmv:B:c,{}\n"
+    (tmp_path / "a.sam").write_text("@HD\n" + rec.format("q", 0, "6,1,0,1") + rec.format("r", 0, "5,1") + rec.format("q", 2048, "6,0,1,1") + "x\t4\t*\t0\t0\t*\t*\t0\t0\tA\tI\n")
+    assert sorted((r.read_id, r.stride, r.moves) for r in formats.read_moves(spark, str(tmp_path / "a.sam")).collect()) == [("q", 6, [0, 1, 1]), ("r", 5, [1])]
+
+
+def test_dataset_is_written_in_order(spark, tmp_path):
+    index = spark.createDataFrame([("chr2", "b", "r2", 6, 6, 1, 1), ("chr1", "a", "r1", 0, 6, 0, 1)], "chr string, region string, read_id string, sig_offset long, sig_len long, mv_offset long, mv_len long")
+    reads = index.select("chr", "region", "read_id", F.lit("AC").alias("seq"), F.lit("II").alias("qual"))
+    refs = spark.createDataFrame([("chr1", "a", h, "ACGT") for h in ("other", "hap2", "hap1")], "chr string, region string, hap string, seq string")
+    formats.write_dataset(index, reads, refs, str(tmp_path / "set"))
+    assert [r.name for r in formats.read_fasta(spark, str(tmp_path / "set/refs.fasta/*.txt")).orderBy("path", "block", "row").collect()] == ["a_hap1", "a_hap2", "a_other"]
+    assert [r.read_id for r in formats.read_fastq(spark, str(tmp_path / "set/reads.fastq/*.txt")).orderBy("path", "pos").collect()] == ["r1", "r2"]
+    blocks = formats.read_tsv(spark, str(tmp_path / "set/region_blocks.tsv")).collect()
+    assert sorted((r.region, r.sig_off, r.sig_len, r["count"]) for r in blocks) == [("a", "0", "6", "1"), ("b", "6", "6", "1")]
+    from seqweft.operators import assembly
+
+    nodes = spark.createDataFrame([("a", "1", "CG"), ("a", "2", "TT"), ("b", "3", "AC")], "region string, node string, seq string")
+    assert sorted(tuple(r) for r in assembly.node_places(nodes, refs).collect()) == [("a", "1", h, 2) for h in ("hap1", "hap2", "other")]
