@@ -3,9 +3,10 @@
 import collections
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
-from seqweft.llm import bpe, chat, exactdedup, packing, pii, quality, substring, toxicity, urlfilter
+from seqweft.llm import bpe, chat, common, exactdedup, packing, pii, quality, substring, toxicity, urlfilter
 
 BYTE, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 LABELS = "doc_id long, quality int, toxic int"
@@ -51,3 +52,20 @@ def test_string_ids(spark):
     df = spark.createDataFrame([("a", text), ("b", text + " x"), ("c", "z")], "doc_id string, text string")
     assert sorted((r.doc_id, r.n_removed) for r in substring.repeated_passages(df).collect()) == [("a", 40), ("b", 40), ("c", 0)]
     assert {r.doc_id for r in packing.pack_documents(df, WORDS).collect()} == {"a", "b", "c"} == {r.doc_id for r in pii.find_personal_data(df).collect()}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Nothing:
+        def __init__(self, master):
+            self.conf, self.sparkContext, self.master = self, self, master
+
+        def get(self, key, default):
+            return default
+
+        def set(self, key, value):
+            self.made = value
+
+    for master in ("spark://h:1", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_dir(Nothing(master))
+    assert common.shared_dir(Nothing("local[4]"))
