@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = stash(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct(), "edges")
     while True:
         # done when each key has one edge and no edge's end begins another
-        if e.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and e.join(e.select(F.col("v").alias("m")), "m", "left_semi").isEmpty():
+        ends = e.select(F.col("v").alias("k"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(e.select("m", F.lit(0), F.lit(1)))
+        if ends.groupBy("k").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or out = 1 and in = 1").isEmpty():
             out = e.select(F.col("v").alias("key"), F.col("m").alias("comp"))
             out.stashed_at = e.stashed_at
             return out
