@@ -1,10 +1,12 @@
-"""The queries of the ten operators, with production parameters over whole tables, and their SQL where SQL can express them."""
+"""The queries of the operators, with production parameters over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exactdedup, neardup, packing, pii, quality, substring, toxicity, urlfilter
+from . import bpe, chat, exactdedup, neardup, packing, periodic, pii, quality, substring, toxicity, urlfilter
 
 
 def _tokenizer(name: str) -> str:
@@ -65,7 +67,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_url_filter, op4_quality_rules, op5_pii, op6_packing, op7_bpe, op8_exact_dedup, op9_near_dedup, op10_substring_dedup)}
+def _repeated(doc_id, n: int) -> tuple[int, int] | None:
+    """The contract's rewriting: one document in ten repeats its words from a on with period p; none without an id."""
+    if doc_id is None:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    g, a = h // 10, h // 10 % n
+    return None if h % 10 else (a, 1 + (n - a) // (3 + g % 8))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(_table(spark, sf_dir, "documents"), repeat=_repeated)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_url_filter, op4_quality_rules, op5_pii, op6_packing, op7_bpe, op8_exact_dedup, op9_near_dedup, op10_substring_dedup, op13_periodic_runs)}
 
 #: The strings of the chat template in the oracle: each row adds the marks around it, and breaks add one mark each.
 SQL = {
