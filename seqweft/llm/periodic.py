@@ -21,20 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import Words, pieces
+from .textscan import Words, coded, pieces
 
 #: Leaves that are looked at in one numpy step (a memory bound; results do not depend on it).
 STEP = 1 << 21
 
 
-def word_codes(data: np.ndarray, words: Words) -> np.ndarray:
-    """Equal numbers for equal words, by their bytes."""
-    offs = np.concatenate([[0], np.cumsum(words.end - words.start)])
-    body = np.ascontiguousarray(data[words.inside])
-    column = pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(body)])
-    return np.asarray(column.dictionary_encode().indices).astype(np.int64)
-
-
 def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of key, its places where a new value begins, and each element's rank (the place where its value begins)."""
     order = np.argsort(key, kind="stable")
@@ -196,7 +188,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ids = b.column("doc_id")
             for at, data, offs in pieces(b.column("text")):
                 words = Words(data, offs)
-                code, row, first = word_codes(data, words), words.row(), words.first
+                code, row, first = coded(data, words)[0], words.row(), words.first
                 source = np.arange(len(code))
                 who = ids.slice(at, len(offs) - 1).to_pylist() if repeat else []
                 changed = [False] * (len(offs) - 1)

@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exactdedup, neardup, packing, periodic, pii, quality, substring, toxicity, urlfilter
+from . import bpe, chat, exactdedup, lexical, neardup, packing, periodic, pii, quality, substring, toxicity, urlfilter
 
 
 def _tokenizer(name: str) -> str:
@@ -67,6 +67,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _repeated(doc_id, n: int) -> tuple[int, int] | None:
     """The contract's rewriting: one document in ten repeats its words from a on with period p; none without an id."""
     if doc_id is None:
@@ -80,7 +84,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(_table(spark, sf_dir, "documents"), repeat=_repeated)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_url_filter, op4_quality_rules, op5_pii, op6_packing, op7_bpe, op8_exact_dedup, op9_near_dedup, op10_substring_dedup, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_url_filter, op4_quality_rules, op5_pii, op6_packing, op7_bpe, op8_exact_dedup, op9_near_dedup, op10_substring_dedup, op11_ranked_search, op13_periodic_runs)}
 
 #: The strings of the chat template in the oracle: each row adds the marks around it, and breaks add one mark each.
 SQL = {
@@ -118,4 +122,21 @@ SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY t)""",
+    "op11_ranked_search": r"""
+        WITH t AS (
+          SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        p AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY doc_id, term),
+        d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+        c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+        f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+              FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), c),
+        q AS (
+          SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (
+          SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+          FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (doc_id), c GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 10""",
 }

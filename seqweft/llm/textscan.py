@@ -87,6 +87,14 @@ class Words:
         return [mix(total[begin + n] - total[begin] + n.astype(np.uint64)) for n in (size, *(np.minimum(size, k) for k in prefixes))]
 
 
+def coded(data: np.ndarray, words: Words) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word, equal ones for equal bytes, and the words by their numbers."""
+    offs = np.concatenate([[0], np.cumsum(words.end - words.start)]).astype(np.int64)
+    body = np.ascontiguousarray(data[words.inside])
+    column = pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs), pa.py_buffer(body)]).dictionary_encode()
+    return np.asarray(column.indices).astype(np.int64), column.dictionary
+
+
 def runs(h: np.ndarray, size: int) -> np.ndarray:
     """Hash of each `size` consecutive values, order counted; by doubling. len(h) - size + 1 values."""
     step = np.uint64(0xA0761D6478BD642F)
