@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exactdedup, lexical, neardup, packing, periodic, pii, quality, substring, toxicity, urlfilter
+from . import bpe, chat, exactdedup, lexical, neardup, packing, periodic, pii, quality, substring, tokenfiles, toxicity, urlfilter
 
 
 def _tokenizer(name: str) -> str:
@@ -71,6 +71,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return files.lookup(files.places, name_col="name")
+
+
 def _repeated(doc_id, n: int) -> tuple[int, int] | None:
     """The contract's rewriting: one document in ten repeats its words from a on with period p; none without an id."""
     if doc_id is None:
@@ -84,7 +89,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(_table(spark, sf_dir, "documents"), repeat=_repeated)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_url_filter, op4_quality_rules, op5_pii, op6_packing, op7_bpe, op8_exact_dedup, op9_near_dedup, op10_substring_dedup, op11_ranked_search, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_toxicity, op3_url_filter, op4_quality_rules, op5_pii, op6_packing, op7_bpe, op8_exact_dedup, op9_near_dedup, op10_substring_dedup, op11_ranked_search, op12_token_files, op13_periodic_runs)}
 
 #: The strings of the chat template in the oracle: each row adds the marks around it, and breaks add one mark each.
 SQL = {
