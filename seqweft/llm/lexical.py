@@ -4,8 +4,8 @@ Each term has a list of postings (document, score), best first. Phase 1 fetches
 terms; the k-th best sum of what they show is a lower bound of the k-th best score. Phase 2 fetches from each list
 what reaches the bound divided by the number of lists: a document below that in all lists cannot be among the best.
 Sums of what came, and for each list that did not name the document the most it can still hold, give a better lower
-bound and an upper bound for every document; those whose upper bound reaches the lower one are candidates. Phase 3
-looks up the exact scores of the candidates.
+bound and an upper bound for every document; those whose upper bound reaches the lower one, and the k-th best whole
+score of documents that lead in the heads, are candidates. Phase 3 looks up the exact scores of the candidates.
 
 Lists are kept in segments of some thousand documents each, so a term that a third of all documents hold is many rows.
 Queries go in blocks: what a block's queries ask of a segment travels once, however many of them share the term, and
@@ -148,7 +148,7 @@ def _sums(batches, k: int):
                     e = s + int(np.searchsorted(-points[s:e], -x["least"], "right"))
                     total[at[s:e]] += x["weight"] * points[s:e]
                     unseen[at[s:e]] -= x["rest"]
-                bound = max(1, lists[0][1]["bound"])
+                bound = max(1, lists[0][1]["floor"])
                 if len(total) >= k:
                     bound = max(bound, int(np.partition(total, len(total) - k)[len(total) - k]))
                 hit = np.flatnonzero((total > 0) & (total + unseen >= bound))
@@ -204,35 +204,45 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str =
     heads = lists.select("term", F.explode("head").alias("h")).select("term", "h.key", "h.score")
     heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "key"))).where(F.col("k") <= k)
     sums = heads.join(terms, "term").groupBy("q", "key").agg(F.sum(F.col("weight") * F.col("score")).alias("sum"))
+    sums = stash(sums, "heads")
     bounds = _kth(sums, "sum", k)
 
+    def exact(pairs: DataFrame) -> DataFrame:
+        """(q, key, score) of the pairs (q, key), from the documents' own rows."""
+        found = pairs.join(rows.select("key", "m", "terms", "counts"), "key")
+        found = found.select("q", "key", "m", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("q", "key", "m", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf"))
+        score = F.sum(F.expr("weight * ((1000000000 * tf) div (1000 * tf + 8 * m))")).alias("score")
+        return found.join(terms.select("q", "term", "weight"), ["q", "term"]).groupBy("q", "key").agg(score).where("score > 0")
+
+    # whole scores of the documents that lead in the heads: a closer bound for who is a candidate
+    leading = sums.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sum"), "key"))).where(F.col("k") <= 4 * k)
+    floors = _kth(exact(leading.select("q", "key")), "score", k).withColumnRenamed("bound", "floor")
+
     # phase 2: what reaches the bound divided by the number of lists
     number = terms.groupBy("q").agg(F.count(F.lit(1)).alias("m"))
     least = F.greatest(F.lit(1), F.expr("(bound + m * weight - 1) div (m * weight)")).cast("long")
-    plan = terms.join(number, "q").join(bounds, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
+    plan = terms.join(number, "q").join(bounds, "q", "left").join(floors, "q", "left")
+    plan = plan.withColumn("bound", F.coalesce("bound", F.lit(0))).withColumn("floor", F.greatest("bound", F.coalesce("floor", F.lit(0))))
     plan = plan.withColumn("least", least).withColumn("rest", F.col("weight") * F.least("top", F.col("least") - 1))
     n_blocks = -(-ask.count() // BLOCK) or 1
     plan = stash(plan.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("long")), "plan")
     rests = plan.groupBy("q").agg(F.sum("rest").alias("all_rest"))
     asks = plan.where("least <= top").join(rests, "q").groupBy("block", "term")
-    asks = asks.agg(F.min("least").alias("least"), F.collect_list(F.struct("q", "weight", "least", "rest", "all_rest", "bound")).alias("asks"))
+    asks = asks.agg(F.min("least").alias("least"), F.collect_list(F.struct("q", "weight", "least", "rest", "all_rest", "floor")).alias("asks"))
     reached = lists.select("term", "part", "top", "keys", "scores").join(asks, "term").where("top >= least")
     reached = reached.select(F.xxhash64("block", "part").alias("cell"), "keys", "scores", "least", "asks")
-    ask_type = "array<struct<q:long,weight:long,least:long,rest:long,all_rest:long,bound:long>>"
+    ask_type = "array<struct<q:long,weight:long,least:long,rest:long,all_rest:long,floor:long>>"
     reached = reached.mapInArrow(_fetch, f"cell long, keys array<long>, scores array<int>, asks {ask_type}")
     near = reached.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _sums(it, k), "q long, key long, least long, most long")
     near = stash(near, "bounds")
     candidates = near.join(_kth(near, "least", k), "q").where("most >= bound").select("q", "key")
 
     # phase 3: exact scores of the candidates
-    found = candidates.join(rows.select("key", "m", "terms", "counts"), "key")
-    found = found.select("q", "key", "m", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("q", "key", "m", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf"))
-    score = F.sum(F.expr("weight * ((1000000000 * tf) div (1000 * tf + 8 * m))")).alias("score")
-    found = found.join(terms.select("q", "term", "weight"), ["q", "term"]).groupBy("q", "key").agg(score).where("score > 0")
+    found = exact(candidates)
     found = found.withColumn("doc_id", F.col("key")) if plain else found.join(src.select("key", "doc_id"), "key")
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "key")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     best = best.withColumn("item_id", F.col("q")) if ask_plain else best.join(ask.select(F.col("key").alias("q"), F.col("doc_id").alias("item_id")), "q")
     out = stash(best.select("item_id", "rank", "doc_id", "score"), "ranked")
-    discard(asked, counted, lists, terms, plan, near)
+    discard(asked, counted, lists, terms, sums, plan, near)
     return out
