@@ -8,34 +8,160 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Cells of the tables that pairs of short strings share at once; longer pairs go one by one, in bands.
+CELLS = 1 << 21
+_FAR = 1 << 29
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+class _Band:
+    """The table of a pair in the diagonals that an alignment of cost t can reach; one row at a time, by diagonal."""
+
+    def __init__(self, r: np.ndarray, h: np.ndarray, t: int):
+        n, m = len(r), len(h)
+        more = (t - abs(m - n)) // 2
+        self.lo, hi = min(0, m - n) - more, max(0, m - n) + more
+        self.r, self.n, self.m, self.width = r, n, m, hi - self.lo + 1
+        self.h = np.concatenate([np.full(max(0, -self.lo), 0xFFFFFFFF, np.uint32), h, np.full(max(0, n + hi - m) + 1, 0xFFFFFFFF, np.uint32)])
+        self.shift = max(0, -self.lo) + self.lo  # where diagonal 0 of row 0 begins in h
+        self.slope = np.arange(self.width, dtype=np.int32)
+
+    def first(self) -> np.ndarray:
+        j = self.slope + self.lo
+        return np.where((j >= 0) & (j <= self.m), j, _FAR).astype(np.int32)
+
+    def next(self, above: np.ndarray, i: int, moves: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Row i from row i - 1 and, with moves, what led to each cell: 0 both letters, 1 a deletion, 2 an insertion."""
+        at = self.shift + i - 1
+        both = above + (self.h[at : at + self.width] != self.r[i - 1])
+        up = np.append(above[1:], np.int32(_FAR)) + np.int32(1)
+        row = np.minimum(both, up)
+        left, right = max(0, -(i + self.lo)), self.m - i - self.lo + 1  # columns outside of the table
+        row[:left] = _FAR
+        row[max(0, right) :] = _FAR
+        row -= self.slope
+        np.minimum.accumulate(row, out=row)  # insertions run along the row
+        row += self.slope
+        row[:left] = _FAR
+        row[max(0, right) :] = _FAR
+        if not moves:
+            return row, None
+        if left:
+            both[:left] = _FAR + 1
+        if left < self.width and i + self.lo <= 0:
+            both[left] = _FAR + 1  # no letter stands before column 0
+        return row, np.where(row == both, 0, np.where(row == up, 1, 2)).astype(np.uint8)
+
+
 def align(ref: str, hyp: str) -> tuple[int, str]:
-    """(distance, ops) of a unit-cost global alignment; on ties a match or substitution, then a deletion, then an insertion."""
-    n, m = len(ref), len(hyp)
-    r = np.frombuffer(ref.encode("utf-32-le"), np.uint32)
-    h = np.frombuffer(hyp.encode("utf-32-le"), np.uint32)
-    cost = np.empty((n + 1, m + 1), np.int32)
-    cost[0] = np.arange(m + 1)
+    """(distance, ops) of a unit-cost global alignment; on ties a match or substitution, then a deletion, then an insertion.
+
+    Diagonals are tried that hold all alignments of a cost of at most t, for twice as large a t until the distance is
+    within it, so alike strings cost their length times their distance. Each k-th row is kept, with k the root of the rows;
+    the way back makes the rows between two kept ones again. Memory is the root of the length times the band's width:
+    some 110 MB for two unlike strings of 50,000 letters.
+    """
+    r, h = _codes(ref), _codes(hyp)
+    n, m = len(r), len(h)
+    t = max(abs(n - m), 32)
+    while True:
+        band = _Band(r, h, t)
+        every = max(1, int(np.sqrt(n)))
+        kept = [row := band.first()]
+        for i in range(1, n + 1):
+            row, _ = band.next(row, i)
+            if i % every == 0:
+                kept.append(row)
+        distance = int(row[m - n - band.lo])
+        if distance <= t:
+            break
+        t = min(2 * t, n + m)
+    ops, i, j = bytearray(), n, m
+    while i:
+        base = (i - 1) // every
+        del kept[base + 1 :]
+        row, led = kept[base], []
+        for k in range(base * every + 1, i + 1):
+            row, moves = band.next(row, k, True)
+            led.append(moves)
+        while i > base * every:
+            move = led[i - 1 - base * every][j - i - band.lo]
+            if move == 0:
+                ops.append(77 if r[i - 1] == h[j - 1] else 83)
+                i, j = i - 1, j - 1
+            elif move == 1:
+                ops.append(68)
+                i -= 1
+            else:
+                ops.append(73)
+                j -= 1
+    ops.extend(b"I" * j)
+    ops.reverse()
+    return distance, ops.decode()
+
+
+def _align_many(pairs: list[tuple[str, str]]) -> list[tuple[int, str]]:
+    """align() of pairs of about one size, by one padded table: rows of all pairs at once, and all ways back at once."""
+    size = np.array([(len(a), len(b)) for a, b in pairs])
+    n, m = np.maximum(size.max(0), 1)
+    r, h = np.full((len(pairs), n), 0xFFFFFFFF, np.uint32), np.full((len(pairs), m), 0xFFFFFFFE, np.uint32)
+    for k, (a, b) in enumerate(pairs):
+        r[k, : len(a)], h[k, : len(b)] = _codes(a), _codes(b)
+    slope = np.arange(m + 1, dtype=np.int32)
+    led = np.full((n + 1, len(pairs), m + 1), 2, np.uint8)
+    led[:, :, 0] = 1
+    row = np.broadcast_to(slope, (len(pairs), m + 1))
+    distance = np.where(size[:, 0] == 0, size[:, 1], 0)
     for i in range(1, n + 1):
-        free = np.empty(m + 1, np.int32)
-        free[0] = i
-        free[1:] = np.minimum(cost[i - 1, :-1] + (h != r[i - 1]), cost[i - 1, 1:] + 1)
-        cost[i] = np.minimum.accumulate(free - np.arange(m + 1)) + np.arange(m + 1)  # insertions run along the row
-    ops, i, j = [], n, m
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
-            i, j = i - 1, j - 1
-            ops.append("M" if ref[i] == hyp[j] else "S")
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-            ops.append("D")
-        else:
-            j -= 1
-            ops.append("I")
-    return int(cost[n, m]), "".join(reversed(ops))
+        both = row[:, :-1] + (h != r[:, i - 1 : i])
+        up = row + np.int32(1)
+        row = up.copy()
+        np.minimum(row[:, 1:], both, out=row[:, 1:])
+        row = np.minimum.accumulate(row - slope, 1) + slope
+        led[i, :, 1:] = np.where(row[:, 1:] == both, 0, np.where(row[:, 1:] == up[:, 1:], 1, 2))
+        ends = np.flatnonzero(size[:, 0] == i)
+        distance[ends] = row[ends, size[ends, 1]]
+    who, i, j = np.arange(len(pairs)), size[:, 0].copy(), size[:, 1].copy()
+    ops = np.zeros((len(pairs), n + m), np.uint8)
+    step = 0
+    while len(who := who[(i[who] > 0) | (j[who] > 0)]):
+        a, b = i[who], j[who]
+        move = np.where(a > 0, led[a, who, b], 2)
+        same = r[who, np.maximum(a - 1, 0)] == h[who, np.maximum(b - 1, 0)]
+        ops[who, step] = np.where(move == 0, np.where(same, 77, 83), np.where(move == 1, 68, 73))
+        i[who] -= move < 2
+        j[who] -= move != 1
+        step += 1
+    return [(int(d), o[o > 0][::-1].tobytes().decode()) for d, o in zip(distance, ops, strict=True)]
+
+
+def align_pairs(refs: list[str], hyps: list[str]) -> list[tuple[int, str]]:
+    """align() of each pair; short ones together by size, long ones alone."""
+    out: list = [None] * len(refs)
+    cells = [(len(a) + 1) * (len(b) + 1) for a, b in zip(refs, hyps, strict=True)]
+    order = sorted(range(len(refs)), key=lambda k: (len(refs[k]), len(hyps[k])))
+    held: list[int] = []
+    n = m = 0
+    for k in [*order, None]:
+        wide, high = (max(n, len(refs[k])), max(m, len(hyps[k]))) if k is not None else (0, 0)
+        if held and (k is None or (len(held) + 1) * (wide + 1) * (high + 1) > CELLS):
+            for x, found in zip(held, _align_many([(refs[x], hyps[x]) for x in held]), strict=True):
+                out[x] = found
+            held, n, m = [], 0, 0
+        if k is not None:
+            if cells[k] > CELLS // 16:
+                out[k] = align(refs[k], hyps[k])
+            else:
+                held.append(k)
+                n, m = max(n, len(refs[k])), max(m, len(hyps[k]))
+    return out
 
 
 def _stats(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = [align(r or "", h or "") for r, h in zip(ref, hyp, strict=True)]
+    rows = align_pairs([r or "" for r in ref], [h or "" for h in hyp])
     return pd.DataFrame({"distance": [d for d, _ in rows], "length": [len(o) for _, o in rows], "matches": [o.count("M") for _, o in rows], "ops": [o for _, o in rows]})
 
 

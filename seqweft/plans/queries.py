@@ -86,7 +86,7 @@ def covered_segments(spark, d):
 def region_reads(spark, d):
     """Reads that contain regions, one base loose on the left."""
     g = table(spark, d, "orders").select(F.col("o_orderkey").alias("region"), F.col("o_custkey").alias("chrom"), (F.col("o_orderkey") * 53 % 2500).alias("a")).withColumn("b", F.col("a") + 300)
-    return intervals.containing(reads_of(spark, d), g, "chrom", ("rstart", "rend"), ("a", "b"), 500, 1).select("region", "chrom", "a", "b", "rstart", "rend", "read_id")
+    return intervals.containing(reads_of(spark, d), g, "chrom", ("rstart", "rend"), ("a", "b"), 1).select("region", "chrom", "a", "b", "rstart", "rend", "read_id")
 
 
 @query(f"SELECT chrom, idx::int AS idx, ws, we, pos FROM ({_WINDOWS}) w JOIN (SELECT o_custkey AS c, o_orderkey * 31 % 3000 + 1 AS pos FROM orders) v ON w.chrom = v.c AND pos BETWEEN ws AND we")
