@@ -1,7 +1,7 @@
 """Token ids in raw binary files, with a minimal perfect hash index from document keys to their places.
 
-Documents are dealt by ranges of their ids, so tasks write whole files of ids (little-endian unsigned 32-bit integers)
-in ascending order. A file's name has its attempt's own mark; which files count is said by the table of places, which
+Documents are dealt by ranges of their ids, so tasks write whole files of ids (little-endian unsigned integers, of 16
+bits if the vocabulary allows it, else of 32) in ascending order. A file's name has its attempt's own mark; which files count is said by the table of places, which
 Spark commits, so what a lost or repeated task leaves behind is never read, and goes when the table stands.
 
 The index deals keys to buckets of about KEYS keys. In a bucket, levels of bits take the keys that meet no other one
@@ -61,6 +61,7 @@ class ByteCoder:
         tokens = [t for t in letters if t in vocab] + made  # their places are the loop's ranks
         self.ids = np.array([vocab[t] for t in tokens], "<u4")
         self.merge = Encoding("bytes", pat_str=self.PATTERN, mergeable_ranks={bytes(letters[c] for c in t): i for i, t in enumerate(tokens)}, special_tokens={}).encode_ordinary
+        self.largest = max([*vocab.values(), *self.special.values()])
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -103,7 +104,7 @@ def byte_coder(path: str) -> ByteCoder:
     return _coders[path]
 
 
-def _write(batches, folder: str, path: str, end: bytes, most: int):
+def _write(batches, folder: str, path: str, end: bytes, most: int, width: int):
     """Writes the rows' ids to files of this task, a next one after `most` ids, and gives their places."""
     files, root = pa.fs.FileSystem.from_uri(folder)
     coder, task, mark = byte_coder(path), TaskContext.get().partitionId(), uuid.uuid4().hex
@@ -120,7 +121,7 @@ def _write(batches, folder: str, path: str, end: bytes, most: int):
                         number, at = number + 1, 0
                         sink = files.open_output_stream(f"{root}/ids-{task}-{number}-{mark}")
                     code = coder.encode(text) + end
-                    sink.write(code)
+                    sink.write(code if width == 4 else np.frombuffer(code, "<u4").astype("<u2"))
                     shard.append(number)
                     first.append(at)
                     size.append(len(code) // 4)
@@ -252,7 +253,7 @@ def _probe(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s, e - s), *(pa.array(slot[:, k], pa.int64(), mask=~known) for k in range(3))], ["doc_id", "shard", "first", "n"])
 
 
-def _read(batches, folder: str, with_ids: bool):
+def _read(batches, folder: str, width: int, with_ids: bool):
     """Of rows (doc_id, start, file, first, n) by file and place: doc_id, start, n_tokens, ids_crc32 and the ids, read in long spans."""
     files, root = pa.fs.FileSystem.from_uri(folder)
     name, source, span, begin = None, None, b"", 0
@@ -267,16 +268,17 @@ def _read(batches, folder: str, with_ids: bool):
                 if source:
                     source.close()
                 name, source, span, begin = file, files.open_input_file(f"{root}/{file}"), b"", 0
-            s, e = 4 * first - begin, 4 * (first + n) - begin
+            s, e = width * first - begin, width * (first + n) - begin
             if s < 0 or e > len(span):
-                begin = 4 * first
-                span = source.read_at(max(4 * n, min(SPAN, source.size() - begin)), begin)
-                s, e = 0, 4 * n
+                begin = width * first
+                span = source.read_at(max(width * n, min(SPAN, source.size() - begin)), begin)
+                s, e = 0, width * n
             if e > len(span):
                 raise OSError(f"{file} ends before its document's ids")
-            crc.append(zlib.crc32(memoryview(span)[s:e]))
+            code = np.frombuffer(span, f"<u{width}", n, s).astype("<u4", copy=False)
+            crc.append(zlib.crc32(code))
             if with_ids:
-                ids.append(np.frombuffer(span, "<u4", n, s).astype(np.int64))
+                ids.append(code.astype(np.int64))
         cols = [b.column("doc_id"), b.column("start"), b.column("n"), pa.array(crc, pa.int64())]
         if with_ids:
             cols.append(pa.array(ids, pa.list_(pa.int64())))
@@ -295,13 +297,14 @@ def _digest(name: Column) -> Column:
 
 @dataclass
 class TokenFiles:
-    """Files of ids in `folder`, and tables: places (doc_id, name, shard, file, first, n), shards (shard, file, base), index (bucket, data)."""
+    """Files of ids of `width` bytes each in `folder`, and tables: places (doc_id, name, shard, file, first, n), shards (shard, file, base), index (bucket, data)."""
 
     folder: str
     places: DataFrame
     shards: DataFrame
     index: DataFrame
     buckets: int
+    width: int
 
     def lookup(self, keys: DataFrame, id_col: str = "doc_id", name_col: str | None = None, with_ids: bool = False) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32 and, with_ids, ids of each row of keys, found by the index and read from the files; nulls for unknown keys.
@@ -317,9 +320,9 @@ class TokenFiles:
         found = both.mapInArrow(_probe, f"doc_id {kind}, shard long, first long, n long").join(self.shards, "shard", "left")
         found = found.select("doc_id", (F.col("base") + F.col("first")).alias("start"), "shard", "file", "first", "n")
         found = found.repartition("shard").sortWithinPartitions("shard", "first").drop("shard")
-        folder = self.folder
+        folder, width = self.folder, self.width
         schema = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-        return found.mapInArrow(lambda it: _read(it, folder, with_ids), schema)
+        return found.mapInArrow(lambda it: _read(it, folder, width, with_ids), schema)
 
     def get(self, key) -> list[int] | None:
         """The ids of one document, by one row of the index and one read; None for an unknown key."""
@@ -332,7 +335,7 @@ class TokenFiles:
         file = self.shards.where(F.col("shard") == shard).first()["file"]
         files, root = pa.fs.FileSystem.from_uri(self.folder)
         with files.open_input_file(f"{root}/{file}") as f:
-            return np.frombuffer(f.read_at(4 * n, 4 * first), "<u4").tolist()
+            return np.frombuffer(f.read_at(self.width * n, self.width * first), f"<u{self.width}").tolist()
 
     def discard(self) -> None:
         """Deletes the files and tables."""
@@ -365,16 +368,16 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
         src, key, plain = row_keys(src, "doc_id")
         src = src.withColumn("name", text_id if plain else F.concat(F.coalesce(text_id, F.lit("")), F.lit("\0"), F.col(key).cast("string")))
         order = [F.col("doc_id")] if plain else [F.asc_nulls_last("doc_id"), F.col(key)]
-    end, most = array("I", [end_id]).tobytes(), SHARD
+    end, most, width = array("I", [end_id]).tobytes(), SHARD, 2 if max(byte_coder(path).largest, end_id) < 1 << 16 else 4
     ordered = src.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "name", "text")
-    places = stash(ordered.mapInArrow(lambda it: _write(it, made, path, end, most), f"doc_id {kind}, name string, shard long, file string, first long, n long"), "places")
+    places = stash(ordered.mapInArrow(lambda it: _write(it, made, path, end, most, width), f"doc_id {kind}, name string, shard long, file string, first long, n long"), "places")
     sums = places.groupBy("shard", "file").agg(F.sum("n").alias("ids"), F.count(F.lit(1)).alias("rows"))
     shards = stash(sums.withColumn("base", F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")), "shards")
     _sweep(spark, made, shards)
     buckets = -(-(shards.agg(F.sum("rows")).first()[0] or 0) // KEYS) or 1
     keyed = places.select(_bucket(F.col("name"), buckets).alias("bucket"), _digest(F.col("name")).alias("digest"), "shard", "first", "n")
     index = stash(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_build, "bucket long, data binary"), "index")
-    return TokenFiles(made, places, shards, index, buckets)
+    return TokenFiles(made, places, shards, index, buckets, width)
 
 
 def _sweep(spark, folder: str, shards: DataFrame) -> None:

@@ -64,10 +64,11 @@ def expected(rows, library):
     return out
 
 
-@pytest.mark.parametrize(("shard", "keys", "span"), [(16 << 20, 1_000, 16 << 20), (40, 3, 64)])
-def test_written_files_read_back(spark, library, monkeypatch, shard, keys, span):
+@pytest.mark.parametrize(("shard", "keys", "span", "width"), [(16 << 20, 1_000, 16 << 20, 2), (40, 3, 64, 2), (40, 3, 64, 4)])
+def test_written_files_read_back(spark, library, monkeypatch, shard, keys, span, width):
     for name, value in (("SHARD", shard), ("KEYS", keys), ("SPAN", span)):
         monkeypatch.setattr(tokenfiles, name, value)
+    monkeypatch.setattr(tokenfiles.byte_coder(BYTE), "largest", 50_256 if width == 2 else 70_000)
     rows = [(7 * i % 101 - 20, t) for i, t in enumerate(TEXTS * 2)]
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, shard int, name string").repartition(3)
     files = tokenfiles.write_tokens(docs, BYTE)
@@ -78,7 +79,7 @@ def test_written_files_read_back(spark, library, monkeypatch, shard, keys, span)
     assert all(r.ids == [*library(text[r.doc_id]), 2] for r in got)
     # the raw payload is all ids in ascending order of documents
     raw = b"".join(open(f"{files.folder}/{r.file}", "rb").read() for r in files.shards.orderBy("shard").collect())
-    assert raw == b"".join(struct.pack("<I", x) for i, _ in sorted(rows) for x in [*library(text[i]), 2])
+    assert raw == b"".join(struct.pack("<H" if width == 2 else "<I", x) for i, _ in sorted(rows) for x in [*library(text[i]), 2])
     if shard == 40:
         assert files.shards.count() > 5 and files.index.count() > 5
     # keyed access: some keys, one of them often, and keys that are not there
