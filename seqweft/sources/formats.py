@@ -118,7 +118,7 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """(path, block, row, qname, flag, chrom, pos 0-based, mapq, cigar, seq, qual, tags) of SAM text; a file's order is by block and row."""
-    f = F.split("value", "\t")
+    f = F.split(F.regexp_replace("value", "\r$", ""), "\t")
     rows = _pieces(spark, path).where("not startswith(value, '@')").where(F.size(f) >= 11)
     return rows.select(
         "path", "block", "row", f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("long") - 1).alias("pos"), f[4].cast("int").alias("mapq"),
