@@ -1,7 +1,13 @@
-"""A session with the settings that the operators expect."""
+"""A session with the settings that the operators expect, and paths that all its machines share."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -10,3 +16,20 @@ def session(name: str = "seqweft", **settings: str) -> SparkSession:
     for k, v in settings.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the folder that driver and executors share, spark.checkpoint.dir; what stands there goes when the session ends.
+
+    Where the folder is unset, a session on this machine alone gets one of its own; on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="seqweft-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()

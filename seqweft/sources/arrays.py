@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 #: Bytes that are read at once; slices further apart are read alone.
 SPAN = 8 << 20
@@ -193,7 +194,7 @@ class PositionalArrays(DataSource):
         files, root = _open(path)
         fields = from_arrow_schema(pa.parquet.read_schema(f"{root}/{made['parts'][0]['name']}.index.parquet", filesystem=files))
         for c, kind in made["arrays"].items():
-            fields = fields.add(c, "array<double>" if np.dtype(kind).kind == "f" else "array<long>")
+            fields = fields.add(c, ArrayType(DoubleType() if np.dtype(kind).kind == "f" else LongType()))
         return fields
 
     def reader(self, schema):
@@ -203,15 +204,15 @@ class PositionalArrays(DataSource):
         return ArraysWriter(self.options, schema, overwrite)
 
 
-def write_arrays(df: DataFrame, path: str, arrays: dict[str, str], order: list[str]) -> None:
+def write_arrays(df: DataFrame, path: str, arrays: dict[str, str], order: list[str], parts: int | None = None) -> None:
     """Writes df with its array columns (column -> numpy type, as "i2") as positional arrays in the order of its rows by `order`.
 
     Values that do not fit their type are an error, nulls in an array too; a null array is null again when read, an empty one
-    empty. What stood in path goes when the new rows stand. A task holds one batch.
+    empty. What stood in path goes when the new rows stand. A task holds one batch and writes one file a column, `parts` in all.
     """
     spark = df.sparkSession
     spark.dataSource.register(PositionalArrays)
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = (df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)).sortWithinPartitions(*order)
     kinds = ",".join(f"{c}:{t}" for c, t in arrays.items())
     rows.write.format("positional_arrays").option("path", path).option("arrays", kinds).mode("overwrite").save()
 

@@ -116,6 +116,20 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(f[0].alias("chrom"), f[1].try_cast("int").alias("pos"), f[3].alias("ref"), f[4].alias("alt"), f[8].alias("format"), f[9].alias("sample")).where("pos is not null")
 
 
+def read_vcf_samples(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos, ref, alt, format, sample, call) for each sample column of each line; sample is its name in the file's #CHROM line.
+
+    A file with calls but without that line, or a line with more calls than names, is an error.
+    """
+    f = F.split(F.regexp_replace("value", "\r$", ""), "\t")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value", F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))).alias("calls"))
+    names = rows.where("startswith(value, '#CHROM')").groupBy("path").agg(F.first("calls").alias("names"))
+    rows = rows.where("not startswith(value, '#')").where(F.size("calls") > 0).join(names, "path", "left")
+    rows = rows.where(F.when(F.coalesce(F.size("names"), F.lit(0)) >= F.size("calls"), True).otherwise(_stop("calls without a sample's name in ", F.col("path"))))
+    each = rows.select("value", F.posexplode("calls").alias("at", "call"), "names")
+    return each.select(f[0].alias("chrom"), f[1].try_cast("int").alias("pos"), f[3].alias("ref"), f[4].alias("alt"), f[8].alias("format"), F.get("names", F.col("at")).alias("sample"), "call").where("pos is not null")
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """(path, block, row, qname, flag, chrom, pos 0-based, mapq, cigar, seq, qual, tags) of SAM text; a file's order is by block and row."""
     f = F.split(F.regexp_replace("value", "\r$", ""), "\t")

@@ -25,7 +25,7 @@ def rows(n=300, seed=1):
 @pytest.fixture(scope="module")
 def written(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("arrays") / "set")
-    arrays.write_arrays(spark.createDataFrame(rows(), SCHEMA).repartition(5), path, {"signal": "i2", "moves": "i1"}, ["chr", "read_id"])
+    arrays.write_arrays(spark.createDataFrame(rows(), SCHEMA).repartition(5), path, {"signal": "i2", "moves": "i1"}, ["chr", "read_id"], 5)
     return path
 
 
