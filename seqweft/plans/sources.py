@@ -23,13 +23,13 @@ def _sam(spark, d) -> str:
     return path
 
 
-@query(f"SELECT chrom::varchar AS chrom, rstart - 1 AS pos, rend AS \"end\", (rstart % 2 * 16)::int AS flag, (rend % 60)::int AS mapq, read_id AS qname FROM ({_READS}) WHERE chrom IN (7, 15, 101) AND rstart <= 1500 AND rend > 900")
+@query(f"SELECT chrom::varchar AS chrom, rstart - 1 AS pos, rend AS reach, (rstart % 2 * 16)::int AS flag, (rend % 60)::int AS mapq, read_id AS qname FROM ({_READS}) WHERE chrom IN (7, 15, 101) AND rstart <= 1500 AND rend > 900")
 def indexed_scan(spark, d):
     """Reads of three contigs that overlap [900, 1500), through the index."""
     path = _sam(spark, d)
     indexed.index_sam(spark, path, header=False)
     rows = indexed.read_indexed_sam(spark, path).where(F.col("chrom").isin("7", "15", "101") & (F.col("pos") < 1500) & (F.col("end") > 900))
-    return rows.select("chrom", "pos", "end", "flag", "mapq", "qname")
+    return rows.select("chrom", "pos", F.col("end").alias("reach"), "flag", "mapq", "qname")
 
 
 @query(f"SELECT chrom::varchar AS chrom, rstart - 1 AS pos, read_id AS qname FROM ({_READS}) WHERE chrom IN (0, 1, 10, 100)")

@@ -237,14 +237,19 @@ class SortedSam(DataSource):
         return SortedSamReader(self.options)
 
 
+def _enable(spark: SparkSession) -> None:
+    """Makes the source known to the session, and lets filters reach it."""
+    spark.dataSource.register(SortedSam)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 def read_indexed_sam(spark: SparkSession, path: str, index: str | None = None, split: int = SPLIT) -> DataFrame:
     """(path, block, qname, flag, chrom, pos, end, mapq, cigar, seq, qual, tags) of indexed SAM text; pos and end are 0-based, end behind the last letter.
 
     A filter on chrom, pos or end reads the byte ranges of the index's blocks that can hold its rows. A missing index is
     an error. block is where a row's range begins.
     """
-    spark.dataSource.register(SortedSam)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    _enable(spark)
     rows = spark.read.format("sorted_sam").option("path", path).option("split", split)
     return (rows.option("index", index) if index else rows).load()
 
@@ -260,7 +265,7 @@ def scan_until(spark: SparkSession, path: str, contigs: list[str], split: int =
 
     Of ranges behind those contigs one chunk is read. Equals a filter on chrom where the contigs come before all others.
     """
-    spark.dataSource.register(SortedSam)
+    _enable(spark)
     ranges = "\n".join(f"{p}:{at}:{min(at + split, n)}" for p, n in _files(spark, path) for at in range(0, n, split))
     rows = spark.read.format("sorted_sam").option("path", path).option("contigs", ",".join(contigs)).option("ranges", ranges)
     return rows.load()
