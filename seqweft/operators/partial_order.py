@@ -1,49 +1,55 @@
-"""One sequence for the reads of a window by partial-order alignment, as a grouped Arrow operator."""
+"""One sequence for the reads of a window by partial-order alignment; tasks advance many windows together."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from . import ordered
 
 #: Columns that a row of the alignment has on each side of where its best score is expected: so many, and this share of the read.
 BAND = (10, 0.01)
-_NEVER = -(1 << 40)
+#: Cells of tables that are held at once, 4 bytes each (one window may need more), and squared letters of a task.
+CELLS, WORK = 12_000_000, 20_000_000
+_NEVER = -(1 << 29)
 
 
-def poa_sequence(reads: list[str], match: int = 2, mismatch: int = -4, gap: int = -4, band: tuple[int, float] | None = BAND) -> str:
-    """The heaviest path of the graph to which reads are aligned one after the other, each against all before; '' without reads.
+class Graph:
+    """Letters, the weights of the edges into each, and which letters stand at one place."""
 
-    Rows are banded around the column behind the best one of the rows before them. A read that the band does not bring to
-    its end is aligned without it. Work and memory grow with the graph's nodes times the band.
-    """
-    reads = [r for r in reads if r]
-    if not reads:
-        return ""
-    base: list[str] = []
-    before: list[dict[int, int]] = []  # of each node the weights of edges into it
-    aligned: list[set[int]] = []
-
-    def node(b: str) -> int:
-        base.append(b)
-        before.append({})
-        aligned.append(set())
-        return len(base) - 1
-
-    def order() -> list[int]:
-        seen: set[int] = set()
-        out: list[int] = []
-        for root in range(len(base)):
-            stack = [(root, iter(sorted(before[root])))]
-            if root in seen:
+    def __init__(self):
+        self.base: list[str] = []
+        self.before: list[dict[int, int]] = []
+        self.aligned: list[set[int]] = []
+
+    def node(self, letter: str) -> int:
+        self.base.append(letter)
+        self.before.append({})
+        self.aligned.append(set())
+        return len(self.base) - 1
+
+    def thread(self, path: list[int], weight: int) -> None:
+        for a, b in zip(path, path[1:], strict=False):
+            self.before[b][a] = self.before[b].get(a, 0) + weight
+
+    def order(self) -> list[int]:
+        """Nodes, each behind all before it: depth first, smaller numbers first."""
+        seen = bytearray(len(self.base))
+        before, out = self.before, []
+        for root in range(len(before)):
+            if seen[root]:
                 continue
-            seen.add(root)
+            seen[root] = 1
+            stack = [(root, iter(sorted(before[root])))]
             while stack:
                 n, it = stack[-1]
                 for p in it:
-                    if p not in seen:
-                        seen.add(p)
+                    if not seen[p]:
+                        seen[p] = 1
                         stack.append((p, iter(sorted(before[p]))))
                         break
                 else:
@@ -51,95 +57,250 @@ def poa_sequence(reads: list[str], match: int = 2, mismatch: int = -4, gap: int
                     stack.pop()
         return out
 
-    def thread(path: list[int]) -> None:
-        for a, b in zip(path, path[1:], strict=False):
-            before[b][a] = before[b].get(a, 0) + 1
-
-    def fill(topo: list[int], codes: np.ndarray, width: int) -> dict[int, tuple[int, np.ndarray]]:
-        """Of each node its first column and the best scores of paths that end there, for columns of the band."""
-        m = len(codes)
-        score = {-1: (0, gap * np.arange(min(m, width) + 1))}
-        peak = {-1: 0}
-        for n in topo:
-            parents = list(before[n]) or [-1]
-            lo = max(0, min(peak[p] for p in parents) + 1 - width)
-            hi = min(m, max(peak[p] for p in parents) + 1 + width)
-            above = np.full(hi - lo + 2, _NEVER)  # columns lo - 1 to hi
-            for p in parents:
-                first, row = score[p]
-                x, y = max(lo - 1, first), min(hi, first + len(row) - 1)
-                if x <= y:
-                    part = above[x - lo + 1 : y - lo + 2]
-                    np.maximum(part, row[x - first : y - first + 1], out=part)
-            free = above[1:] + gap
-            start = max(lo, 1)
-            aligned_ = above[start - lo : -1] + np.where(codes[start - 1 : hi] == ord(base[n]), match, mismatch)
-            np.maximum(free[start - lo :], aligned_, out=free[start - lo :])
-            slope = gap * np.arange(hi - lo + 1)
-            row = np.maximum.accumulate(free - slope) + slope  # insertions run along the row
-            score[n] = (lo, row)
-            peak[n] = lo + int(row.argmax())
-        return score
-
-    thread([node(c) for c in reads[0]])
-    for read in reads[1:]:
-        topo = order()
-        m = len(read)
-        codes = np.frombuffer(read.encode("utf-32-le"), np.uint32)
-        inner = {p for b in before for p in b}
-        ends = [n for n in topo if n not in inner]
-        widths = ([int(band[0] + band[1] * m)] if band else []) + [m + len(topo)]
-        for width in widths:
-            score = fill(topo, codes, width)
-
-            def at_column(n: int, j: int, score=score) -> int:
-                first, row = score[n]
-                return int(row[j - first]) if first <= j < first + len(row) else _NEVER
-
-            if max(at_column(n, m) for n in ends) > _NEVER // 2:
-                break
-        at, j, path = max(ends, key=lambda n: (at_column(n, m), -n)), m, []
-        while at != -1 or j:
-            kind, p = 0, -1
-            if at != -1:
-                here, sub = at_column(at, j), match if j and base[at] == read[j - 1] else mismatch
-                parents = sorted(before[at]) or [-1]
-                kind, p = next(((2, q) for q in parents if j and at_column(q, j - 1) + sub == here), None) or next(((1, q) for q in parents if at_column(q, j) + gap == here), (0, -1))
-            if kind == 2:
-                c = read[j - 1]
-                same = at if base[at] == c else next((x for x in sorted(aligned[at]) if base[x] == c), None)
-                if same is None:
-                    same = node(c)
-                    group = aligned[at] | {at}
-                    for x in group:
-                        aligned[x].add(same)
-                    aligned[same] = set(group)
-                path.append(same)
-                at, j = p, j - 1
-            elif kind == 1:
-                at = p
+    def ends(self) -> list[int]:
+        inner = {p for b in self.before for p in b}
+        return [n for n in range(len(self.base)) if n not in inner]
+
+    def heaviest(self) -> str:
+        best: dict[int, tuple[int, int]] = {}
+        for n in self.order():
+            best[n] = max(((best[p][0] + w, p) for p, w in self.before[n].items()), key=lambda t: (t[0], self.before[n].get(t[1], 0), -t[1]), default=(0, -1))
+        at = max(best, key=lambda n: (best[n][0], -n), default=-1)
+        out = []
+        while at != -1:
+            out.append(self.base[at])
+            at = best[at][1]
+        return "".join(reversed(out))
+
+
+def _profile(read: str, letters: set[str], gain: tuple[int, int]) -> dict[str, np.ndarray]:
+    """For each letter what a step into each of the read's columns earns."""
+    codes = np.frombuffer(read.encode("utf-32-le"), np.uint32)
+    return {c: np.where(codes == ord(c), *gain).astype(np.int32) for c in letters}
+
+
+# Scores in both tables are less gap * column, so that insertions cost nothing and run along a row as its running maximum.
+
+
+def _banded(g: Graph, topo: list[int], read: str, width: int, score: tuple[int, int, int]):
+    """One window's table in the band: (node, column) -> score. Rows go `width` beyond the peaks of those before them."""
+    match, mismatch, gap = score
+    m = len(read)
+    earn = _profile(read, set(g.base), (match - gap, mismatch - gap))
+    rows = {-1: (0, np.zeros(min(m, width) + 1, np.int32))}
+    peak = {-1: 0}
+    slope = gap * np.arange(m + 1, dtype=np.int32)
+    for n in topo:
+        parents = list(g.before[n]) or [-1]
+        tops = [peak[p] for p in parents]
+        lo, hi = max(0, min(tops) + 1 - width), min(m, max(tops) + 1 + width)
+        above = np.full(hi - lo + 2, _NEVER, np.int32)  # columns lo - 1 to hi
+        for p in parents:
+            first, row = rows[p]
+            x, y = max(lo - 1, first), min(hi, first + len(row) - 1)
+            if x <= y:
+                part = above[x - lo + 1 : y - lo + 2]
+                np.maximum(part, row[x - first : y - first + 1], out=part)
+        free = above[1:] + gap
+        start = max(lo, 1)
+        inner = free[start - lo :]
+        np.maximum(inner, above[start - lo : -1] + earn[g.base[n]][start - 1 : hi], out=inner)
+        np.maximum.accumulate(free, out=free)
+        rows[n] = (lo, free)
+        peak[n] = lo + int((free + slope[lo : hi + 1]).argmax())
+
+    def at_column(n: int, j: int) -> int:
+        first, row = rows[n]
+        return int(row[j - first]) + gap * j if first <= j < first + len(row) else _NEVER
+
+    return at_column
+
+
+def _full(jobs: list[tuple[Graph, list[int], str]], score: tuple[int, int, int]) -> list:
+    """Whole tables of many windows, row k of all of them at once: jobs (graph, its order, read) by falling number of nodes."""
+    match, mismatch, gap = score
+    most, wide = len(jobs[0][1]), max(len(r) for *_, r in jobs)
+    rows = np.empty((len(jobs), most + 1, wide + 1), np.int32)
+    rows[:, 0] = 0
+    letters = sorted({c for g, *_ in jobs for c in g.base})
+    number = {c: i for i, c in enumerate(letters)}
+    earn = np.full((len(jobs), len(letters), wide), mismatch - gap, np.int32)
+    base = np.zeros((most + 1, len(jobs)), np.int64)
+    places, first = [], np.zeros((most + 1, len(jobs)), np.int64)
+    more: list[list[tuple[int, int]]] = [[] for _ in range(most + 1)]  # of row k: (window, row) of a node's second parent and on
+    for b, (g, topo, read) in enumerate(jobs):
+        codes = np.array([number.get(c, -1) for c in read])
+        known = np.flatnonzero(codes >= 0)
+        earn[b, codes[known], known] = match - gap
+        place = [0] * (len(g.base) + 1)  # place[-1] is the start's row
+        for k, n in enumerate(topo, 1):
+            place[n] = k
+            base[k, b] = number[g.base[n]]
+            parents = list(g.before[n]) or (-1,)
+            first[k, b] = place[parents[0]]
+            more[k].extend((b, place[p]) for p in parents[1:])
+        places.append(place)
+    active = np.array([len(t) for _, t, _ in jobs])
+    every = np.arange(len(jobs))
+    for k in range(1, most + 1):
+        n = int(np.searchsorted(-active, -k, "right"))  # windows with a row k
+        above = rows[every[:n], first[k, :n]]
+        for b, r in more[k]:
+            np.maximum(above[b], rows[b, r], out=above[b])
+        step = earn[every[:n], base[k, :n]]
+        step += above[:, :-1]
+        above += gap
+        np.maximum(above[:, 1:], step, out=above[:, 1:])
+        np.maximum.accumulate(above, 1, out=rows[:n, k])
+
+    def table(b: int):
+        mine, place, m = rows[b], places[b], len(jobs[b][2])
+        return lambda n, j: int(mine[place[n], j]) + gap * j if 0 <= j <= m else _NEVER
+
+    return [table(b) for b in range(len(jobs))]
+
+
+def _trace(g: Graph, read: str, at_column, end: int, score: tuple[int, int, int]) -> list[int]:
+    """The read's nodes along the best path: old ones where letters agree, new ones elsewhere."""
+    match, mismatch, gap = score
+    at, j, path = end, len(read), []
+    while at != -1 or j:
+        kind, p = 0, -1
+        if at != -1:
+            here, sub = at_column(at, j), match if j and g.base[at] == read[j - 1] else mismatch
+            parents = sorted(g.before[at]) or [-1]
+            kind, p = next(((2, q) for q in parents if j and at_column(q, j - 1) + sub == here), None) or next(((1, q) for q in parents if at_column(q, j) + gap == here), (0, -1))
+        if kind == 2:
+            c = read[j - 1]
+            same = at if g.base[at] == c else next((x for x in sorted(g.aligned[at]) if g.base[x] == c), None)
+            if same is None:
+                same = g.node(c)
+                group = g.aligned[at] | {at}
+                for x in group:
+                    g.aligned[x].add(same)
+                g.aligned[same] = set(group)
+            path.append(same)
+            at, j = p, j - 1
+        elif kind == 1:
+            at = p
+        else:
+            path.append(g.node(read[j - 1]))
+            j -= 1
+    return path[::-1]
+
+
+def poa_sequences(windows: list[list[str]], match: int = 2, mismatch: int = -4, gap: int = -4, band: tuple[int, float] | None = BAND, weights: list[list[int]] | None = None) -> list[str]:
+    """Of each window the heaviest path of the graph to which its reads are aligned one after the other, each against all before; '' without reads.
+
+    Rows are banded around the column behind the best one of the rows before them. A read that the band does not bring to
+    its end is aligned without it. A read counts as often as its weight. Windows do not affect one another: they are
+    advanced together where they need whole rows. Memory: CELLS cells, or the nodes times the letters of one window's
+    largest read, if that is more.
+    """
+    score = (match, mismatch, gap)
+    many = weights or [[1] * len(w) for w in windows]
+    reads = [[(r, n) for r, n in zip(w, c, strict=True) if r] for w, c in zip(windows, many, strict=True)]
+    graphs = [Graph() for _ in windows]
+    for g, mine in zip(graphs, reads, strict=True):
+        if mine:
+            g.thread([g.node(c) for c in mine[0][0]], mine[0][1])
+    for turn in range(1, max(map(len, reads), default=0)):
+        todo = [b for b, mine in enumerate(reads) if len(mine) > turn]
+        topo = {b: graphs[b].order() for b in todo}
+        todo.sort(key=lambda b: -len(topo[b]))
+        read = {b: reads[b][turn][0] for b in todo}
+        ends = {b: graphs[b].ends() for b in todo}
+
+        def reached(b: int, at_column, ends=ends, read=read) -> int | None:
+            at = max(ends[b], key=lambda n: (at_column(n, len(read[b])), -n))
+            return at if at_column(at, len(read[b])) > _NEVER // 2 else None
+
+        def settle(b: int, at_column, end: int, read=read, turn=turn) -> None:
+            graphs[b].thread(_trace(graphs[b], read[b], at_column, end, score), reads[b][turn][1])
+
+        rest = []
+        for b in todo:
+            at_column = _banded(graphs[b], topo[b], read[b], int(band[0] + band[1] * len(read[b])), score) if band else None
+            end = reached(b, at_column) if band else None
+            if end is None:
+                rest.append(b)
             else:
-                path.append(node(read[j - 1]))
-                j -= 1
-        thread(path[::-1])
-    best: dict[int, tuple[int, int]] = {}
-    for n in order():
-        best[n] = max(((best[p][0] + w, p) for p, w in before[n].items()), key=lambda t: (t[0], before[n].get(t[1], 0), -t[1]), default=(0, -1))
-    at = max(best, key=lambda n: (best[n][0], -n))
-    out = []
-    while at != -1:
-        out.append(base[at])
-        at = best[at][1]
-    return "".join(reversed(out))
-
-
-def window_poa(reads: DataFrame, keys: list[str], order: str, seq: str, least: int = 1) -> DataFrame:
-    """(keys, n_reads, sequence): reads in their order; fewer than `least` give ''."""
-    kinds = ", ".join(f"{k} {dict(reads.dtypes)[k]}" for k in keys)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values([order, seq])[seq].tolist()
-        out = pdf[keys].head(1).reset_index(drop=True)
-        return out.assign(n_reads=len(rows), sequence=poa_sequence(rows) if len(rows) >= least else "")
-
-    return reads.select(*keys, order, seq).groupBy(*keys).applyInPandas(one, f"{kinds}, n_reads long, sequence string")
+                settle(b, at_column, end)
+        for part in _parts(rest, [(len(topo[b]) + 1) * (len(read[b]) + 1) for b in rest]):
+            for b, at_column in zip(part, _full([(graphs[b], topo[b], read[b]) for b in part], score), strict=True):
+                settle(b, at_column, reached(b, at_column))
+    return [g.heaviest() for g in graphs]
+
+
+def _parts(items: list[int], cells: list[int]) -> Iterator[list[int]]:
+    """Runs of items whose tables, each as large as the run's largest, have at most CELLS cells."""
+    held, most = [], 0
+    for b, n in zip(items, cells, strict=True):
+        if held and max(most, n) * (len(held) + 1) > CELLS:
+            yield held
+            held, most = [], 0
+        held.append(b)
+        most = max(most, n)
+    if held:
+        yield held
+
+
+def poa_sequence(reads: list[str], match: int = 2, mismatch: int = -4, gap: int = -4, band: tuple[int, float] | None = BAND) -> str:
+    """poa_sequences() of one window."""
+    return poa_sequences([reads], match, mismatch, gap, band)[0]
+
+
+def window_poa(reads: DataFrame, keys: list[str], order: str, seq: str, least: int = 1, unknown_as: str | None = None, depth: int | None = None, work: int = WORK) -> DataFrame:
+    """(keys, n_reads, sequence): reads in their order; fewer than `least` give '', null and empty ones count but are not aligned.
+
+    unknown_as: the letter that stands for all but A, C, G and T. depth: reads of a window beyond so many go in groups of
+    that size, which may be the work of different tasks; the groups' sequences are then aligned in order, each with the
+    weight of its reads, so a window of up to depth reads gives what it gives without groups. The number of tasks follows
+    the squared letters, as the work does, not the bytes. Without depth a window's reads are one task's, in memory of
+    poa_sequences() and of the reads.
+    """
+    letters = F.coalesce(F.col(seq), F.lit(""))
+    rows = reads.select(*keys, F.col(order).alias("order_"), (F.regexp_replace(letters, "[^ACGT]", unknown_as) if unknown_as else letters).alias("seq_"), F.lit(1).cast("long").alias("n_reads"))
+    if depth:
+        rows = rows.withColumn("window_", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+        rows = ordered.numbered(rows, "window_", ["order_", "seq_"], "k_", 64 * depth).drop("window_").withColumn("group_", F.floor((F.col("k_") - 1) / F.lit(depth)))
+        rows = _aligned(rows, [*keys, "group_"], work).select(*keys, F.col("group_").alias("order_"), F.col("sequence").alias("seq_"), "n_reads")
+    out = _aligned(rows, keys, work)
+    return out.withColumn("sequence", F.when(F.col("n_reads") >= least, F.col("sequence")).otherwise(""))
+
+
+def _aligned(rows: DataFrame, keys: list[str], work: int) -> DataFrame:
+    """(keys, n_reads, sequence) of rows (keys, order_, seq_, n_reads): each window in one task, tasks of about `work` squared letters."""
+    total = rows.agg(F.sum(F.length("seq_").cast("double") * F.length("seq_"))).first()[0] or 0
+    parts = min(max(int(total / work), rows.sparkSession.sparkContext.defaultParallelism), 1 << 16)
+    kinds = dict(rows.dtypes)
+
+    def run(batches):
+        held: list[tuple] = []  # windows that are complete: (key, reads, weights)
+        cells = 0
+
+        def out():
+            found = poa_sequences([w[1] for w in held], weights=[w[2] for w in held])
+            columns = [pa.array([w[0][i] for w in held], types[i]) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([sum(w[2]) for w in held], pa.int64()), pa.array(found, pa.string())], [*keys, "n_reads", "sequence"])
+
+        now, types = None, []
+        for b in batches:
+            types = [b.schema.field(k).type for k in keys]
+            for *key, text, n in zip(*(b.column(c).to_pylist() for c in (*keys, "seq_", "n_reads")), strict=True):
+                if now is None or now[0] != key:
+                    if now:
+                        held.append(now)
+                        cells += sum(map(len, now[1])) ** 2
+                    if cells > 8 * CELLS:
+                        yield out()
+                        held, cells = [], 0
+                    now = (key, [], [])
+                now[1].append(text)
+                now[2].append(n)
+        if now:
+            held.append(now)
+            yield out()
+
+    dealt = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "order_", "seq_")
+    return dealt.select(*keys, "seq_", "n_reads").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n_reads long, sequence string")
