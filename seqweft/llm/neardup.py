@@ -10,10 +10,14 @@ and class, whose components ("blobs") hold every candidate pair. A blob that fit
 sent once. Of a larger blob all members are first held against one of them, its chief, over many tasks: one pass, linear
 in the blob. Those that are linked to it are one component; by the triangle inequality of the Jaccard distance the
 others can only be linked to those of them whose distance to the chief is near enough to their own, so the rest of the
-component is done with. What is left goes by its bands' buckets, large ones in blocks, where only pairs of different
-components are held against each other. A task gives out no pairs but a forest that has the components of its links, so
-results stay linear in the input. Work on what is left is linear where the others are few; among many others that share
-buckets without being linked to the chief, each block meets each, which is the square of their number in a bucket.
+component is done with. What is left is matched by its rare shingles: ordered by how many of these sets hold them, two
+linked sets share one of their first ones, and the place of the first shared one bounds what they can have in common.
+A set stays in a shingle's group only if for the sizes that stand there the bound allows a link to one of them, so
+pages that share a template and differ by more than the threshold leave their groups all at once. Groups are verified,
+large ones in blocks, where only pairs of different components are held against each other. A task gives out no pairs
+but a forest that has the components of its links, so results stay linear in the input. All steps are linear in the
+sets and their shingles but the blocks: sets that the bound leaves in one group, more than a task takes, of many
+components that are not linked to the chief.
 """
 
 from __future__ import annotations
@@ -135,10 +139,12 @@ def forest(sets: list[np.ndarray], similar: int = SIMILAR, labels: list | None =
     for i in range(n):
         flat[begin[i] : begin[i + 1]].sort()
     prefix = size - (similar * size + 99) // 100 + 1
+    place = np.concatenate([np.arange(k) for k in prefix])
     inside = np.concatenate([flat[begin[i] : begin[i] + prefix[i]] for i in range(n)])
     owner = np.repeat(np.arange(n), prefix)
     order = np.argsort(inside, kind="stable")
-    inside, owner = inside[order], owner[order]
+    inside, owner, place = inside[order], owner[order], place[order]
+    rest = size[owner] - place  # what two sets can share from their first common shingle on
     mark = np.zeros(len(times), bool)
     links = []
     for i in range(n):
@@ -148,8 +154,11 @@ def forest(sets: list[np.ndarray], similar: int = SIMILAR, labels: list | None =
         many = hi > lo + 1
         if not many.any():
             continue
-        near = np.unique(np.concatenate([owner[a:b] for a, b in zip(lo[many], hi[many], strict=True)]))
-        near = near[near < i]
+        shared = np.concatenate([np.arange(a, b) for a, b in zip(lo[many], hi[many], strict=True)])
+        mine_left = np.repeat((size[i] - np.arange(len(head)))[many], (hi - lo)[many])
+        other = owner[shared]
+        able = (other < i) & ((100 + similar) * np.minimum(rest[shared], mine_left) >= similar * (size[other] + size[i]))
+        near = np.unique(other[able])
         near = near[(100 * np.minimum(size[near], size[i]) >= similar * np.maximum(size[near], size[i]))]
         me = find(i)
         near = np.array([j for j in near.tolist() if find(j) != me], np.int64)
@@ -251,10 +260,8 @@ def _links(texts: DataFrame, matches: DataFrame, similar: int) -> list[DataFrame
         # of the linked ones, only those that the others may still reach
         nearest = held.where(~F.col("linked")).groupBy("blob").agg(F.min("distance").alias("nearest"))
         kept = held.join(nearest, "blob").where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - (1 - similar / 100) - 1e-9))
-        kept = kept.select("key", F.when(F.col("linked"), F.col("chief")).otherwise(F.col("key")).alias("label"), "linked")
-        # a bucket matters only where it has one of the others
-        rest = _stars(matches.select("key", "n_shingles", "band").join(kept, "key"), F.count_if(~F.col("linked")).alias("others")).where("others > 0")
-        rest = stash(rest.select("key", "n_shingles", "label", "band", "hub"), "rest")
+        kept = kept.select("blob", "key", F.when(F.col("linked"), F.col("chief")).otherwise(F.col("key")).alias("label"))
+        rest = stash(_able(kept, texts, similar), "rest")
         todo = todo.unionByName(_blocks(rest))
         done += [held, rest]
     rows = todo.join(texts, "key").select("gid", "key", "label", "text")
@@ -263,6 +270,47 @@ def _links(texts: DataFrame, matches: DataFrame, similar: int) -> list[DataFrame
     return links
 
 
+def _shingle_rows(batches):
+    for b in batches:
+        for at, data, offs in pieces(b.column("text")):
+            sets = shingle_sets(data, offs)
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            part = b.slice(at, len(sets))
+            yield pa.RecordBatch.from_arrays([part.column("blob"), part.column("key"), part.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["blob", "key", "label", "shingles"])
+
+
+def _able(kept: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
+    """(key, n_shingles, label, band, hub): sets (blob, key, label) in the groups of those rare shingles by which they can be linked.
+
+    A blob's shingles are ordered by the number of its sets that have them. Two linked sets share one of their first
+    size - similar % + 1, and from the first shared one on at least what a link takes of both sizes. band is the shingle,
+    hub the blob.
+    """
+    sets = kept.join(texts, "key").select("blob", "key", "label", "text").mapInArrow(_shingle_rows, "blob long, key long, label long, shingles array<long>")
+    sets = stash(sets, "shingles")
+    each = sets.select("blob", "key", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("band"))
+    times = each.groupBy("blob", "band").agg(F.count(F.lit(1)).alias("n"))
+    ranked = each.join(times, ["blob", "band"]).groupBy("blob", "key", "label", "size").agg(F.sort_array(F.collect_list(F.struct("n", "band"))).alias("x"))
+    first = F.col("size") - F.ceil(F.col("size") * similar / F.lit(100)).cast("int") + 1
+    heads = ranked.select("blob", "key", "label", "size", F.posexplode(F.slice("x", F.lit(1), first)).alias("at", "x")).where("x.n > 1")
+    heads = stash(heads.select("blob", "key", "label", "size", F.col("x.band").alias("band"), (F.col("size") - F.col("at")).alias("left")), "heads")
+    sizes = heads.groupBy("blob", "band", "size").agg(F.max("left").alias("left"), F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    groups = sizes.groupBy("blob", "band").agg(F.collect_list(F.struct("size", "left", "n")).alias("there"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+    def fits(t):
+        alike = (100 * F.least(t["size"], "size") >= similar * F.greatest(t["size"], "size")) & ((t["size"] != F.col("size")) | (t["n"] > 1))
+        return alike & ((100 + similar) * F.least(t["left"], "left") >= similar * (t["size"] + F.col("size")))
+
+    rows = heads.join(groups.where("least <> most").select("blob", "band", "there"), ["blob", "band"]).where(F.exists("there", fits))
+    rows = rows.select("key", F.col("size").cast("long").alias("n_shingles"), "label", "band", F.col("blob").alias("hub"))
+    out = stash(rows, "able")
+    discard(sets, heads)
+    # a shingle that one component alone has left links nothing
+    mixed = out.groupBy("hub", "band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("hub", "band")
+    return out.join(mixed, ["hub", "band"]).select("key", "n_shingles", "label", "band", "hub")
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """(gid, key, label): of buckets (key, n_shingles, label, band, hub) those that fit a task, and of larger ones each block of
     the members that are not of the bucket's commonest label with each block of all: no pair within that label is looked at again."""
@@ -302,7 +350,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     A document's set: the distinct shingles of SHINGLE words, A-Z lower-cased; with fewer words the whole sequence;
-    null and empty texts have none and are linked with nothing. component_id is the smallest id reachable by links.
+    null and empty texts have none and are linked with nothing. A text of any length is one set in its task. component_id is the smallest id reachable by links.
     Links are confirmed by the shingles' bytes; texts count as equal by the sha256 of their words. Ids may be of any
     type. Ids that are null or repeat get row numbers inside and keep their values outside: rows of one id are documents
     of their own, component_id is the smallest id among those reachable, null if all are null. Other columns are ignored.

@@ -468,3 +468,21 @@ def test_ordinal_fit_orders_thresholds():
     grades = np.array([min(2, int((r < 2).sum())) for r in rows])
     w, theta = toxicity.fit_ordinal(rows, grades, 5)
     assert theta[0] < theta[1] and w[:2].min() > w[2:].max()
+
+
+@pytest.mark.parametrize("own", [3, 12, 30])
+def test_near_pages_of_one_template(spark, own, monkeypatch):
+    """Many pages share a template: with few own words they are linked, with more not; either way as by brute force, and by groups of rare shingles."""
+    monkeypatch.setattr(neardup, "MOST_SETS", 8)
+    monkeypatch.setattr(neardup, "CHUNK", 9)
+    rnd = random.Random(own)
+    template = [f"t{rnd.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        words = template + [f"o{rnd.randrange(10**9)}" for _ in range(own)]
+        if i % 7 == 0 and rows:  # some near copies among them
+            words = rows[-1][1].split()[:-1] + ["z"]
+        rows.append((i, " ".join(words)))
+    got = neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {tuple(r) for r in got.collect()} == near_brute(rows)
+    assert own < 30 or 60 > got.where("kept").count() > 30
