@@ -29,12 +29,54 @@ def counters(df: DataFrame, by: list[str], **conditions: Column) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(c).alias(k) for k, c in conditions.items()))
 
 
-def robust_scaled(df: DataFrame, part: str, value: str, name: str = "z", least: float = 1e-6) -> DataFrame:
-    """df with (value - median) / median absolute deviation of its part, the deviation at least `least`; medians are the lower ones."""
-    lower = "percentile_disc(0.5) WITHIN GROUP (ORDER BY {})"
-    x = df.join(df.groupBy(part).agg(F.expr(lower.format(f"`{value}`")).alias("median_")), part)
-    mad = x.groupBy(part).agg(F.expr(lower.format(f"abs(`{value}` - median_)")).alias("mad_"))
-    return x.join(mad, part).withColumn(name, (F.col(value) - F.col("median_")) / F.greatest("mad_", F.lit(least))).drop("median_", "mad_")
+#: Bins of a pass of the selection.
+BINS = 4096
+
+
+def _first_reaching(counts: DataFrame, part: str, order: str) -> DataFrame:
+    """Of rows (part, k_, n_, ...) the one of each part, by order, where the running sum of n_ reaches k_; k_ less what stands before it."""
+    upto = F.sum("n_").over(Window.partitionBy(part).orderBy(order))
+    rows = counts.withColumn("upto_", upto).where((F.col("upto_") >= F.col("k_")) & (F.col("upto_") - F.col("n_") < F.col("k_")))
+    return rows.withColumn("k_", F.col("k_") - (F.col("upto_") - F.col("n_"))).drop("upto_")
+
+
+def lower_medians(df: DataFrame, part: str, value: str, slice_rows: int | None = None, passes: int = 2) -> DataFrame:
+    """(part, median_): the lower median of each part, exact; nulls do not count, and values are finite.
+
+    With slice_rows, parts of more rows are not gathered: a pass counts their values in BINS bins between the least and the
+    largest that are left, and only the bin with the median goes on, with its own least and largest value. What the passes
+    leave is counted by value. Each count is a partial aggregate, so a part's rows are the work of all tasks.
+    """
+    rows = df.select(F.col(part).alias("part_"), F.col(value).cast("double").alias("v_")).where("v_ is not null")
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v_)").alias("median_")
+    if not slice_rows:
+        return rows.groupBy("part_").agg(middle).withColumnRenamed("part_", part)
+    sizes = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"), F.min("v_").alias("lo_"), F.max("v_").alias("hi_"))
+    sizes = sizes.select(F.col("part_").alias("of_"), "n_", F.ceil(F.col("n_") / 2).cast("long").alias("k_"), "lo_", "hi_")
+    inside = lambda left: rows.join(left, rows["part_"].eqNullSafe(left["of_"])).where(F.col("v_").between(F.col("lo_"), F.col("hi_")))
+    small = rows.join(sizes.where(F.col("n_") <= slice_rows).select("of_"), rows["part_"].eqNullSafe(F.col("of_"))).groupBy("part_").agg(middle)
+    left = sizes.where(F.col("n_") > slice_rows).drop("n_")
+    for _ in range(passes):
+        # halves, as the difference of two finite numbers may not be one
+        share = (F.col("v_") / 2 - F.col("lo_") / 2) / (F.col("hi_") / 2 - F.col("lo_") / 2)
+        bin_ = F.when(F.col("hi_") / 2 > F.col("lo_") / 2, F.floor(share * BINS)).otherwise(0)
+        counts = inside(left).groupBy("part_", "k_", bin_.alias("bin_")).agg(F.count(F.lit(1)).alias("n_"), F.min("v_").alias("lo_"), F.max("v_").alias("hi_"))
+        left = _first_reaching(counts, "part_", "bin_").select(F.col("part_").alias("of_"), "k_", "lo_", "hi_")
+    counts = inside(left).groupBy("part_", "k_", "v_").agg(F.count(F.lit(1)).alias("n_"))
+    large = _first_reaching(counts, "part_", "v_").select("part_", F.col("v_").alias("median_"))
+    return small.unionByName(large).withColumnRenamed("part_", part)
+
+
+def robust_scaled(df: DataFrame, part: str, value: str, name: str = "z", least: float = 1e-6, slice_rows: int | None = None) -> DataFrame:
+    """df with (value - median) / median absolute deviation of its part, the deviation at least `least`; medians are the lower ones.
+
+    With slice_rows, medians of larger parts are selected over all tasks (lower_medians).
+    """
+    medians = lower_medians(df, part, value, slice_rows).withColumnRenamed(part, "of_")
+    x = df.join(medians, df[part].eqNullSafe(medians["of_"])).drop("of_").withColumn("away_", F.abs(F.col(value) - F.col("median_")))
+    spread = lower_medians(x, part, "away_", slice_rows).select(F.col(part).alias("of_"), F.col("median_").alias("mad_"))
+    x = x.join(spread, x[part].eqNullSafe(spread["of_"])).drop("of_")
+    return x.withColumn(name, (F.col(value) - F.col("median_")) / F.greatest("mad_", F.lit(least))).drop("median_", "mad_", "away_")
 
 
 def order_violation(df: DataFrame, part: str, order: str, time: Column, margin: float) -> DataFrame:

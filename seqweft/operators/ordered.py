@@ -65,6 +65,26 @@ def stitch(df: DataFrame, part: str, idx: str, seq: str, overlap: int, start: st
     return g.select(part, first["i"].alias("first_idx"), last["i"].alias("last_idx"), first["a"].alias("seg_start"), last["b"].alias("seg_end"), F.concat(first["s"], F.array_join(tail, "")).alias("sequence"))
 
 
+def stitch_chunks(df: DataFrame, part: str, idx: str, seq: str, overlap: int, chunk: int = 1 << 20, slice_rows: int = 1 << 20) -> DataFrame:
+    """What stitch() joins, as rows (part, first_idx, chunk, sequence) of `chunk` letters each, the last of an island shorter.
+
+    Nothing meets but the pieces of one chunk: islands are numbered and the places of their pieces summed by slices, so an
+    island of any length is the work of many tasks. Chunks in their order, joined, are the island's sequence.
+    """
+    kept = df.select(part, idx, seq).where(F.coalesce(F.length(seq), F.lit(0)) > 0)
+    runs = numbered(kept, part, [idx], "k_", slice_rows).withColumn("run_", F.struct(F.col(part).alias("p"), (F.col(idx) - F.col("k_")).alias("i"))).drop("k_")
+    firsts = runs.groupBy(F.col("run_").alias("of_")).agg(F.min(idx).alias("first_idx"))
+    runs = runs.join(firsts, runs["run_"].eqNullSafe(firsts["of_"])).drop("of_")
+    runs = runs.withColumn("text_", F.when(F.col(idx) == F.col("first_idx"), F.col(seq)).otherwise(F.substring(seq, overlap + 1, 1 << 30))).drop(seq)
+    placed = offset_plan(runs.withColumn("len_", F.length("text_").cast("long")), "run_", "len_", [idx], "place_", slice_rows).where("len_ > 0")
+    first, last = F.floor(F.col("place_") / F.lit(chunk)), F.floor((F.col("place_") + F.col("len_") - 1) / F.lit(chunk))
+    each = placed.withColumn("chunk", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col("chunk") * chunk - F.col("place_"), F.lit(0))
+    end = F.least((F.col("chunk") + 1) * chunk - F.col("place_"), F.col("len_"))
+    pieces = each.select(part, "first_idx", "chunk", F.struct("place_", F.substring("text_", (begin + 1).cast("int"), (end - begin).cast("int")).alias("s")).alias("x"))
+    return pieces.groupBy(part, "first_idx", "chunk").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["s"]), "").alias("sequence"))
+
+
 def run_length(df: DataFrame, part: str, order: list, label: str, slice_rows: int | None = None) -> DataFrame:
     """Runs of equal labels: part, run, label, n.
 

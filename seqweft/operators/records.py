@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -92,14 +92,25 @@ def with_features(df: DataFrame, bases: str, flag: str, use_bases: bool = True,
 
 
 def best_reads(df: DataFrame, region: str, quality: str, mapq: str, length: str, read_id: str, k: int, tolerance: float = 0.5) -> DataFrame:
-    """The k best reads of each region: by quality in steps of the tolerance, then mapq, length and id.
+    """The k best reads of each region: by quality, then mapq, length and id, where qualities up to the tolerance apart are ties.
 
-    Steps make an order of what a comparator with a tolerance leaves open (a near b and b near c say nothing of a and c).
+    Ties do not carry over (a near b and b near c say nothing of a and c), so they are made to: qualities of a region, from
+    the best down, form a chain as long as each is within the tolerance of the one before; a chain is one rank, and the
+    next keys decide in it. Chains are found on a region's different qualities, and only reads of the chains that hold the
+    first k go on. A null quality comes after all others.
     """
     from .ordered import top_k
 
-    step = F.floor(F.col(quality) / F.lit(float(tolerance)))
-    return top_k(df, region, [F.desc(step), F.desc(mapq), F.desc(length), read_id], k)
+    values = df.groupBy(F.col(region).alias("region_"), F.col(quality).alias("quality_")).agg(F.count(F.lit(1)).alias("n_"))
+    down = Window.partitionBy("region_").orderBy(F.desc_nulls_last("quality_"))
+    apart = F.coalesce(F.lag("quality_").over(down) - F.col("quality_") > tolerance, F.lit(True))
+    chained = values.withColumn("apart_", apart.cast("int")).withColumn("chain_", F.sum("apart_").over(down))
+    sizes = chained.groupBy("region_", "chain_").agg(F.sum("n_").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy("region_").orderBy("chain_").rowsBetween(Window.unboundedPreceding, -1))
+    wanted = sizes.select(F.col("region_").alias("of_"), F.col("chain_").alias("at_"), F.coalesce(before, F.lit(0)).alias("before_")).where(F.col("before_") < k)
+    ranks = chained.join(wanted, F.col("region_").eqNullSafe(F.col("of_")) & (F.col("chain_") == F.col("at_"))).select("region_", "quality_", "chain_")
+    rows = df.join(ranks, df[region].eqNullSafe(ranks["region_"]) & df[quality].eqNullSafe(ranks["quality_"])).drop("region_", "quality_")
+    return top_k(rows, region, ["chain_", F.desc(mapq), F.desc(length), read_id], k).drop("chain_")
 
 
 def truncation_rows(reads: DataFrame) -> DataFrame:

@@ -117,6 +117,22 @@ def stitch_islands(spark, d):
     return out.withColumn("digest", F.sha2("sequence", 256)).drop("sequence")
 
 
+@query(
+    f"""WITH w AS (SELECT w.*, CASE WHEN (w.chrom + idx) % 7 = 3 THEN '' ELSE substr(text, ws, we - ws + 1) END AS s FROM ({_WINDOWS}) w JOIN documents ON chrom = doc_id),
+    i AS (SELECT *, idx - row_number() OVER (PARTITION BY chrom ORDER BY idx) AS island FROM w WHERE s <> ''),
+    r AS (SELECT *, row_number() OVER (PARTITION BY chrom, island ORDER BY idx) AS k FROM i),
+    t AS (SELECT chrom, min(idx)::int AS first_idx, string_agg(CASE WHEN k = 1 THEN s ELSE substr(s, {OVERLAP + 1}) END, '' ORDER BY idx) AS t FROM r GROUP BY chrom, island),
+    c AS (SELECT chrom, first_idx, t, unnest(range((length(t) - 1) // 700 + 1))::bigint AS chunk FROM t)
+    SELECT chrom, first_idx, chunk, sha256(substr(t, chunk * 700 + 1, 700)) AS digest FROM c"""
+)
+def stitch_chunks(spark, d):
+    """Islands as ordered chunks of 700 letters; parts of over 8 windows are cut in slices."""
+    w = windows_of(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("chrom"), "text"), "chrom")
+    s = F.when((F.col("chrom") + F.col("idx")) % 7 == 3, "").otherwise(F.substring("text", F.col("ws").cast("int"), (F.col("we") - F.col("ws") + 1).cast("int")))
+    out = ordered.stitch_chunks(w.withColumn("s", s), "chrom", "idx", "s", OVERLAP, 700, 8)
+    return out.withColumn("digest", F.sha2("sequence", 256)).drop("sequence")
+
+
 @query(
     """WITH c AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::bigint AS run FROM c)
@@ -231,6 +247,13 @@ def robust_norm(spark, d):
     return z.select("event_id", F.round("z", 6).alias("z"))
 
 
+@query(SQL["robust_norm"])
+def robust_norm_hot(spark, d):
+    """Medians of users with over 40 events are selected over all tasks."""
+    z = metrics.robust_scaled(table(spark, d, "events").select("user_id", "event_id", "value"), "user_id", "value", slice_rows=40)
+    return z.select("event_id", F.round("z", 6).alias("z"))
+
+
 _LABELS = """SELECT vec_id, list_transform(range(16), lambda t: list_position(embedding[t * 4 + 1:t * 4 + 4], list_max(embedding[t * 4 + 1:t * 4 + 4])) - 1) AS labels FROM embeddings"""
 
 

@@ -110,6 +110,20 @@ def best_reads(spark, d):
     return records.best_reads(li, "l_suppkey", "l_quantity", "l_linenumber", "l_extendedprice", "l_orderkey", 10).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+@query(
+    """WITH v AS (SELECT DISTINCT l_suppkey, l_extendedprice / 100 AS q FROM lineitem),
+    a AS (SELECT *, CASE WHEN lag(q) OVER w - q <= 2.5 THEN 0 ELSE 1 END AS apart FROM v WINDOW w AS (PARTITION BY l_suppkey ORDER BY q DESC)),
+    c AS (SELECT l_suppkey, q, sum(apart) OVER (PARTITION BY l_suppkey ORDER BY q DESC ROWS UNBOUNDED PRECEDING) AS chain FROM a),
+    r AS (SELECT l_orderkey, l_linenumber, l_quantity, l_suppkey, row_number() OVER (PARTITION BY l.l_suppkey ORDER BY chain, l_linenumber DESC, l_quantity DESC, l_orderkey) AS k
+      FROM lineitem l JOIN c USING (l_suppkey) WHERE c.q = l_extendedprice / 100)
+    SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM r WHERE k <= 10"""
+)
+def best_reads_near(spark, d):
+    """Prices up to 2.50 hundreds apart are ties, in chains."""
+    li = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_extendedprice") / 100).alias("q"), "l_linenumber", "l_quantity", "l_orderkey")
+    return records.best_reads(li, "l_suppkey", "q", "l_linenumber", "l_quantity", "l_orderkey", 10, 2.5).select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+
+
 @query(
     """SELECT l_returnflag AS chr, l_partkey AS region, min(l_orderkey) AS sig_off, sum(l_quantity * 6)::bigint AS sig_len, min(l_orderkey) AS mv_off, sum(l_quantity)::bigint AS mv_len, count(*) AS count
     FROM lineitem GROUP BY l_returnflag, l_partkey"""
