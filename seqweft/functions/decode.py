@@ -88,6 +88,71 @@ def viterbi(emissions: np.ndarray, transition: np.ndarray, first: np.ndarray | N
     return path[::-1], float(score.max())
 
 
+#: Rows that are advanced together; a batch's tables have rows x frames x states cells.
+TOGETHER = 256
+
+
+def _together(rows: list[np.ndarray], width: int):
+    """Batches of rows of like length: (their places, frames of each, scores padded to (rows, frames, width)), longest first."""
+    order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
+    for at in range(0, len(order), TOGETHER):
+        places = order[at : at + TOGETHER]
+        frames = np.array([len(rows[i]) for i in places])
+        scores = np.zeros((len(places), int(frames[0]), width))
+        for k, i in enumerate(places):
+            scores[k, : frames[k]] = rows[i]
+        yield places, frames, scores
+
+
+def ctc_nll_many(rows: list[np.ndarray], labels: list[list[int]], blank: int = 0) -> list[float]:
+    """ctc_nll() of many rows, frame after frame of all of them at once."""
+    out = [0.0] * len(rows)
+    for places, frames, scores in _together(rows, rows[0].shape[1] if rows else 1):
+        most = 2 * max(len(labels[i]) for i in places) + 1
+        ext = np.full((len(places), most), blank)
+        for k, i in enumerate(places):
+            ext[k, 1 : 2 * len(labels[i]) : 2] = labels[i]
+        last = np.array([2 * len(labels[i]) for i in places])
+        skip = np.zeros(ext.shape, bool)
+        skip[:, 2:] = (ext[:, 2:] != blank) & (ext[:, 2:] != ext[:, :-2])
+        a = np.full(ext.shape, -np.inf)
+        a[:, :2] = np.take_along_axis(scores[:, 0], ext[:, :2], 1)
+        for t in range(1, scores.shape[1]):
+            n = int(np.searchsorted(-frames, -t))  # rows with a frame t
+            b = a[:n].copy()
+            b[:, 1:] = np.logaddexp(b[:, 1:], a[:n, :-1])
+            if most > 2:
+                b[:, 2:] = np.where(skip[:n, 2:], np.logaddexp(b[:, 2:], a[:n, :-2]), b[:, 2:])
+            a[:n] = b + np.take_along_axis(scores[:n, t], ext[:n], 1)
+        each = np.arange(len(places))
+        ends = np.where(last > 0, np.logaddexp(a[each, last], a[each, last - 1]), a[each, last])
+        for i, x in zip(places, ends, strict=True):
+            out[i] = -float(x)
+    return out
+
+
+def viterbi_many(rows: list[np.ndarray], transition: np.ndarray, first: np.ndarray | None = None) -> list[tuple[list[int], float]]:
+    """viterbi() of many rows, frame after frame of all of them at once."""
+    out: list = [None] * len(rows)
+    for places, frames, scores in _together(rows, len(transition)):
+        score = scores[:, 0] + (0 if first is None else first)
+        back = np.zeros(scores.shape, np.int64)
+        for t in range(1, scores.shape[1]):
+            n = int(np.searchsorted(-frames, -t))
+            both = score[:n, :, None] + transition
+            back[:n, t] = both.argmax(1)
+            score[:n] = both.max(1) + scores[:n, t]
+        state, best = score.argmax(1), score.max(1)
+        path = np.zeros(scores.shape[:2], np.int64)
+        for t in range(scores.shape[1] - 1, -1, -1):
+            n = int(np.searchsorted(-frames, -t))
+            path[:n, t] = state[:n]
+            state[:n] = back[np.arange(n), t, state[:n]]
+        for k, i in enumerate(places):
+            out[i] = (path[k, : frames[k]].tolist(), float(best[k]))
+    return out
+
+
 def enter_extend_runs(states: list[int], letters: str = "ACGT") -> tuple[str, list[int]]:
     """Runs of an enter/extend path (0-3 begin a letter, 4-7 prolong it): collapsed letters and their frames."""
     out, frames = [], []
@@ -119,6 +184,10 @@ def _matrix(x, width: int) -> np.ndarray:
     return np.asarray(x, float).reshape(-1, width)
 
 
+def _has(x) -> bool:
+    return x is not None and len(x) > 0
+
+
 def beam_udf(width: int, letters: str = "ACGT", beam: int = 100, prune: float | None = None, stay: float = 0.0, advance: float = 0.0):
     """A column of flat score arrays (frames x width) -> decoded text and its log-probability; null for null or no frames."""
 
@@ -139,8 +208,10 @@ def ctc_nll_udf(width: int):
     """Columns of flat score arrays and label arrays -> negative log-likelihood; null for nulls or no frames, infinite if the frames are too few."""
 
     def run(flat: pd.Series, labels: pd.Series) -> pd.Series:
-        none = lambda x: x is None or not len(x)
-        return pd.Series([None if none(x) or y is None else ctc_nll(log_softmax(_matrix(x, width)), [int(v) for v in y]) for x, y in zip(flat, labels, strict=True)], dtype="float64")
+        known = [i for i, (x, y) in enumerate(zip(flat, labels, strict=True)) if _has(x) and y is not None]
+        out = pd.Series([None] * len(flat), dtype="float64")
+        out.iloc[known] = ctc_nll_many([log_softmax(_matrix(flat.iloc[i], width)) for i in known], [[int(v) for v in labels.iloc[i]] for i in known])
+        return out
 
     return F.pandas_udf(run, "double")
 
@@ -154,9 +225,10 @@ def enter_extend_udf():
     first = np.array([0.0] * 4 + [-np.inf] * 4)
 
     def run(flat: pd.Series) -> pd.DataFrame:
-        rows: list[tuple] = []
-        for x in flat:
-            rows.append((None, None, None) if x is None or not len(x) else (lambda path, score: (*enter_extend_runs(path), score))(*viterbi(_matrix(x, 8), ENTER_EXTEND, first)))
+        rows: list[tuple] = [(None, None, None)] * len(flat)
+        known = [i for i, x in enumerate(flat) if _has(x)]
+        for i, (path, score) in zip(known, viterbi_many([_matrix(flat.iloc[i], 8) for i in known], ENTER_EXTEND, first), strict=True):
+            rows[i] = (*enter_extend_runs(path), score)
         return pd.DataFrame(rows, columns=["text", "frames", "score"])
 
     return F.pandas_udf(run, "text string, frames array<int>, score double")
@@ -177,12 +249,38 @@ def crf_nll(emissions: np.ndarray, labels: list[int]) -> float:
     return float("inf") if found == -np.inf else float(np.logaddexp.reduce(every) - found)
 
 
+def crf_nll_many(rows: list[np.ndarray], labels: list[list[int]]) -> list[float]:
+    """crf_nll() of many rows, frame after frame of all of them at once."""
+    out = [0.0] * len(rows)
+    for places, frames, scores in _together(rows, 8):
+        every = np.where(np.arange(8) < 4, scores[:, 0], -np.inf)
+        most = max(1, *(len(labels[i]) for i in places))
+        spelt = np.zeros((len(places), most), np.int64)
+        for k, i in enumerate(places):
+            spelt[k, : len(labels[i])] = labels[i]
+        own = np.full(spelt.shape, -np.inf)
+        own[:, 0] = np.take_along_axis(scores[:, 0], spelt[:, :1], 1)[:, 0]
+        for t in range(1, scores.shape[1]):
+            n = int(np.searchsorted(-frames, -t))
+            every[:n] = np.logaddexp.reduce(every[:n, :, None] + ENTER_EXTEND, 1) + scores[:n, t]
+            begun = np.full((n, most), -np.inf)
+            begun[:, 1:] = own[:n, :-1]
+            own[:n] = np.logaddexp(begun + np.take_along_axis(scores[:n, t], spelt[:n], 1), own[:n] + np.take_along_axis(scores[:n, t], spelt[:n] + 4, 1))
+        total = np.logaddexp.reduce(every, 1)
+        for k, i in enumerate(places):
+            found = own[k, len(labels[i]) - 1] if len(labels[i]) else -np.inf
+            out[i] = float("inf") if found == -np.inf else float(total[k] - found)
+    return out
+
+
 def crf_nll_udf():
     """Columns of flat arrays (frames x 8 state scores) and label arrays (0 to 3) -> crf_nll; null for nulls or no frames."""
 
     def run(flat: pd.Series, labels: pd.Series) -> pd.Series:
-        none = lambda x: x is None or not len(x)
-        return pd.Series([None if none(x) or y is None else crf_nll(_matrix(x, 8), [int(v) for v in y]) for x, y in zip(flat, labels, strict=True)], dtype="float64")
+        known = [i for i, (x, y) in enumerate(zip(flat, labels, strict=True)) if _has(x) and y is not None]
+        out = pd.Series([None] * len(flat), dtype="float64")
+        out.iloc[known] = crf_nll_many([_matrix(flat.iloc[i], 8) for i in known], [[int(v) for v in labels.iloc[i]] for i in known])
+        return out
 
     return F.pandas_udf(run, "double")
 
@@ -202,12 +300,9 @@ def blank_viterbi_udf(width: int, letters: str = "ACGT"):
     """A column of flat arrays (frames x width, class 0 blank) -> letters and frames of each by the best path, where equal neighbours are one letter and blanks part them."""
 
     def run(flat: pd.Series) -> pd.DataFrame:
-        rows: list[tuple] = []
-        for x in flat:
-            if x is None or not len(x):
-                rows.append((None, None, None))
-                continue
-            path, score = viterbi(_matrix(x, width), np.zeros((width, width)))
+        rows: list[tuple] = [(None, None, None)] * len(flat)
+        known = [i for i, x in enumerate(flat) if _has(x)]
+        for i, (path, score) in zip(known, viterbi_many([_matrix(flat.iloc[i], width) for i in known], np.zeros((width, width))), strict=True):
             text, frames, last = "", [], 0
             for s in path:
                 if s and s == last:
@@ -215,7 +310,7 @@ def blank_viterbi_udf(width: int, letters: str = "ACGT"):
                 elif s:
                     text, frames = text + (letters[s - 1] if s <= len(letters) else "N"), [*frames, 1]
                 last = s
-            rows.append((text, frames, score))
+            rows[i] = (text, frames, score)
         return pd.DataFrame(rows, columns=["text", "frames", "score"])
 
     return F.pandas_udf(run, "text string, frames array<int>, score double")
