@@ -22,6 +22,11 @@ def long_enough(length: Column, span: Column, ratio: float = 0.9) -> Column:
     return length >= F.greatest(F.ceil(span * F.lit(float(ratio))), F.lit(1))
 
 
+def long_enough_region(length: Column, start: Column, end: Column, ratio: float = 0.9) -> Column:
+    """long_enough() for regions, whose span is end - start without the last place."""
+    return long_enough(length, end - start, ratio)
+
+
 def only_acgt(seq: Column) -> Column:
     return ~seq.rlike("[^ACGT]")
 

@@ -53,3 +53,14 @@ def node_places(nodes: DataFrame, references: DataFrame, region: str = "region")
     """(region, node, hap, place): where each node's letters first stand in each reference of its region, 1-based; others are left out."""
     r = references.select(region, "hap", F.col("seq").alias("reference_"))
     return nodes.join(r, region).withColumn("place", F.instr("reference_", F.col("seq"))).where("place > 0").select(region, "node", "hap", "place")
+
+
+def gfa_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(value): S lines of nodes (node, seq) and L lines of edges (source, source_strand, target, target_strand), behind them."""
+    s = nodes.select(F.concat_ws("\t", F.lit("S"), "node", "seq").alias("value"))
+    return s.union(edges.select(F.concat_ws("\t", F.lit("L"), "source", "source_strand", "target", "target_strand", F.lit("0M")).alias("value")))
+
+
+def json_lines(df: DataFrame, *by: str) -> DataFrame:
+    """(by, value): each row as one JSON object, nulls included, beside the columns that name its file."""
+    return df.select(*by, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))

@@ -143,3 +143,13 @@ def loss_averages(df: DataFrame, epoch: str, loss: str, weight: str) -> DataFram
 
 def mean_squared_error(df: DataFrame, target: str, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg((F.col(value) - F.col(target)) * (F.col(value) - F.col(target))).alias("mse"))
+
+
+def collated(df: DataFrame, part: str, values: str, fill: float = 0.0) -> DataFrame:
+    """df with each row's values filled up to the longest of its part, and `padding`, true where they were filled; null values are all filled."""
+    size = F.coalesce(F.size(F.coalesce(F.col(values), F.array().cast("array<double>"))), F.lit(0))
+    longest = df.groupBy(F.col(part).alias("of_")).agg(F.max(size).alias("longest_"))
+    rows = df.join(longest, df[part].eqNullSafe(longest["of_"])).drop("of_").withColumn("size_", size)
+    mask = F.transform(F.sequence(F.lit(1), F.greatest("longest_", F.lit(1))), lambda i: i > F.col("size_"))
+    rows = rows.withColumn("padding", F.slice(mask, F.lit(1), F.col("longest_")))
+    return rows.withColumn(values, sq.padded(F.coalesce(F.col(values), F.array().cast("array<double>")), F.col("longest_"), fill)).drop("size_", "longest_")

@@ -38,3 +38,24 @@ def test_chunks_are_the_stitched_sequence(spark, chunk, slice_rows):
         made.setdefault((r.p, r.first_idx), []).append(r.sequence)
     assert {k: "".join(v) for k, v in made.items()} == want
     assert all(len(x) == chunk for v in made.values() for x in v[:-1])
+
+
+def test_missing_keys_are_errors(spark):
+    from seqweft.operators import keyed
+
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    names = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, name string")
+    assert {(r.v, r.name) for r in keyed.mapped(df.where("k is not null"), names, "k").collect()} == {(1, "x"), (2, "y")}
+    with pytest.raises(Exception, match="no name for null"):
+        keyed.mapped(df, names, "k", "name").collect()
+    assert keyed.allowed(df, ["a", "a"], "k").count() == 1
+    with pytest.raises(Exception, match="1 keys are missing"):
+        keyed.allowed(df, ["a", "z"], "k").collect()
+    twice = df.union(df.where("k = 'a'").withColumn("v", F.lit(0)))
+    assert [(r.k, r.v) for r in keyed.first_present(twice, names, "k", "v").orderBy("k").collect()] == [("a", 0), ("b", 2)]
+
+
+def test_collated_rows_have_masks(spark):
+    df = spark.createDataFrame([("p", 1, [1.0, 2.0]), ("p", 2, None), ("q", 3, []), (None, 4, [5.0])], "part string, id int, v array<double>")
+    got = {r.id: (r.v, r.padding) for r in metrics.collated(df, "part", "v").collect()}
+    assert got == {1: ([1.0, 2.0], [False, False]), 2: ([0.0, 0.0], [True, True]), 3: ([], []), 4: ([5.0], [False])}

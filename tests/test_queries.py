@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from seqweft.plans import columns, evaluation, queries, records, sources  # noqa: F401
+from seqweft.plans import columns, evaluation, joins, queries, records, sources  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
