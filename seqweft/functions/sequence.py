@@ -234,12 +234,16 @@ def from_nibbles(codes: Column) -> Column:
 
 def base_codes(seq: Column, unknown: int = 4) -> Column:
     """A, C, G, T in any case as 0 to 3, others as `unknown`."""
-    return F.transform(letters(F.upper(seq)), lambda x: F.coalesce(F.nullif(F.instr(F.lit(BASES), x), F.lit(0)) - 1, F.lit(unknown)))
+    if not 0 <= unknown <= 9:
+        return F.transform(letters(F.upper(seq)), lambda x: F.coalesce(F.nullif(F.instr(F.lit(BASES), x), F.lit(0)) - 1, F.lit(unknown)))
+    digits = F.translate(F.regexp_replace(F.upper(seq), f"[^{BASES}]", str(unknown)), BASES, "0123")
+    return F.when(digits == "", F.array().cast("array<int>")).otherwise(F.split(digits, "").cast("array<int>"))
 
 
 def from_base_codes(codes: Column) -> Column:
     """0 to 3 as letters, others as N."""
-    return F.array_join(F.transform(codes, lambda x: F.when(x.between(0, 3), F.substring(F.lit(BASES), x.cast("int") + 1, F.lit(1))).otherwise("N")), "")
+    spaced = F.array_join(codes.cast("array<string>"), " ", "N")
+    return F.translate(F.regexp_replace(spaced, r"(?<!\S)(?![0-3](?!\S))\S+", "N"), "0123 ", BASES)
 
 
 def one_hot(codes: Column, width: int = 4) -> Column:

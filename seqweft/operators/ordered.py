@@ -65,14 +65,33 @@ def stitch(df: DataFrame, part: str, idx: str, seq: str, overlap: int, start: st
     return g.select(part, first["i"].alias("first_idx"), last["i"].alias("last_idx"), first["a"].alias("seg_start"), last["b"].alias("seg_end"), F.concat(first["s"], F.array_join(tail, "")).alias("sequence"))
 
 
-def stitch_chunks(df: DataFrame, part: str, idx: str, seq: str, overlap: int, chunk: int = 1 << 20, slice_rows: int = 1 << 20) -> DataFrame:
+def _with_breaks(kept: DataFrame, part: str, idx: str, seq: str, overlap: int) -> DataFrame:
+    """kept with break_ 1 where a piece does not go on from the one before; an error where that one has less than two overlaps' letters."""
+    before = kept.select(F.col(part).alias("of_"), (F.col(idx) + 1).alias("after_"), F.right(F.col(seq), F.lit(overlap)).alias("tail_"), F.length(seq).alias("size_"))
+    rows = kept.join(before, F.col(part).eqNullSafe(F.col("of_")) & (F.col(idx) == F.col("after_")), "left")
+    short = F.raise_error(F.concat(F.lit("a piece shorter than two overlaps at "), (F.col(idx) - 1).cast("string"))).cast("int")
+    apart = F.levenshtein("tail_", F.left(F.col(seq), F.lit(overlap))) > max(1, int(overlap * 0.1))
+    mark = F.when(F.col("size_") < 2 * overlap, short).when(apart, 1).otherwise(0).cast("long")
+    return rows.withColumn("break_", mark).drop("of_", "after_", "tail_", "size_")
+
+
+def stitch_chunks(df: DataFrame, part: str, idx: str, seq: str, overlap: int, chunk: int = 1 << 20, slice_rows: int = 1 << 20, checked: bool = False) -> DataFrame:
     """What stitch() joins, as rows (part, first_idx, chunk, sequence) of `chunk` letters each, the last of an island shorter.
 
     Nothing meets but the pieces of one chunk: islands are numbered and the places of their pieces summed by slices, so an
     island of any length is the work of many tasks. Chunks in their order, joined, are the island's sequence.
+
+    With checked, an island also ends where a piece's first letters differ from the end of the piece before by more than a
+    tenth of the overlap, as in stitch_checked(). Pieces that others follow then need two overlaps' letters, so that the
+    sequence's end is the piece's own; a shorter one is an error.
     """
     kept = df.select(part, idx, seq).where(F.coalesce(F.length(seq), F.lit(0)) > 0)
+    if checked:
+        kept = _with_breaks(kept, part, idx, seq, overlap)
     runs = numbered(kept, part, [idx], "k_", slice_rows).withColumn("run_", F.struct(F.col(part).alias("p"), (F.col(idx) - F.col("k_")).alias("i"))).drop("k_")
+    if checked:
+        runs = offset_plan(runs, part, "break_", [idx], "breaks_", slice_rows)
+        runs = runs.withColumn("run_", F.struct("run_.p", "run_.i", (F.col("breaks_") + F.col("break_")).alias("b"))).drop("breaks_", "break_")
     firsts = runs.groupBy(F.col("run_").alias("of_")).agg(F.min(idx).alias("first_idx"))
     runs = runs.join(firsts, runs["run_"].eqNullSafe(firsts["of_"])).drop("of_")
     runs = runs.withColumn("text_", F.when(F.col(idx) == F.col("first_idx"), F.col(seq)).otherwise(F.substring(seq, overlap + 1, 1 << 30))).drop(seq)

@@ -68,7 +68,7 @@ def squared_errors(spark, d):
 )
 def base_codes(spark, d):
     x = table(spark, d, "documents").select("doc_id", sq.base_codes(F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))).alias("c"))
-    return x.select("doc_id", F.array_join(F.transform("c", lambda v: v.cast("string")), "").alias("codes"), sq.from_base_codes(F.col("c")).alias("back"))
+    return x.select("doc_id", F.array_join(F.col("c").cast("array<string>"), "").alias("codes"), sq.from_base_codes(F.col("c")).alias("back"))
 
 
 @query(

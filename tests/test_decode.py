@@ -71,3 +71,16 @@ def test_prefix_beam_rows(spark):
         top = max(sums, key=sums.get)
         found, p = decode.prefix_beam(lp[:4], 300)
         assert tuple(found) == top and np.isclose(p, np.log(sums[top]))
+
+
+def test_base_codes(spark):
+    from pyspark.sql import functions as F
+
+    from seqweft.functions import sequence as sq
+
+    df = spark.createDataFrame([("acGTNé日x",), ("",), (None,), ("A",)], "s string")
+    for unknown in (4, 9, -1, 12):
+        got = [r.c for r in df.select(sq.base_codes(F.col("s"), unknown).alias("c")).collect()]
+        assert got == [[0, 1, 2, 3, *[unknown] * 4], [], None, [0]]
+    codes = spark.createDataFrame([([0, 1, 2, 3, 4, -1, 12, None, 30, 0],), ([],), (None,), ([13],)], "c array<int>")
+    assert [r.s for r in codes.select(sq.from_base_codes(F.col("c")).alias("s")).collect()] == ["ACGTNNNNNA", "", None, "N"]

@@ -59,3 +59,28 @@ def test_collated_rows_have_masks(spark):
     df = spark.createDataFrame([("p", 1, [1.0, 2.0]), ("p", 2, None), ("q", 3, []), (None, 4, [5.0])], "part string, id int, v array<double>")
     got = {r.id: (r.v, r.padding) for r in metrics.collated(df, "part", "v").collect()}
     assert got == {1: ([1.0, 2.0], [False, False]), 2: ([0.0, 0.0], [True, True]), 3: ([], []), 4: ([5.0], [False])}
+
+
+def test_checked_chunks_are_the_checked_fold(spark):
+    from seqweft.operators import assembly
+
+    rnd = random.Random(12)
+    rows = []
+    for p in ("x", "y"):
+        whole = "".join(rnd.choice("ACGT") for _ in range(4_000))
+        for i in range(80):
+            s = whole[i * 40 : i * 40 + 60]  # overlaps of 20 letters
+            if rnd.random() < 0.3:
+                at = rnd.randrange(20)
+                s = s[:at] + rnd.choice(["", "A", "ACGT" * 3]) + s[at + 1 :]
+            rows.append((p, i, "" if rnd.random() < 0.05 else s))
+    df = spark.createDataFrame(rows, "p string, i long, s string").repartition(3)
+    want = {(r.p, r.first_idx): r.sequence for r in assembly.stitch_checked(df, "p", "i", "s", 20).collect()}
+    assert len(want) > 10
+    made: dict = {}
+    for r in ordered.stitch_chunks(df, "p", "i", "s", 20, 50, 16, checked=True).orderBy("chunk").collect():
+        made.setdefault((r.p, r.first_idx), []).append(r.sequence)
+    assert {k: "".join(v) for k, v in made.items()} == want
+    short = spark.createDataFrame([("x", 0, "ACGTACG"), ("x", 1, "ACGTACGT" * 9)], "p string, i long, s string")
+    with pytest.raises(Exception, match="shorter than two overlaps"):
+        ordered.stitch_chunks(short, "p", "i", "s", 20, checked=True).collect()
