@@ -28,8 +28,8 @@ from .common import stash, string_array
 
 #: Lengths above this share of the capacity are large.
 LARGE = 1 / 4
-#: Groups of large lengths, and columns that the linear programme adds at most.
-GROUPS, COLUMNS = 32, 300
+#: Groups of large lengths, and columns that the linear programme adds at most (far more than it took on any histogram tried).
+GROUPS, COLUMNS = 64, 2_000
 
 
 class WordBpe:
@@ -234,12 +234,12 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
 
 
 def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> tuple[np.ndarray, int]:
-    """Places (length, first rank, first sequence, offset, how many) and the number of sequences."""
+    """Places (length, first rank, first sequence, offset, how many) and the number of sequences. Without groups all lengths go by best fit."""
     runs = _Runs(capacity)
     left = {x: n for x, n in histogram.items() if n}
     if left.get(capacity):
         runs.open(left.pop(capacity), [capacity])
-    large = sorted(x for x in left if x > capacity * LARGE)
+    large = sorted(x for x in left if x > capacity * LARGE) if groups else []
     if large:
         stock = [left.pop(x) for x in large]
         each = -(-sum(stock) // groups)
@@ -285,6 +285,11 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> tupl
     return runs.places(), runs.sequences
 
 
+def least_plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """The plan with groups, or with none where rounding up costs more than configurations save: the one of fewer sequences."""
+    return min((plan(histogram, capacity, groups) for groups in (GROUPS, 0)), key=lambda p: p[1])
+
+
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """pieces (any columns, with longs length, from 1 to capacity, and key_, unique) with sequence_id and offset.
 
@@ -294,7 +299,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places, _ = plan(histogram, capacity)
+    places, _ = least_plan(histogram, capacity)
     buckets = max(64, sum(histogram.values()) // 50_000)
     rows = pieces.withColumn("bucket_", F.pmod(F.xxhash64("key_"), F.lit(buckets)))
     total = rows.groupBy("length", "bucket_").agg(F.count(F.lit(1)).alias("n_"))
