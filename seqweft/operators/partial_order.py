@@ -13,8 +13,10 @@ from . import ordered
 
 #: Columns that a row of the alignment has on each side of where its best score is expected: so many, and this share of the read.
 BAND = (10, 0.01)
-#: Cells of tables that are held at once, 4 bytes each (one window may need more), and squared letters of a task.
-CELLS, WORK = 12_000_000, 20_000_000
+#: Cells of tables that are held at once, 2 bytes each, 4 where scores need them (one window may need more), and squared letters of a task.
+CELLS, WORK = 48_000_000, 400_000_000
+#: Letters of the windows that are advanced together; so many rows of a level are filled at once no slower than each by itself.
+LETTERS, ROWS = 400_000, 14
 _NEVER = -(1 << 29)
 
 
@@ -24,12 +26,12 @@ class Graph:
     def __init__(self):
         self.base: list[str] = []
         self.before: list[dict[int, int]] = []
-        self.aligned: list[set[int]] = []
+        self.aligned: list[dict[str, int] | None] = []
 
     def node(self, letter: str) -> int:
         self.base.append(letter)
         self.before.append({})
-        self.aligned.append(set())
+        self.aligned.append(None)
         return len(self.base) - 1
 
     def thread(self, path: list[int], weight: int) -> None:
@@ -61,131 +63,293 @@ class Graph:
         inner = {p for b in self.before for p in b}
         return [n for n in range(len(self.base)) if n not in inner]
 
-    def heaviest(self) -> str:
-        best: dict[int, tuple[int, int]] = {}
-        for n in self.order():
-            best[n] = max(((best[p][0] + w, p) for p, w in self.before[n].items()), key=lambda t: (t[0], self.before[n].get(t[1], 0), -t[1]), default=(0, -1))
-        at = max(best, key=lambda n: (best[n][0], -n), default=-1)
+    def heaviest(self, order: list[int] | None = None) -> str:
+        most, back = [0] * len(self.base), [-1] * len(self.base)
+        for n in self.order() if order is None else order:
+            top = None
+            for p, w in self.before[n].items():
+                this = (most[p] + w, w, -p)
+                if top is None or this > top:
+                    top = this
+            if top:
+                most[n], back[n] = top[0], -top[2]
+        at = most.index(max(most)) if most else -1
         out = []
         while at != -1:
             out.append(self.base[at])
-            at = best[at][1]
+            at = back[at]
         return "".join(reversed(out))
 
 
-def _profile(read: str, letters: set[str], gain: tuple[int, int]) -> dict[str, np.ndarray]:
-    """For each letter what a step into each of the read's columns earns."""
-    codes = np.frombuffer(read.encode("utf-32-le"), np.uint32)
-    return {c: np.where(codes == ord(c), *gain).astype(np.int32) for c in letters}
-
-
 # Scores in both tables are less gap * column, so that insertions cost nothing and run along a row as its running maximum.
 
 
-def _banded(g: Graph, topo: list[int], read: str, width: int, score: tuple[int, int, int]):
-    """One window's table in the band: (node, column) -> score. Rows go `width` beyond the peaks of those before them."""
+def _banded(g: Graph, level: np.ndarray, read: str, width: int, score: tuple[int, int, int]):
+    """One window's table in the band, a row at a time: (node, column) -> score. Rows go `width` beyond the peaks of those before them."""
     match, mismatch, gap = score
     m = len(read)
-    earn = _profile(read, set(g.base), (match - gap, mismatch - gap))
-    rows = {-1: (0, np.zeros(min(m, width) + 1, np.int32))}
-    peak = {-1: 0}
+    codes = np.frombuffer(read.encode("utf-32-le"), np.uint32)
+    earn = {c: np.where(codes == ord(c), np.int32(match - gap), np.int32(mismatch - gap)) for c in set(g.base)}
+    count = len(g.base)
+    first, peak = [0] * (count + 1), [0] * (count + 1)  # the last is the start
+    rows: list = [None] * count + [np.zeros(min(m, width) + 1, np.int32)]
     slope = gap * np.arange(m + 1, dtype=np.int32)
-    for n in topo:
-        parents = list(g.before[n]) or [-1]
-        tops = [peak[p] for p in parents]
-        lo, hi = max(0, min(tops) + 1 - width), min(m, max(tops) + 1 + width)
-        above = np.full(hi - lo + 2, _NEVER, np.int32)  # columns lo - 1 to hi
+    cells = np.empty(m + 2, np.int32)
+    base, before, maximum, running, start = g.base, g.before, np.maximum, np.maximum.accumulate, (-1,)
+    for n in level.argsort(kind="stable").tolist():
+        parents = before[n] or start
+        if len(parents) == 1:
+            (p,) = parents
+            low = high = peak[p]
+        else:
+            tops = [peak[p] for p in parents]
+            low, high = min(tops), max(tops)
+        lo, hi = max(0, low + 1 - width), min(m, high + 1 + width)
+        above = cells[: hi - lo + 2]  # columns lo - 1 to hi
+        above.fill(_NEVER)
         for p in parents:
-            first, row = rows[p]
-            x, y = max(lo - 1, first), min(hi, first + len(row) - 1)
-            if x <= y:
-                part = above[x - lo + 1 : y - lo + 2]
-                np.maximum(part, row[x - first : y - first + 1], out=part)
+            x, row = lo - 1 - first[p], rows[p]
+            part = row[max(x, 0) : x + len(above)]
+            at = max(-x, 0)
+            if len(parents) == 1:
+                above[at : at + len(part)] = part
+            else:
+                into = above[at : at + len(part)]
+                maximum(into, part, out=into)
         free = above[1:] + gap
-        start = max(lo, 1)
-        inner = free[start - lo :]
-        np.maximum(inner, above[start - lo : -1] + earn[g.base[n]][start - 1 : hi], out=inner)
-        np.maximum.accumulate(free, out=free)
-        rows[n] = (lo, free)
+        if lo:
+            step = earn[base[n]][lo - 1 : hi]
+            maximum(free, step + above[:-1], out=free)
+        else:
+            inner = free[1:]
+            maximum(inner, earn[base[n]][:hi] + above[1:-1], out=inner)
+        running(free, out=free)
+        first[n], rows[n] = lo, free
         peak[n] = lo + int((free + slope[lo : hi + 1]).argmax())
 
     def at_column(n: int, j: int) -> int:
-        first, row = rows[n]
-        return int(row[j - first]) + gap * j if first <= j < first + len(row) else _NEVER
+        x = j - first[n]
+        return int(rows[n][x]) + gap * j if 0 <= x < len(rows[n]) else _NEVER
 
     return at_column
 
 
-def _full(jobs: list[tuple[Graph, list[int], str]], score: tuple[int, int, int]) -> list:
-    """Whole tables of many windows, row k of all of them at once: jobs (graph, its order, read) by falling number of nodes."""
-    match, mismatch, gap = score
-    most, wide = len(jobs[0][1]), max(len(r) for *_, r in jobs)
-    rows = np.empty((len(jobs), most + 1, wide + 1), np.int32)
-    rows[:, 0] = 0
-    letters = sorted({c for g, *_ in jobs for c in g.base})
-    number = {c: i for i, c in enumerate(letters)}
-    earn = np.full((len(jobs), len(letters), wide), mismatch - gap, np.int32)
-    base = np.zeros((most + 1, len(jobs)), np.int64)
-    places, first = [], np.zeros((most + 1, len(jobs)), np.int64)
-    more: list[list[tuple[int, int]]] = [[] for _ in range(most + 1)]  # of row k: (window, row) of a node's second parent and on
-    for b, (g, topo, read) in enumerate(jobs):
-        codes = np.array([number.get(c, -1) for c in read])
-        known = np.flatnonzero(codes >= 0)
-        earn[b, codes[known], known] = match - gap
-        place = [0] * (len(g.base) + 1)  # place[-1] is the start's row
-        for k, n in enumerate(topo, 1):
-            place[n] = k
-            base[k, b] = number[g.base[n]]
-            parents = list(g.before[n]) or (-1,)
-            first[k, b] = place[parents[0]]
-            more[k].extend((b, place[p]) for p in parents[1:])
-        places.append(place)
-    active = np.array([len(t) for _, t, _ in jobs])
-    every = np.arange(len(jobs))
-    for k in range(1, most + 1):
-        n = int(np.searchsorted(-active, -k, "right"))  # windows with a row k
-        above = rows[every[:n], first[k, :n]]
-        for b, r in more[k]:
-            np.maximum(above[b], rows[b, r], out=above[b])
-        step = earn[every[:n], base[k, :n]]
-        step += above[:, :-1]
-        above += gap
-        np.maximum(above[:, 1:], step, out=above[:, 1:])
-        np.maximum.accumulate(above, 1, out=rows[:n, k])
-
-    def table(b: int):
-        mine, place, m = rows[b], places[b], len(jobs[b][2])
-        return lambda n, j: int(mine[place[n], j]) + gap * j if 0 <= j <= m else _NEVER
-
-    return [table(b) for b in range(len(jobs))]
+def _level(g: Graph) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    before, level = g.before, [0] * len(g.base)
+    for n in g.order():
+        for p in before[n]:
+            if level[p] >= level[n]:
+                level[n] = level[p] + 1
+    return np.array(level, np.int64), np.fromiter(map(len, before), np.int64, len(before)), np.fromiter((p for b in before for p in b), np.int64)
+
+
+def _levels(graphs: list[Graph]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each graph (steps of the longest way to each node, its number of parents, all parents); a step in all graphs at once."""
+    if len(graphs) < 5:
+        return [_level(g) for g in graphs]
+    sizes = [len(g.base) for g in graphs]
+    starts = np.cumsum([0, *sizes])
+    count = int(starts[-1])
+    degree = np.fromiter((len(b) for g in graphs for b in g.before), np.int64, count)
+    own = [np.fromiter((p for b in g.before for p in b), np.int64) for g in graphs]
+    source = np.concatenate([p + o for p, o in zip(own, starts, strict=False)])
+    into = np.repeat(np.arange(count), degree)[np.argsort(source, kind="stable")]
+    out = np.bincount(source, minlength=count)
+    first = np.cumsum(out) - out
+    left, level, mark = degree.copy(), np.zeros(count, np.int64), np.zeros(count, np.int64)
+    now, step = np.flatnonzero(degree == 0), 0
+    while len(now):
+        level[now] = step
+        step += 1
+        many = out[now]
+        ends = many.cumsum()
+        nodes = into[np.repeat(first[now] - ends + many, many) + np.arange(ends[-1])]
+        np.subtract.at(left, nodes, 1)
+        nodes = nodes[left[nodes] == 0]
+        turn = np.arange(len(nodes))
+        mark[nodes] = turn
+        now = nodes[mark[nodes] == turn]  # each once
+    return [(level[x:y], degree[x:y], p) for x, y, p in zip(starts, starts[1:], own, strict=False)]
+
+
+class _Rows:
+    """The tables of many windows as rows of one: the windows' starts, then all nodes by level, so that a level is filled at once.
+
+    Jobs are (graph, what _levels gives of it, read). Rows of a level with more parents come first: its k-th parents, which
+    stand together, belong to its first rows.
+    """
+
+    def __init__(self, jobs: list[tuple[Graph, tuple, str]], score: tuple[int, int, int]):
+        match, mismatch, self.gap = score
+        many = len(jobs)
+        sizes = np.array([len(g.base) for g, *_ in jobs])
+        window = np.repeat(np.arange(many), sizes)
+        level, degree = (np.concatenate([x[i] for _, x, _ in jobs]) for i in (0, 1))
+        order = np.lexsort((-degree, level))
+        self.count = many + len(order)
+        row = np.empty(len(order), np.int64)
+        row[order] = np.arange(many, self.count)
+        offsets = np.cumsum(sizes) - sizes
+        root = np.flatnonzero(degree == 0)
+        child = np.concatenate([np.repeat(np.arange(len(order)), degree), root])
+        parent = np.concatenate([row[np.concatenate([x[2] + o for (_, x, _), o in zip(jobs, offsets, strict=True)])], window[root]])
+        slot = np.concatenate([np.arange(len(child) - len(root)) - np.repeat(np.cumsum(degree) - degree, degree), np.zeros(len(root), np.int64)])
+        dealt = np.lexsort((row[child], slot, level[child]))
+        self.parent = parent[dealt]
+        most = int(slot.max()) + 1
+        cell, first = np.unique((level[child] * most + slot)[dealt], return_index=True)
+        self.steps: list[tuple[int, int, list[tuple[int, int]]]] = []  # (first row, row behind the last, where parents of each place stand)
+        at = many
+        for c, u, v in zip(cell.tolist(), first.tolist(), [*first[1:].tolist(), len(dealt)], strict=True):
+            if c % most == 0:
+                self.steps.append((at, at + v - u, []))
+                at += v - u
+            self.steps[-1][2].append((u, v))
+        self.place = [[*row[o : o + n].tolist(), b] for b, (o, n) in enumerate(zip(offsets.tolist(), sizes.tolist(), strict=True))]  # place[-1] is the start's row
+        self.window = np.concatenate([np.arange(many), window[order]])
+        self.letters = [len(r) for *_, r in jobs]
+        self.wide = max(self.letters) + 1
+        points = [np.frombuffer("".join(g.base).encode("utf-32-le"), np.uint32).astype(np.int64) for g, *_ in jobs]
+        keys, self.letter = np.unique((window << 32 | np.concatenate(points))[order], return_inverse=True)
+        self.letter = np.concatenate([np.zeros(many, np.int64), self.letter])
+        up, down = max(match - self.gap, mismatch - self.gap, 0), min(self.gap, mismatch - self.gap, 0)
+        short = up * self.wide - down * (len(self.steps) + 2) < 31_000 and down > -500
+        self.kind, self.never = (np.int16, -32_000) if short else (np.int32, _NEVER)
+        self.unreached = self.never + up * self.wide  # nothing that begins outside a band gets above it
+        # what a step into each column earns, by window and letter; column 0 has no such step
+        reads = np.full((many, self.wide), -1, np.int64)
+        for b, (*_, r) in enumerate(jobs):
+            reads[b, 1 : len(r) + 1] = np.frombuffer(r.encode("utf-32-le"), np.uint32)
+        self.earn = np.where(reads[keys >> 32] == (keys & 0xFFFFFFFF)[:, None], self.kind(match - self.gap), self.kind(mismatch - self.gap))
+
+    def whole(self) -> list:
+        """Of each window (node, column) -> score."""
+        t, parent, gap = np.empty((self.count, self.wide), self.kind), self.parent, self.gap
+        t[: len(self.place)] = 0
+        earn = np.ascontiguousarray(self.earn[:, 1:])
+        for s, e, places in self.steps:
+            u, v = places[0]
+            above = t[parent[u:v]]
+            for u, v in places[1:]:
+                np.maximum(above[: v - u], t[parent[u:v]], out=above[: v - u])
+            step = earn[self.letter[s:e]]
+            step += above[:, :-1]
+            above += gap
+            np.maximum(above[:, 1:], step, out=above[:, 1:])
+            np.maximum.accumulate(above, 1, out=t[s:e])
+        cells, gap = memoryview(t.reshape(-1)), self.gap
+
+        def reader(b: int):
+            base = [r * self.wide for r in self.place[b]]
+            return lambda n, j: cells[base[n] + j] + gap * j
+
+        return [reader(b) for b in range(len(self.place))]
+
+    def banded(self, widths: list[int]) -> list | None:
+        """The same in the bands: rows go the window's width beyond the peaks of those before them; cells outside are `never`.
+
+        None where many windows' rows have more than CELLS cells.
+        """
+        never, gap, parent, wide = self.never, self.gap, self.parent, self.wide
+        earn = np.concatenate([self.earn.reshape(-1), self.earn[0]])
+        beyond, last = np.array(widths)[self.window] + 1, np.array(self.letters)[self.window]
+        # cells of all rows behind one another, each with one before and one behind it that is `never`
+        size = (last[: len(self.place)] + 1).clip(max=beyond[: len(self.place)])
+        flat = np.full(max(int(size.sum()) + 2 * len(size), 3 * self.count * max(widths)), never, self.kind)
+        first, length, base, peak = (np.zeros(self.count, np.int64) for _ in range(4))  # of a row: its first column, its columns, where that is, its best
+        length[: len(size)] = size
+        base[: len(size)] = np.cumsum(size + 2) - size - 1
+        for x, n in zip(base.tolist(), size.tolist(), strict=False):
+            flat[x : x + n] = 0
+        used = int(size.sum()) + 2 * len(size)
+        earned = self.letter * wide
+        columns, slope = np.arange(wide + 1), gap * np.arange(wide, dtype=np.int32)
+        for s, e, places in self.steps:
+            ups = [parent[u:v] for u, v in places]
+            low = high = peak[ups[0]]
+            if len(ups) > 1:
+                high = low.copy()
+                for p in ups[1:]:
+                    tops = peak[p]
+                    np.minimum(low[: len(p)], tops, out=low[: len(p)])
+                    np.maximum(high[: len(p)], tops, out=high[: len(p)])
+            width = beyond[s:e]
+            lo, hi = np.maximum(low - width + 2, 0), np.minimum(high + width, last[s:e])
+            long = hi - lo + 1
+            n, even = int(long.max()), int(long.min())
+            above = None
+            for p in ups:  # from a column before on
+                cells = columns[: n + 1] + (lo[: len(p)] - first[p] - 1)[:, None]
+                np.maximum(cells, -1, out=cells)
+                np.minimum(cells, length[p][:, None], out=cells)
+                cells += base[p][:, None]
+                if above is None:
+                    above = flat.take(cells, mode="clip")
+                else:
+                    np.maximum(above[: len(p)], flat.take(cells, mode="clip"), out=above[: len(p)])
+            free = above[:, 1:] + gap
+            step = np.ndarray((earn.size - n + 1, n), earn.dtype, earn, 0, (earn.itemsize,) * 2)[earned[s:e] + lo]  # [x] is earn[x : x + n]
+            step += above[:, :-1]
+            np.maximum(free, step, out=free)
+            np.maximum(free, never, out=free)
+            np.maximum.accumulate(free, 1, out=free)
+            if even < n:
+                np.copyto(free, never, where=columns[:n] >= long[:, None])
+            if used + (e - s) * (n + 2) > len(flat):
+                if len(flat) > CELLS and len(self.place) > 1:
+                    return None
+                flat = np.concatenate([flat, np.full((e - s) * (n + 2) + len(flat) // 2, never, self.kind)])
+            flat[used : used + (e - s) * (n + 2)].reshape(e - s, n + 2)[:, 1:-1] = free
+            base[s:e] = np.arange(used + 1, used + (e - s) * (n + 2), n + 2)
+            used += (e - s) * (n + 2)
+            first[s:e], length[s:e] = lo, n
+            peak[s:e] = (free + slope[:n]).argmax(1) + lo
+        return [self._band_reader(b, flat, first, length, base) for b in range(len(self.place))]
+
+    def _band_reader(self, b: int, flat: np.ndarray, first: np.ndarray, length: np.ndarray, base: np.ndarray):
+        mine, cells, gap, never = self.place[b], memoryview(flat), self.gap, self.never
+        first, length, base = first[mine].tolist(), length[mine].tolist(), base[mine].tolist()
+
+        def at_column(n: int, j: int) -> int:
+            x = j - first[n]
+            return cells[base[n] + x] + gap * j if 0 <= x < length[n] else never + gap * j
+
+        return at_column
 
 
 def _trace(g: Graph, read: str, at_column, end: int, score: tuple[int, int, int]) -> list[int]:
     """The read's nodes along the best path: old ones where letters agree, new ones elsewhere."""
     match, mismatch, gap = score
     at, j, path = end, len(read), []
-    while at != -1 or j:
-        kind, p = 0, -1
-        if at != -1:
-            here, sub = at_column(at, j), match if j and g.base[at] == read[j - 1] else mismatch
-            parents = sorted(g.before[at]) or [-1]
-            kind, p = next(((2, q) for q in parents if j and at_column(q, j - 1) + sub == here), None) or next(((1, q) for q in parents if at_column(q, j) + gap == here), (0, -1))
-        if kind == 2:
-            c = read[j - 1]
-            same = at if g.base[at] == c else next((x for x in sorted(g.aligned[at]) if g.base[x] == c), None)
-            if same is None:
-                same = g.node(c)
-                group = g.aligned[at] | {at}
-                for x in group:
-                    g.aligned[x].add(same)
-                g.aligned[same] = set(group)
-            path.append(same)
-            at, j = p, j - 1
-        elif kind == 1:
-            at = p
+    here = at_column(at, j)
+    while at != -1:
+        parents = g.before[at]
+        parents = sorted(parents) if len(parents) > 1 else list(parents) or [-1]
+        c = read[j - 1] if j else None
+        if j:
+            step = here - (match if g.base[at] == c else mismatch)
+            to = next((q for q in parents if at_column(q, j - 1) == step), None)
+            if to is not None:
+                same, group = at, g.aligned[at]
+                if g.base[at] != c:
+                    same = group.get(c) if group else None
+                    if same is None:
+                        same = g.node(c)
+                        if group is None:
+                            group = g.aligned[at] = {g.base[at]: at}
+                        group[c] = same
+                        g.aligned[same] = group
+                path.append(same)
+                at, j, here = to, j - 1, step
+                continue
+        to = next((q for q in parents if at_column(q, j) + gap == here), None)
+        if to is not None:
+            at, here = to, here - gap
         else:
-            path.append(g.node(read[j - 1]))
+            path.append(g.node(c))
             j -= 1
+            here = at_column(at, j)
+    path.extend(g.node(c) for c in reversed(read[:j]))
     return path[::-1]
 
 
@@ -193,9 +357,9 @@ def poa_sequences(windows: list[list[str]], match: int = 2, mismatch: int = -4,
     """Of each window the heaviest path of the graph to which its reads are aligned one after the other, each against all before; '' without reads.
 
     Rows are banded around the column behind the best one of the rows before them. A read that the band does not bring to
-    its end is aligned without it. A read counts as often as its weight. Windows do not affect one another: they are
-    advanced together where they need whole rows. Memory: CELLS cells, or the nodes times the letters of one window's
-    largest read, if that is more.
+    its end is aligned without it. A read counts as often as its weight. Windows do not affect one another: all
+    nodes of a level, of all windows, are filled at once; few rows in bands one at a time, which is as fast. Memory: CELLS
+    cells, or the nodes times the letters of one window's largest read, if that is more, and the graphs.
     """
     score = (match, mismatch, gap)
     many = weights or [[1] * len(w) for w in windows]
@@ -205,42 +369,54 @@ def poa_sequences(windows: list[list[str]], match: int = 2, mismatch: int = -4,
         if mine:
             g.thread([g.node(c) for c in mine[0][0]], mine[0][1])
     for turn in range(1, max(map(len, reads), default=0)):
-        todo = [b for b, mine in enumerate(reads) if len(mine) > turn]
-        topo = {b: graphs[b].order() for b in todo}
-        todo.sort(key=lambda b: -len(topo[b]))
-        read = {b: reads[b][turn][0] for b in todo}
-        ends = {b: graphs[b].ends() for b in todo}
-
-        def reached(b: int, at_column, ends=ends, read=read) -> int | None:
-            at = max(ends[b], key=lambda n: (at_column(n, len(read[b])), -n))
-            return at if at_column(at, len(read[b])) > _NEVER // 2 else None
-
-        def settle(b: int, at_column, end: int, read=read, turn=turn) -> None:
-            graphs[b].thread(_trace(graphs[b], read[b], at_column, end, score), reads[b][turn][1])
-
-        rest = []
-        for b in todo:
-            at_column = _banded(graphs[b], topo[b], read[b], int(band[0] + band[1] * len(read[b])), score) if band else None
-            end = reached(b, at_column) if band else None
-            if end is None:
-                rest.append(b)
+        todo = sorted((b for b, mine in enumerate(reads) if len(mine) > turn), key=lambda b: len(reads[b][turn][0]))
+        known = dict(zip(todo, _levels([graphs[b] for b in todo]), strict=True))
+
+        def settle(part: list[int], unreached: int, tables: list, turn=turn) -> list[int]:
+            """Threads reads along their best paths; returns the windows whose tables have none."""
+            out = []
+            for b, at_column in zip(part, tables, strict=True):
+                g, (read, weight) = graphs[b], reads[b][turn]
+                m = len(read)
+                end = max(g.ends(), key=lambda n: (at_column(n, m), -n))
+                if at_column(end, m) - gap * m > unreached:
+                    g.thread(_trace(g, read, at_column, end, score), weight)
+                else:
+                    out.append(b)
+            return out
+
+        def made(part: list[int], turn=turn, known=known) -> _Rows:
+            return _Rows([(graphs[b], known[b], reads[b][turn][0]) for b in part], score)
+
+        rest, banded = ([], [todo]) if band else (todo, [])
+        if sum(len(graphs[b].base) for b in todo) < ROWS * max(int(known[b][0].max()) for b in todo):
+            for b in banded.pop() if banded else ():
+                read = reads[b][turn][0]
+                rest += settle([b], _NEVER // 2, [_banded(graphs[b], known[b][0], read, int(band[0] + band[1] * len(read)), score)])
+        while banded:
+            part = banded.pop()
+            rows = made(part)
+            tables = rows.banded([int(band[0] + band[1] * m) for m in rows.letters])
+            if tables is None:
+                half = len(part) // 2
+                banded += [part[half:], part[:half]]
             else:
-                settle(b, at_column, end)
-        for part in _parts(rest, [(len(topo[b]) + 1) * (len(read[b]) + 1) for b in rest]):
-            for b, at_column in zip(part, _full([(graphs[b], topo[b], read[b]) for b in part], score), strict=True):
-                settle(b, at_column, reached(b, at_column))
-    return [g.heaviest() for g in graphs]
-
-
-def _parts(items: list[int], cells: list[int]) -> Iterator[list[int]]:
-    """Runs of items whose tables, each as large as the run's largest, have at most CELLS cells."""
-    held, most = [], 0
-    for b, n in zip(items, cells, strict=True):
-        if held and max(most, n) * (len(held) + 1) > CELLS:
+                rest += settle(part, rows.unreached, tables)
+        for part in _parts(rest, [len(graphs[b].base) + 1 for b in rest], [len(reads[b][turn][0]) + 1 for b in rest]):
+            rows = made(part)
+            settle(part, rows.unreached, rows.whole())
+    return [g.heaviest(level.argsort(kind="stable").tolist()) for g, (level, *_) in zip(graphs, _levels(graphs), strict=True)]
+
+
+def _parts(items: list[int], rows: list[int], widths: list[int]) -> Iterator[list[int]]:
+    """Runs of items, by rising width, whose rows, each as wide as the run's widest, have at most CELLS cells."""
+    held, total = [], 0
+    for b, n, w in zip(items, rows, widths, strict=True):
+        if held and (total + n) * w > CELLS:
             yield held
-            held, most = [], 0
+            held, total = [], 0
         held.append(b)
-        most = max(most, n)
+        total += n
     if held:
         yield held
 
@@ -277,7 +453,7 @@ def _aligned(rows: DataFrame, keys: list[str], work: int) -> DataFrame:
 
     def run(batches):
         held: list[tuple] = []  # windows that are complete: (key, reads, weights)
-        cells = 0
+        letters = 0
 
         def out():
             found = poa_sequences([w[1] for w in held], weights=[w[2] for w in held])
@@ -291,10 +467,10 @@ def _aligned(rows: DataFrame, keys: list[str], work: int) -> DataFrame:
                 if now is None or now[0] != key:
                     if now:
                         held.append(now)
-                        cells += sum(map(len, now[1])) ** 2
-                    if cells > 8 * CELLS:
+                        letters += sum(map(len, now[1]))
+                    if letters > LETTERS:
                         yield out()
-                        held, cells = [], 0
+                        held, letters = [], 0
                     now = (key, [], [])
                 now[1].append(text)
                 now[2].append(n)

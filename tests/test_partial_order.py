@@ -63,6 +63,55 @@ def test_the_band_finds_what_the_whole_table_finds_in_alike_reads():
     assert partial_order.poa_sequence(reads) == partial_order.poa_sequence(reads, band=None)
 
 
+def tables(score, width, seed=5):
+    """Graphs of a few reads each, the next read, and both kinds of table of all of them at once."""
+    jobs = []
+    for w in windows(seed, 40):
+        reads = [r for r in w if r]
+        if len(reads) > 1:
+            g = partial_order.Graph()
+            g.thread([g.node(c) for c in reads[0]], 1)
+            for r in reads[1:-1]:
+                whole = partial_order._Rows([(g, partial_order._level(g), r)], score).whole()[0]
+                g.thread(partial_order._trace(g, r, whole, max(g.ends(), key=lambda n, whole=whole, m=len(r): (whole(n, m), -n)), score), 1)
+            jobs.append((g, reads[-1]))
+    rows = partial_order._Rows([(g, x, r) for (g, r), x in zip(jobs, partial_order._levels([g for g, _ in jobs]), strict=True)], score)
+    return jobs, rows, rows.whole(), rows.banded([width] * len(jobs))
+
+
+@pytest.mark.parametrize("score", [(2, -4, -4), (1, -3, -2), (300, -900, -700)])
+def test_levels_of_many_windows_are_filled_at_once(score):
+    match, mismatch, gap = score
+    jobs, rows, whole, banded = tables(score, 4)
+    longest = [int(partial_order._level(g)[0].max()) + 1 for g, _ in jobs]
+    assert len(rows.steps) == max(longest) < sum(len(g.base) for g, _ in jobs) / 10
+    assert rows.kind.__name__ == ("int32" if match == 300 else "int16")
+    for (g, read), at_column, in_band in zip(jobs, whole, banded, strict=True):
+        alone = partial_order._banded(g, partial_order._level(g)[0], read, 4, score)
+        score_at = {(-1, j): gap * j for j in range(len(read) + 1)}
+        for n in g.order():
+            for j in range(len(read) + 1):
+                best = max(score_at[p, j] + gap for p in g.before[n] or [-1])
+                if j:
+                    best = max(best, score_at[n, j - 1] + gap, *(score_at[p, j - 1] + (match if read[j - 1] == g.base[n] else mismatch) for p in g.before[n] or [-1]))
+                score_at[n, j] = best
+                assert at_column(n, j) == best
+                # in the band the same cells are reached, with the same scores
+                reached = in_band(n, j) - gap * j > rows.unreached
+                assert reached == (alone(n, j) > partial_order._NEVER // 2)
+                assert not reached or in_band(n, j) == alone(n, j) <= best
+
+
+@pytest.mark.parametrize("rows", [0, 1 << 30])
+def test_bands_at_once_and_a_row_at_a_time(monkeypatch, rows):
+    mine = windows(11)
+    want = [partial_order.poa_sequence(w) for w in mine]
+    monkeypatch.setattr(partial_order, "ROWS", rows)
+    assert partial_order.poa_sequences(mine) == want
+    monkeypatch.setattr(partial_order, "CELLS", 3_000)  # bands of many windows in parts
+    assert partial_order.poa_sequences(mine) == want
+
+
 def test_weights_are_repeated_reads():
     for w in windows(7, 25):
         times = [1 + len(r) % 3 for r in w]
